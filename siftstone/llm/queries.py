@@ -7,8 +7,10 @@ from siftstone.llm.minhash import op7_circulant_minhash
 from siftstone.llm.quality import op10_quality_ratio
 from siftstone.llm.sharding import op4_hash_tree_sharding
 from siftstone.llm.token_index import op9_token_index
+from siftstone.llm.toxicity import op1_toxic_clauses
 
 QUERIES = {
+    "op1_toxic_clauses": op1_toxic_clauses,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_hash_tree_sharding": op4_hash_tree_sharding,
     "op7_circulant_minhash": op7_circulant_minhash,
