@@ -79,7 +79,19 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
 
 
 _SKETCH = "doc_id long, n_shingles long, set_key binary, bands array<long>"
-_SETS = "node long, shingles array<long>"
+_SETS = "node long, shingles array<long>, odd array<long>"
+#: 64-bit words of an odd sketch.
+_ODD = 32
+
+
+def odd_sketch(shingles: np.ndarray) -> np.ndarray:
+    """A bitmap in which every shingle flips one bit.
+
+    Two bitmaps differ in at most as many bits as the sets have shingles not in
+    common, so a bound on their difference never rejects a similar pair.
+    """
+    bits = np.bincount((mix64(shingles) % np.uint64(64 * _ODD)).astype(np.int64), minlength=64 * _ODD) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
 def _sketches(words: int, rows: int, bands: int):
@@ -100,13 +112,14 @@ def _sketches(words: int, rows: int, bands: int):
 
 
 def _shingle_rows(words: int):
-    schema = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+    longs = pa.list_(pa.int64())
+    schema = pa.schema([("node", pa.int64()), ("shingles", longs), ("odd", longs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_memo()
         for batch in batches:
-            sets = [shingle_set(t, words, memo).view(np.int64) for t in byte_texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sets, pa.list_(pa.int64()))], schema=schema)
+            sets = [shingle_set(t, words, memo) for t in byte_texts(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([x.view(np.int64) for x in sets], longs), pa.array([odd_sketch(x) for x in sets], longs)], schema=schema)
 
     return run
 
@@ -120,17 +133,27 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(100 * both >= percent * (F.size("su") + F.size("sv") - both)).select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: int = 6, bands: int = 40) -> DataFrame:
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (node, label) after joining the classes that links (u, v) connect."""
+    ends = [labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "uv"]
+    moved = components(links.join(ends[0], "u").join(ends[1], "v").select(F.col("lu").alias("u"), F.col("lv").alias("v")))
+    return staged(labels.join(moved.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: int = 6, bands: int = 40, rounds: int = 3) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of (doc_id, text).
 
     Documents whose shingle sets have 100 * intersection >= percent * union are
     linked; component_id is the least doc_id reachable.
 
     * Equal sets are one node, so copies never meet in pairs.
-    * A band bucket is first compared as a star around its least member. Nodes
-      the stars connect share a component and need no further comparison.
-    * Then every pair of a bucket that is still in different components is
-      compared, without a cap, so no link between candidates is lost.
+    * A band bucket is first compared as a star around one member, in `rounds`
+      rounds: the least, then ones drawn by hash, another in each bucket. Nodes
+      that links connect share a class and need no further comparison.
+    * Then every pair of a bucket that is still in different classes is
+      compared, without a cap, so no link between candidates is lost. Odd
+      sketches, whose difference never exceeds that of the sets, keep the pairs
+      that can't be similar from being made.
     * Every link is confirmed on the full sets of 64-bit shingle hashes.
 
     With 40 bands of 6 rows a pair at the 0.8 threshold shares no band with
@@ -149,26 +172,33 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     named = staged(named, "nodes")
     heads = sketches.where("set_key is not null and doc_id is not null").join(named.where("node is not null").select(F.col("set_key").alias("key"), "node", "n"), F.expr("set_key = key and doc_id = node"))
     spread = heads.select("node", "n", F.explode("bands").alias("band"))
-    shared = spread.groupBy("band").agg(F.min(F.struct("node", "n")).alias("pivot"), F.max("node").alias("last")).where("pivot.node < last").select("band", F.col("pivot.node").alias("u"), F.col("pivot.n").alias("nu"))
-    members = staged(spread.join(shared, "band"), "buckets")
-    close = "100 * least(na, nb) >= {p} * greatest(na, nb)".format(p=percent)
-    stars = members.select("u", F.col("node").alias("v"), F.col("nu").alias("na"), F.col("n").alias("nb")).where("u <> v").where(close).select("u", "v").distinct()
-    stars = staged(stars, "stars")
-
-    candidates = members.select("node").distinct()
-    texts = source.where("doc_id is not null").join(candidates.hint("merge"), F.col("doc_id") == F.col("node"), "left_semi")
+    shared = spread.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("band")
+    members = staged(spread.join(shared, "band").distinct(), "buckets")
+    labels = staged(members.select("node", F.col("node").alias("label")).distinct(), "labels")
+    texts = source.where("doc_id is not null").join(labels.hint("merge"), F.col("doc_id") == F.col("node"), "left_semi")
     sets = staged(texts.mapInArrow(_shingle_rows(words), _SETS).dropDuplicates(["node"]), "sets")
-    links = staged(_verified(stars, sets, percent), "links")
-    labels = staged(components(links), "labels")
-
-    labelled = members.select("band", "node", "n").join(labels, "node", "left").select("band", "node", "n", F.coalesce("label", "node").alias("label"))
-    open_bands = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
-    rest = staged(labelled.join(open_bands, "band"), "open")
-    a, b = (rest.select("band", *(F.col(c).alias(c + x) for c in ("node", "n", "label"))) for x in "ab")
-    pairs = a.join(b.hint("merge"), "band").where("nodea < nodeb and labela <> labelb").where(close).select(F.col("nodea").alias("u"), F.col("nodeb").alias("v")).distinct()
-    pairs = pairs.join(stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti")
-    links = links.union(staged(_verified(pairs, sets, percent), "links"))
-    labels = staged(components(links), "labels")
+
+    tested = None
+    for turn in range(rounds + 1):
+        labelled = members.join(labels, "node")
+        split = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
+        rest = staged(labelled.join(split, "band"), "open")
+        a, b = (rest.select("band", *(F.col(c).alias(c + x) for c in ("node", "n", "label"))) for x in "ab")
+        if turn < rounds:
+            drawn = F.xxhash64("nodea", "band", F.lit(turn)) if turn else F.lit(0)
+            a = a.groupBy("band").agg(F.min(F.struct(drawn.alias("drawn"), "nodea", "na", "labela")).alias("pivot")).select("band", "pivot.nodea", "pivot.na", "pivot.labela")
+            met = a.join(b.hint("merge"), "band").where("labela <> labelb")
+        else:
+            odd = sets.select("node", "odd")
+            a = a.join(odd.select(F.col("node").alias("nodea"), F.col("odd").alias("odda")).hint("merge"), "nodea")
+            b = b.join(odd.select(F.col("node").alias("nodeb"), F.col("odd").alias("oddb")).hint("merge"), "nodeb")
+            apart = " + ".join(f"bit_count(get(odda, {i}) ^ get(oddb, {i}))" for i in range(_ODD))
+            met = a.join(b.hint("merge"), "band").where(f"nodea < nodeb and labela <> labelb and {100 + percent} * ({apart}) <= {100 - percent} * (na + nb)")
+        met = met.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+        pairs = met.select(F.least("nodea", "nodeb").alias("u"), F.greatest("nodea", "nodeb").alias("v")).distinct()
+        pairs = staged(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
+        tested = pairs if tested is None else tested.union(pairs)
+        labels = _merged(labels, staged(_verified(pairs, sets, percent), "links"))
 
     classes = named.join(labels, "node", "left").select("set_key", F.coalesce("label", "node").alias("component_id"))
     return sketches.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left").select(
@@ -179,6 +209,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     )
 
 
+def representatives(docs: DataFrame, **options) -> DataFrame:
+    """One row of each near-duplicate class of a frame, with all its columns.
+
+    The row of the class's least doc_id stays. Rows without an id are compared
+    with each other only, by equal text.
+    """
+    kept = near_duplicates(docs, **options).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
+    named = docs.where("doc_id is not null").join(kept.hint("merge"), F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    return named.union(docs.where("doc_id is null").dropDuplicates(["text"]))
+
+
 def op7_circulant_minhash(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents on four-word shingles."""
     return near_duplicates(documents(spark, sf_dir), words=4)
