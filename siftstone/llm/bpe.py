@@ -190,6 +190,19 @@ def digests(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def id_arrays(encoded: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, ids array<int>) of (doc_id, ids)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blobs = [x or b"" for x in batch.column(1).to_pylist()]
+            sizes = np.array([len(x) // 4 for x in blobs], np.int64)
+            ids = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), np.frombuffer(b"".join(blobs), "<i4"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), ids], names=["doc_id", "n_tokens", "ids"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
+
+
 def vocabulary() -> tuple[str, str]:
     """The rank file and the pattern the queries use."""
     import public_tokenizers

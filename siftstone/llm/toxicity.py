@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftstone.llm.common import Memo, clean_text, documents, id_crc32, session_of, staged
 
@@ -248,20 +249,24 @@ def _features_of(model: Model):
     return run
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) for every whole text of (doc_id, text), in one pass without a shuffle.
+def with_scores(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
+    """The rows of a frame with the toxicity of their whole texts, in one pass without a shuffle.
 
     Null and empty texts match no clause and get the score of a clean text.
-    Null ids and repeated rows each return a row; extra columns are ignored.
+    Null ids and repeated rows each return a row, extra columns are passed on;
+    a column that already has the name is replaced.
     """
     session_of(docs)
+    rest = docs.drop(name)
+    at = rest.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Scorer(model)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.score(t or "") for t in batch.column(1).to_pylist()], pa.float64())], names=["doc_id", "score"])
+            scores = pa.array([own.score(t or "") for t in batch.column(at).to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, name])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return rest.mapInArrow(run, T.StructType([*rest.schema, T.StructField(name, T.DoubleType())]))
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
@@ -273,4 +278,5 @@ def op1_toxic_clauses(spark, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents, learned without the held-out fifth."""
     docs = documents(spark, sf_dir)
     model = fit(docs, training_labels(spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return score(docs, model).select("doc_id", (id_crc32() % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = with_scores(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, "score")
+    return scored.select("doc_id", (id_crc32() % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
