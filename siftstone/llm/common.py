@@ -50,7 +50,8 @@ def clean_text(col: str | Column = "text") -> Column:
 
 def id_crc32(col: str | Column = "doc_id") -> Column:
     """crc32 of the id as decimal text; a null id counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")).cast("string").cast("binary"))
+    text = (F.col(col) if isinstance(col, str) else col).cast("string")
+    return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
 
 
 def byte_texts(column: pa.Array) -> list[bytes]:

@@ -42,13 +42,12 @@ OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE = range(7)
 
 @dataclass(frozen=True)
 class Transducer:
-    """A deterministic weighted transducer: arcs[state][symbol] = (state, weight); a missing arc stays and weighs `idle`.
+    """A deterministic weighted transducer: arcs[state][symbol] = (state, weight); a missing arc stays and weighs nothing.
 
-    `final[state]` weighs the state at the end of a clause. Weights add.
+    A negative weight takes that share of the symbol's own weight, a positive one is added.
     """
 
     arcs: tuple[dict[int, tuple[int, float]], ...]
-    final: tuple[float, ...]
 
     def step(self, state: int, symbol: int) -> tuple[int, float]:
         return self.arcs[state].get(symbol, (state, 0.0))
@@ -66,7 +65,7 @@ def negation(reach: int = 3, discount: float = 0.6) -> Transducer:
     for k in range(1, reach + 1):
         for s in (INSULT, THREAT):
             arcs[k][s] = (k - 1, -discount)
-    return Transducer(tuple(arcs), (0.0,) * (reach + 1))
+    return Transducer(tuple(arcs))
 
 
 def target(bonus: float = 0.5) -> Transducer:
@@ -77,7 +76,7 @@ def target(bonus: float = 0.5) -> Transducer:
         {TARGET: (3, bonus)},
         {},
     )
-    return Transducer(arcs, (0.0,) * 4)
+    return Transducer(arcs)
 
 
 def threat(weight: float = _THREAT_WEIGHT, reach: int = 3) -> Transducer:
@@ -85,13 +84,14 @@ def threat(weight: float = _THREAT_WEIGHT, reach: int = 3) -> Transducer:
     arcs = _window(THREAT, reach)
     for k in range(1, reach + 1):
         arcs[k][TARGET] = (0, weight)
-    return Transducer(tuple(arcs), (0.0,) * (reach + 1))
+    return Transducer(tuple(arcs))
 
 
 def reported(discount: float = 0.5) -> Transducer:
     """An insult after a verb of reporting, or between quotation marks, is someone else's."""
-    quiet = {INSULT: (1, -discount), THREAT: (1, -discount), QUOTE: (0, 0.0)}
-    return Transducer(({REPORT: (1, 0.0), QUOTE: (1, 0.0)}, quiet), (0.0, 0.0))
+    quiet = lambda k: {INSULT: (k, -discount), THREAT: (k, -discount)}
+    arcs = ({REPORT: (1, 0.0), QUOTE: (2, 0.0)}, quiet(1) | {QUOTE: (2, 0.0)}, quiet(2) | {QUOTE: (0, 0.0)})
+    return Transducer(arcs)
 
 
 class Grammar:
@@ -101,16 +101,18 @@ class Grammar:
         self._parts = parts
         self._names: dict[tuple[int, ...], int] = {(0,) * len(parts): 0}
         self._states: list[tuple[int, ...]] = [(0,) * len(parts)]
-        self._arcs: dict[tuple[int, int], tuple[int, float]] = {}
+        self._arcs: dict[tuple[int, int], tuple[int, float, float]] = {}
 
-    def step(self, state: int, symbol: int) -> tuple[int, float]:
+    def step(self, state: int, symbol: int) -> tuple[int, float, float]:
+        """The next state, what the arc leaves of the symbol's own weight, and what it adds."""
         if (found := self._arcs.get((state, symbol))) is None:
             moved = [p.step(s, symbol) for p, s in zip(self._parts, self._states[state])]
             after = tuple(s for s, _ in moved)
             if after not in self._names:
                 self._names[after] = len(self._states)
                 self._states.append(after)
-            found = self._arcs[state, symbol] = (self._names[after], sum(w for _, w in moved))
+            kept = max(0.0, 1.0 + sum(w for _, w in moved if w < 0))
+            found = self._arcs[state, symbol] = (self._names[after], kept, sum(w for _, w in moved if w > 0))
         return found
 
 
@@ -157,9 +159,8 @@ class Scorer:
             if any(x == INSULT or x == THREAT for x, _ in clause):
                 state, total = 0, 0.0
                 for symbol, weight in clause:
-                    state, arc = self._grammar.step(state, symbol)
-                    # Arcs that discount an insult scale its own weight; all others add.
-                    total += weight * max(0.0, 1.0 + min(arc, 0.0)) + (max(arc, 0.0) if symbol != INSULT or weight else 0.0)
+                    state, kept, added = self._grammar.step(state, symbol)
+                    total += weight * kept + added
                 if total > 0:
                     found.append(total)
         return found
