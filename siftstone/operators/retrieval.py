@@ -36,16 +36,20 @@ def _postings(corpus: DataFrame, tokens: Column) -> DataFrame:
 def top_k(scores: DataFrame, corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Rank (qid, chunk_ix, score) by score and then position; k rows even where fewer have a score.
 
-    Chunks without a score count as 0. Only the first k positions can be among
-    them, so each query is completed from those and never meets the corpus.
+    Chunks without a score count as 0. Only queries with fewer than k positive
+    scores need any, and take them from the first positions, so queries never
+    meet the whole corpus.
     """
     score = F.round("score", DIGITS).alias("score")
     by_score = Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_ix")
     best = scores.select("qid", "chunk_ix", score).where("score > 0").withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k).drop("rank")
     negative = scores.select("qid", "chunk_ix", score).where("score <= 0")
-    # A chunk with a score of 0 or less may push out a filler of a lower position, so fillers must see all scored chunks.
-    positions = corpus.select("chunk_ix").orderBy("chunk_ix").limit(k)
-    fillers = queries.select("qid").join(F.broadcast(positions)).join(scores.select("qid", "chunk_ix"), ["qid", "chunk_ix"], "left_anti").select("qid", "chunk_ix", F.lit(0.0).alias("score"))
+    # Fillers stand before chunks that score 0 or less; scored chunks among the first positions take none of them.
+    scored = queries.select("qid").join(scores.groupBy("qid").agg(F.count("*").alias("n"), F.count_if(F.round("score", DIGITS) > 0).alias("good")), "qid", "left").fillna(0)
+    short = scored.where(F.col("good") < k)
+    more = short.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    positions = corpus.select("chunk_ix").orderBy("chunk_ix").limit(k + more)
+    fillers = short.select("qid").join(small(positions)).join(scores.select("qid", "chunk_ix"), ["qid", "chunk_ix"], "left_anti").select("qid", "chunk_ix", F.lit(0.0).alias("score"))
     every = best.unionByName(negative).unionByName(fillers)
     return every.withColumn("rank", F.row_number().over(by_score).cast("long")).where(F.col("rank") <= k)
 

@@ -522,7 +522,7 @@ def page_title(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("url", F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1).alias("title"))
 
 
-@query(r"SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<!--.*?-->', ' ', 'g'), '</?[A-Za-z][^<>]*>', ' ', 'g'), '&amp;', '&'), '&copy;', '©'), '&middot;', '·'), '[ \t\r\n]+', ' ', 'g')) AS text FROM pages")
+@query(r"SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<!--.*?-->', ' ', 'g'), '<[!/]?[A-Za-z][^<>]*>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g')) AS text FROM pages")
 def page_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", pages.html_text("html").alias("text"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,9 +26,9 @@ QUESTION = T.StructType(
 def read_pages(spark: SparkSession, folder: str, glob: str = "*.md") -> DataFrame:
     """(doc_id, markdown) of the files below a folder; doc_id is the path from it. Order by doc_id where order matters."""
     root = folder.rstrip("/") + "/"
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root)
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    return files.select(F.substring_index(path, F.regexp_replace(F.lit(root), "^[a-z]+:/+", "/"), -1).alias("doc_id"), F.col("value").alias("markdown"))
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    doc_id = F.substring_index("path", re.sub("^[a-z0-9]+:/+", "/", root), -1)
+    return found.select(doc_id.alias("doc_id"), F.decode("content", "utf-8").alias("markdown"))
 
 
 def wanted_paths(files: DataFrame, keep: str, column: str = "path") -> DataFrame:
