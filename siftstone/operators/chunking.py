@@ -6,13 +6,11 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SIZE, OVERLAP, MAX_TOKENS = 500, 50, 500
-#: White space of the default tokenizer, as a class that every regular-expression dialect reads alike.
-BLANK = " \\n\\t\\r"
-_CHUNK = "doc_id long, n int, start int, end int, n_tokens int"
 Tokenize = Callable[[str], list[tuple[int, int]]]
 
 
@@ -26,29 +24,29 @@ def token_windows(n, size: int = SIZE, overlap: int = OVERLAP):
     return F.when(n > 0, F.filter(F.sequence(F.lit(0), n - 1, F.lit(step)), lambda i: (i == 0) | (i + overlap < n))).otherwise(F.array().cast("array<int>"))
 
 
-def token_offsets(docs: DataFrame) -> DataFrame:
-    """(doc_id, tok, start, end) of the white-space tokens, by prefix sums over alternating pieces."""
-    pieces = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(f"[^{BLANK}]+|[{BLANK}]+"), F.lit(0))).alias("pos", "piece"))
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    placed = pieces.select("doc_id", "pos", "piece", F.sum(F.length("piece")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("end"))
-    tokens = placed.where(~F.col("piece").rlike(f"^[{BLANK}]")).select("doc_id", "pos", (F.col("end") - F.length("piece")).alias("start"), "end")
-    return tokens.select("doc_id", (F.row_number().over(order) - 1).cast("int").alias("tok"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
+def _chunks(docs: DataFrame) -> T.StructType:
+    """Rows of a chunk frame (doc_id as it is in the documents)."""
+    return T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.IntegerType()) for c in ("n", "start", "end", "n_tokens"))])
 
 
-def fixed_chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+def _named(chunks: DataFrame, scheme: str) -> DataFrame:
+    return chunks.select(F.concat(F.lit(f"{scheme}:"), "doc_id", F.lit(":"), "n").alias("chunk_id"), "doc_id", "n", "start", "end", "n_tokens")
+
+
+def fixed_chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, tokenize: Tokenize = words) -> DataFrame:
     """(chunk_id, doc_id, n, start, end, n_tokens): windows of `size` tokens that never cross pages.
 
-    Tokens meet their windows by position, at most two or three a token, so one
-    grouping by (doc_id, window) is the only shuffle beyond the offsets.
+    Windows need the offsets of a page's tokens in order; as an Arrow function
+    that is one pass over the page, where a built-in form would shuffle a row
+    for each token.
     """
-    step = size - overlap
-    tokens = token_offsets(docs)
-    total = tokens.withColumn("total", F.count("*").over(Window.partitionBy("doc_id")))
-    first = F.greatest(F.lit(0), F.ceil((F.col("tok") - size + 1) / step)).cast("int")
-    placed = total.withColumn("n", F.explode(F.sequence(first, F.floor(F.col("tok") / step).cast("int"))))
-    inside = placed.where((F.col("n") == 0) | (F.col("n") * step + overlap < F.col("total")))
-    chunks = inside.groupBy("doc_id", "n").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").cast("int").alias("n_tokens"))
-    return chunks.select(F.concat(F.lit("fixed:"), "doc_id", F.lit(":"), "n").alias("chunk_id"), "doc_id", "n", "start", "end", "n_tokens")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(doc_id, n, *w) for doc_id, text in zip(frame["doc_id"], frame["text"]) for n, w in enumerate(_windows(tokenize(text or ""), size, overlap))]
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "start", "end", "n_tokens"])
+
+    return _named(docs.select("doc_id", "text").mapInPandas(run, _chunks(docs)), "fixed")
 
 
 def paragraphs(text: str, base: int) -> list[tuple[int, int]]:
@@ -117,8 +115,7 @@ def section_chunks(pages: DataFrame, tokenize: Tokenize = words, most: int = MAX
             yield pd.DataFrame(rows, columns=["doc_id", "n", "start", "end", "n_tokens"])
 
     source = pages.select("doc_id", "text", F.transform("headings", lambda h: h["offset"]).alias("offsets"))
-    chunks = source.mapInPandas(run, _CHUNK)
-    return chunks.select(F.concat(F.lit("headings:"), "doc_id", F.lit(":"), "n").alias("chunk_id"), "doc_id", "n", "start", "end", "n_tokens")
+    return _named(source.mapInPandas(run, _chunks(pages)), "headings")
 
 
 CHUNKERS = {"fixed": fixed_chunks, "headings": section_chunks}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftstone.functions import stats, text as tx
-from siftstone.operators import answers, chunking, evalset, pages, report, retrieval, scoring
+from siftstone.operators import answers, chunking, evalset, pages, report, retrieval, review, scoring
 from siftstone.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -570,3 +570,58 @@ def cached_completion(spark, sf_dir):
     held = turns.where("id.turn % 2 = 0").withColumn("model", F.lit("model")).select(tx.request_key("model", "system", "prompt").alias("key"), F.concat(F.lit("echo "), F.length("prompt")).alias("text"))
     done = answers.complete(turns, held, lambda s, p: f"echo {len(p)}")
     return done.select("id.conv_id", "id.turn", "cached", "text")
+
+
+# -------------------------------------------------------------------- review
+
+
+@query("SELECT 'largest' AS \"end\", place, doc_id, chars FROM (SELECT doc_id, length(text) AS chars, row_number() OVER (ORDER BY length(text) DESC, doc_id) AS place FROM documents) WHERE place <= 5 UNION ALL SELECT 'smallest', place, doc_id, chars FROM (SELECT doc_id, length(text) AS chars, row_number() OVER (ORDER BY length(text), doc_id) AS place FROM documents) WHERE place <= 5")
+def page_extremes(spark, sf_dir):
+    return review.extremes(table(spark, sf_dir, "documents"))
+
+
+@query(
+    """
+WITH s AS (SELECT source AS qid, greatest((doc_id * 17) % 500, 100) - 100 AS "start", least((doc_id * 17) % 500 + 40, 300) - 100 AS "end" FROM documents),
+m AS (SELECT *, max("end") OVER (PARTITION BY qid ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s WHERE "start" < "end"),
+i AS (SELECT *, sum(CASE WHEN reach IS NULL OR "start" >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY qid ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM m)
+SELECT qid, min("start") AS "start", max("end") AS "end" FROM i GROUP BY qid, island"""
+)
+def clip_spans(spark, sf_dir):
+    start = (F.col("doc_id") * 17) % 500
+    spans = table(spark, sf_dir, "documents").select(F.col("source").alias("qid"), start.alias("start"), (start + 40).alias("end"), F.lit(100).cast("long").alias("lo"), F.lit(300).cast("long").alias("hi"))
+    return review.clip_spans(spans, "qid")
+
+
+@query("SELECT 'c' || item_id AS candidate_id, CASE item_id % 5 WHEN 0 THEN 'bad_json' WHEN 1 THEN 'skipped_by_model' WHEN 2 THEN 'incomplete' WHEN 3 THEN 'evidence_not_verbatim' ELSE 'ok' END AS status FROM benchmark")
+def candidate_funnel(spark, sf_dir):
+    """Items as sections, with replies made for each status."""
+    bench = table(spark, sf_dir, "benchmark")
+    quote = F.when(F.col("item_id") % 5 == 3, F.lit("nowhere to be found")).otherwise(F.substring("text", 1, 40))
+    reply = F.to_json(F.struct((F.col("item_id") % 5 == 1).alias("skip"), F.lit("q").alias("question"), F.when(F.col("item_id") % 5 != 2, F.lit("a")).alias("answer"), F.array(quote).alias("evidence")))
+    candidates = bench.select(F.concat(F.lit("c"), "item_id").alias("candidate_id"), F.when(F.col("item_id") % 5 == 0, F.lit("{oops")).otherwise(reply).alias("raw"), F.array(F.col("item_id").cast("string")).alias("keys"))
+    return review.candidate_status(candidates, bench.select(F.col("item_id").cast("string").alias("key"), "text"))
+
+
+@query("WITH " + _LOG + " SELECT count(*) AS decided, count(*) FILTER (decision = 'keep') AS kept, count(*) FILTER (decision = 'drop') AS dropped FROM lt WHERE decision <> 'undo'")
+def review_progress(spark, sf_dir):
+    return review.progress(_log(spark, sf_dir))
+
+
+@query("WITH e AS (SELECT item_id FROM benchmark b JOIN documents d ON strpos(d.text, b.text) > 0 GROUP BY item_id) SELECT count(*) AS n, count(*) FILTER (item_id % 2 = 0) AS hits FROM e")
+def citation_hits(spark, sf_dir):
+    """Every found item is answered; the even ones cite the document that holds them, the others one that doesn't."""
+    docs = table(spark, sf_dir, "documents")
+    gold = _gold(spark, sf_dir).select("qid", "doc_id", "e_start", "e_end")
+    cited = gold.select("qid", F.array(F.when(F.col("qid") % 2 == 0, F.col("doc_id")).otherwise(F.lit(-1))).alias("cited_chunks"))
+    chunks = docs.select(F.col("doc_id").alias("chunk_id"), "doc_id", F.lit(0).alias("start"), F.length("text").alias("end"))
+    return review.citation_hits(cited, chunks, gold)
+
+
+@query("SELECT item_id, (strpos(text, ' '))::INT AS \"start\", (strpos(text, ' ') + 10)::INT AS \"end\" FROM benchmark WHERE substr(text, strpos(text, ' ') + 1, 10) = trim(substr(text, strpos(text, ' ') + 1, 10), ' ' || chr(10))")
+def selection_spans(spark, sf_dir):
+    """Ten characters selected after the first space; odd items give offsets that are one off."""
+    bench = table(spark, sf_dir, "benchmark").withColumn("at", F.instr("text", " "))
+    rows = bench.withColumn("selected", F.substring("text", F.col("at") + 1, F.lit(10))).where(F.col("selected") == F.btrim("selected", F.lit(" \n")))
+    off = F.col("at") + F.when(F.col("item_id") % 2 == 1, 1).otherwise(0)
+    return rows.withColumn("s", review.selection_span("text", off, off + 10, "selected")).select("item_id", "s.start", "s.end")
