@@ -22,7 +22,8 @@ CITATION = r"(?<![\p{L}\p{N}_])\[(\d+(?:\s*,\s*\d+)*)\]"
 IDENTIFIER = r"`[^`]+`|\b\w+(?:\.\w+)+\b|\b\w+\(|\b\w+=|\b[a-z0-9]+_\w+\b|--[\w-]+|@\w+|\b[A-Z][a-z0-9]+[A-Z]\w*\b|\b\d+(?:\.\d+)*\b"
 NOT_IDENTIFIERS = ("e.g", "i.e")
 OMITTED = ("# Code above omitted 👆", "# Code here omitted 👈", "# Code below omitted 👇")
-DISCLAIMER = r"^(?i)the (?:documentation|excerpts?|context|docs)\b.*\b(?:not|no)\b"
+DISCLAIMER = r"^(?i)\s*the (?:documentation|docs|excerpts?) (?:does|do) not (?:cover|provide|mention|include|specify)"
+DROP_REASONS = ("too_easy", "ambiguous", "unsupported", "unrealistic", "duplicate", "other")
 VERDICTS = ("correct", "partial", "incorrect")
 
 
@@ -175,7 +176,7 @@ def unescape(text: pd.Series) -> pd.Series:
 
 
 # Quote marks that a copied quotation may have in another form, or not at all.
-_LOOSE = frozenset("\"'`*“”‘’«»")
+_LOOSE = frozenset("\"'`*“”‘’")
 
 
 @lru_cache(256)
@@ -275,3 +276,8 @@ def faithful(reply: Column) -> Column:
 
 def unsupported(reply: Column) -> Column:
     return F.filter(reply["claims"], lambda c: ~c["supported"])
+
+
+def disclaimers_only(reply: Column) -> Column:
+    """Whether there are unsupported claims and each only says what the documentation doesn't cover."""
+    return (F.size(unsupported(reply)) > 0) & F.forall(unsupported(reply), lambda c: c["claim"].rlike(DISCLAIMER))

@@ -20,7 +20,9 @@ FUSION_K, FUSION_DEPTH, RERANK_DEPTH = 60, 50, 20
 DIGITS = 9
 #: Rows of a query side that may be broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 200_000
-STOP_WORDS = tuple("a an and are as at be by can do for from how if in is it of on or that the this to use using what when which with you your".split())
+# The words that section search passes over, and what a sentence model is given before a query.
+STOP_WORDS = tuple("a an and are as at be by can do does for from how i in is it of on or the to what when where which why with you your".split())
+QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
