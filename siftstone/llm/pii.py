@@ -18,6 +18,8 @@ from siftstone.llm.common import clean_text, documents, session_of, staged
 KINDS = ("email", "ip", "card", "phone")
 #: Words on each side of an entity whose terms may reveal it.
 REACH = 8
+#: Characters on each side beyond which context ends, however long its words are.
+REACH_CHARS = 400
 #: Distinct texts in which a term must stand near an entity.
 SUPPORT = 2
 #: Terms that are sent to every task to be counted; beyond it they are joined by a shuffle.
@@ -87,14 +89,15 @@ def context(text: str, spans: list[tuple[int, int, str]], reach: int) -> list[tu
     found, starts, ends = [], [a for a, _, _ in spans], list(accumulate((b for _, b, _ in spans), max))
     for span in spans:
         entity, right, left = entity_of(text, span), span[1], span[0]
+        first, last = max(0, left - REACH_CHARS), min(len(text), right + REACH_CHARS)
         for _ in range(reach):
-            if not (m := _WORD.search(text, right)):
+            if not (m := _WORD.search(text, right, last)):
                 break
             right = m.end()
         for _ in range(reach):
-            while left > 0 and text[left - 1] in _SPACES:
+            while left > first and text[left - 1] in _SPACES:
                 left -= 1
-            while left > 0 and text[left - 1] not in _SPACES:
+            while left > first and text[left - 1] not in _SPACES:
                 left -= 1
         for m in chain(_TERM.finditer(text, left, span[0]), _TERM.finditer(text, span[1], right)):
             before = bisect_left(starts, m.end())  # spans that begin before the term ends
@@ -155,8 +158,9 @@ def revealing(found: DataFrame, docs: DataFrame, support: int = SUPPORT, general
     seen = held_words.distinct().groupBy("term").agg(F.count("*").alias("seen"))
     texts = found.select("key").distinct().agg(F.count("*").alias("n")).scalar()
     scored = joint.join(held, "entity").join(seen, "term", "left")
-    bits = F.log2(F.col("both") * texts / (F.col("held") * F.greatest("seen", "both"))) / F.log2(texts / F.col("held"))
-    scored = scored.select("entity", "term", bits.alias("share")).where(F.col("share") >= generalise)
+    bits = F.log2(F.col("both") * texts / (F.col("held") * F.greatest("seen", "both")))
+    # An entity of every text carries no information, so nothing can disclose it.
+    scored = scored.select("entity", "term", F.try_divide(bits, F.log2(texts / F.col("held"))).alias("share")).where(F.col("share") >= generalise)
     return scored.select("entity", "term", F.when(F.col("share") >= remove, "removed").otherwise("term").alias("action"))
 
 
@@ -192,7 +196,7 @@ def _replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for s in sorted(spans, key=lambda s: (s["start"], -s["stop"])):
                     if s["start"] >= at:
                         parts += [text[at : s["start"]], "" if s["kind"] == "removed" else f"[{s['kind'].upper()}]"]
-                        at = s["stop"]
+                    at = max(at, s["stop"])
                 text = "".join([*parts, text[at:]])
             out.append(text)
         k = batch.schema.get_field_index("text")
