@@ -42,6 +42,7 @@ def top_k(scores: DataFrame, corpus: DataFrame, queries: DataFrame, k: int) -> D
     scores need any, and take them from the first positions, so queries never
     meet the whole corpus.
     """
+    scores = scores.persist()  # read by four branches; spills to disk, and is recomputed where an executor is lost
     score = F.round("score", DIGITS).alias("score")
     by_score = Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_ix")
     best = scores.select("qid", "chunk_ix", score).where("score > 0").withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k).drop("rank")
