@@ -8,6 +8,11 @@ import re
 _RUN = re.compile(r"\s\s")
 
 
+def lone_spaces(text: str) -> bool:
+    """Whether every white-space character of a text stands alone between two others."""
+    return bool(text) and not text[0].isspace() and not text[-1].isspace() and not _RUN.search(text)
+
+
 def units(text: str) -> list[str] | None:
     """The text cut before every space and around every newline, or None.
 
@@ -16,7 +21,7 @@ def units(text: str) -> list[str] | None:
     a pre-token; so the pattern splits each unit as it splits the whole text.
     None means that white space meets white space, and the text needs the pattern.
     """
-    if not text or text[0].isspace() or text[-1].isspace() or _RUN.search(text):
+    if not lone_spaces(text):
         return None
     out: list[str] = []
     for k, line in enumerate(text.split("\n")):

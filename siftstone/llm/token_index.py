@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,8 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import clean_text, documents, mix64, session_of, shared_dir, staged
-from siftstone.llm.pretokens import head_and_tail, units
+from siftstone.llm.common import Memo, clean_text, documents, mix64, session_of, shared_dir, staged
+from siftstone.llm.pretokens import head_and_tail, lone_spaces
 
 #: Documents of one shard.
 SHARD_ROWS = 16_384
@@ -35,7 +36,7 @@ SHARD_ROWS = 16_384
 BUCKET = 4
 HEADER = 4096
 _NULL_KEY = np.iinfo(np.int64).min
-_MANIFEST = "shard int, path string, low long, high long, n_docs long, n_ids long"
+_MANIFEST = "shard int, path string, low long, high long, nulls long, n_docs long, n_ids long"
 
 
 def _hashes(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,7 +139,8 @@ class Writer:
         self._keys.append(_NULL_KEY if key is None else key)
         self._sizes.append(n)
 
-    def close(self) -> tuple[int | None, int | None, int, int]:
+    def close(self) -> tuple[int | None, int | None, int, int, int]:
+        """Least and greatest key, records without a key, records, ids."""
         self._out.close()
         keys = np.array(self._keys, "<i8")
         distinct, first = np.unique(keys, return_index=True)
@@ -152,50 +154,66 @@ class Writer:
                 f.write(part if isinstance(part, bytes) else part.tobytes())
         for end in (".ids", ".idx"):
             self._fs.move(self._path + end + self._mark, self._path + end)
-        return (int(keys.min()), int(keys.max()), len(keys), int(before[-1])) if len(keys) else (None, None, 0, 0)
+        named = keys[keys != _NULL_KEY]
+        low, high = (int(named.min()), int(named.max())) if len(named) else (None, None)
+        return low, high, len(keys) - len(named), len(keys), int(before[-1])
 
 
 class Tokens:
-    """Ids of texts by a tokenizers file, remembering the units it has met; `end` follows each document."""
+    """Ids of texts by a tokenizers file, remembering the units it has met; `end` follows each document.
 
-    def __init__(self, path: str, end: int, remember: int = 400_000):
+    A unit is asked of the library once: its pre-tokeniser cuts it, its model
+    merges the pieces. A unit of letters is one piece, so only its bytes need
+    their stand-in characters. A text that can't be cut into units, or that
+    holds a special token's string, goes to the library whole.
+    """
+
+    def __init__(self, path: str, end: int, remember: int = 1_500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._of = Tokenizer.from_file(path)
+        self._model, self._cut = self._of.model, self._of.pre_tokenizer.pre_tokenize_str
         self.kind = "<u2" if max(self._of.get_vocab_size(), end + 1) <= 2**16 else "<u4"
+        self._code = "H" if self.kind == "<u2" else "I"
         self._special = [t.content for t in self._of.get_added_tokens_decoder().values()]
-        self._end, self._remember, self._known = np.array([end], self.kind).tobytes(), remember, {}
+        self._end = self._pack([end])
+        stands = {b: self._cut(chr(b))[0][0] for b in range(128) if b != 32}
+        # Bytes over 127 only occur inside characters, whose stand-ins the pre-tokeniser gives one for each byte.
+        for first in (*range(0x80, 0x800, 64), *range(0x80, 0xC0), *range(0x1000, 0xD000, 0x1000), *range(0xE000, 0x10000, 0x1000), *range(0x40000, 0x110000, 0x40000)):
+            for byte, stand in zip(chr(first).encode(), self._cut("a" + chr(first))[-1][0][-len(chr(first).encode()) :]):
+                stands[byte] = stand
+        stands[32] = self._cut("a a")[1][0][0]
+        self._stand = str.maketrans({chr(b): c for b, c in stands.items()})
+        self._known, self._plain = Memo(self._spaced, remember), Memo(self._unit, 50_000)
 
     def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
-
-    def _learn(self, missing: list[str], again: bool = False) -> None:
-        known = self._known
-        if not again and len(known) + len(missing) > self._remember:
-            known.clear()
-        cut = {u: c for u in missing if (c := head_and_tail(u))}
-        base = list({p for u in missing for p in cut.get(u, (u,))} - known.keys())
-        for at in range(0, len(base), 4096):
-            some = base[at : at + 4096]
-            known.update(zip(some, [self._pack(e.ids) for e in self._of.encode_batch_fast(some, add_special_tokens=False)]))
-        known.update((u, known[a] + known[b]) for u, (a, b) in cut.items())
+        return array(self._code, ids).tobytes()
+
+    def _spaced(self, word: str) -> bytes:
+        cut = head_and_tail(word)
+        return self._known[cut[0]] + self._plain[cut[1]] if cut else self._unit(" " + word)
+
+    def _unit(self, unit: str) -> bytes:
+        if (unit[1:] if unit[0] == " " else unit).isalpha():
+            pieces = [unit.encode().decode("latin-1").translate(self._stand)]
+        else:
+            pieces = [p for p, _ in self._cut(unit)]
+        return self._pack([t.id for p in pieces for t in self._model.tokenize(p)])
+
+    def _cached(self, text: str) -> bytes:
+        out = []
+        for k, line in enumerate(text.split("\n")):
+            if k:
+                out.append(self._plain["\n"])
+            first, *rest = line.split(" ")
+            out.append(self._plain[first])
+            out.extend(map(self._known.__getitem__, rest))
+        return b"".join(out)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of each text. A text the units can't cut, or one with a special token's string, goes to the library whole."""
-        parts = [None if any(s in t for s in self._special) else units(t) for t in texts]
-        out: list[bytes] = []
-        for at in range(0, len(texts), 64):
-            block = parts[at : at + 64]
-            need = set().union(*(p for p in block if p is not None))
-            if missing := [u for u in need if u not in self._known]:
-                self._learn(missing)
-                if not need <= self._known.keys():  # emptied while learning
-                    self._learn([u for u in need if u not in self._known], again=True)
-            whole = [k for k, p in enumerate(block) if p is None]
-            plain = dict(zip(whole, self._of.encode_batch_fast([texts[at + k] for k in whole], add_special_tokens=False))) if whole else {}
-            out.extend((self._pack(plain[k].ids) if p is None else b"".join(map(self._known.__getitem__, p))) + self._end for k, p in enumerate(block))
-        return out
+        """Packed ids of each text, with the end id."""
+        return [(self._cached(t) if lone_spaces(t) and not any(s in t for s in self._special) else self._pack(self._of.encode(t, add_special_tokens=False).ids)) + self._end for t in texts]
 
 
 @lru_cache(1)
@@ -227,8 +245,8 @@ def write_index(docs: DataFrame, folder: str, tokenizer: str, end: int = 2, shar
         for batch in batches:
             for key, ids in zip(batch.column(0).to_pylist(), own.encode(batch.column(1).to_pylist())):
                 out.add(key, ids, len(ids) // size)
-        low, high, n_docs, n_ids = out.close()
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [base], "low": pa.array([low], pa.int64()), "high": pa.array([high], pa.int64()), "n_docs": pa.array([n_docs], pa.int64()), "n_ids": pa.array([n_ids], pa.int64())})
+        low, high, nulls, n_docs, n_ids = out.close()
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [base], "low": pa.array([low], pa.int64()), "high": pa.array([high], pa.int64()), "nulls": pa.array([nulls], pa.int64()), "n_docs": pa.array([n_docs], pa.int64()), "n_ids": pa.array([n_ids], pa.int64())})
 
     manifest = staged(rows.mapInArrow(run, _MANIFEST), "manifest").where("n_docs > 0")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -257,17 +275,23 @@ def read_index(manifest: DataFrame) -> DataFrame:
     return shards.mapInArrow(run, "doc_id long, start long, ids binary")
 
 
-def fetch(keys: DataFrame, folder: DataFrame) -> DataFrame:
+def fetch(keys: DataFrame, manifest: DataFrame) -> DataFrame:
     """(doc_id, ids) for the keys of a frame (doc_id) that the index of a manifest holds; absent keys give no row.
 
-    Keys meet their shard by a range join on the manifest, whose rows are one
-    for each shard; each key then costs one hash, one fingerprint test and one
-    read of the ids file.
+    Keys meet their shard by a range join with an equality: the key range is cut
+    into as many cells as there are shards, and a shard is listed in the cells
+    it touches, twice the shards at most. Each key then costs one hash, one
+    fingerprint test and one read of the ids file.
     """
     session_of(keys)
-    lows = folder.select("low", "high", "path")
+    low, high, n = manifest.agg(F.min("low"), F.max("high"), F.count("*")).first()
+    width = max(1, ((high or 0) - (low or 0)) // max(1, n))
+    cell = lambda c: F.expr(f"{c} div {width}L")
+    shards = manifest.where("low is not null").select("low", "high", "path", F.explode(F.sequence(cell("low"), cell("high"))).alias("cell"))
     asked = keys.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    dealt = asked.join(F.broadcast(lows), F.coalesce("doc_id", F.lit(_NULL_KEY)).between(F.col("low"), F.col("high")))
+    named = asked.where("doc_id is not null").withColumn("cell", cell("doc_id")).join(shards, "cell").where(F.col("doc_id").between(F.col("low"), F.col("high"))).select("doc_id", "path")
+    unnamed = manifest.where("nulls > 0").join(asked.where("doc_id is null")).select("doc_id", "path")  # one key at most
+    dealt = named.union(unnamed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_shard = lru_cache(8)(Shard)
