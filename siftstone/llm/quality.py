@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import SPACE, WORD, clean_text, documents
+from siftstone.llm.common import SPACE, clean_text, documents, staged
 
 #: Hash buckets of the two multinomials, which bounds the model.
 BUCKETS = 65_536
@@ -79,7 +79,7 @@ def fit_ratio(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> Da
     hashed = docs.select("doc_id", F.transform(words_of(clean_text()), lambda w: F.xxhash64(w)).alias("hashes"))
     marked = hashed.join(F.broadcast(trusted), "doc_id", "left").select("trusted", F.explode(ngram_buckets(F.col("hashes"), buckets)).alias("bucket"))
     counts = marked.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("trusted").alias("good"))
-    every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").fillna(0)
+    every = staged(docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").fillna(0), "ngrams")
     totals = every.agg(F.sum("raw").alias("raws"), F.sum("good").alias("goods"))
     share = lambda n, total: F.ln((F.col(n) + 1) / (totals.select(total).scalar() + buckets))
     return every.select("bucket", F.when(totals.select("goods").scalar() > 0, share("good", "goods") - share("raw", "raws")).otherwise(0.0).alias("ratio"))
