@@ -5,8 +5,8 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -18,12 +18,14 @@ from siftstone.llm.common import byte_texts, documents, id_crc32, session_of, st
 END = b"\n"
 #: Weight added to each count of a single token.
 SMOOTH = 0.1
-#: Share of all training tokens from which a word is a state, and from which a pair is an arc.
-#: It bounds the automaton at 1 / SHARE states and arcs, whatever the corpus.
+#: Share of all training tokens from which a word and a pair are held in memory, at most 1 / SHARE of each.
+#: All others are joined, so it changes no score.
 SHARE = 2e-6
 #: Taken from the count of every arc and given to its state's failure arc.
 DISCOUNT = 0.75
-_FLUSH = 300_000
+_FLUSH = 600_000
+#: Words and pairs of one Arrow batch that go to the join.
+_ROWS = 50_000
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -33,65 +35,45 @@ def tokens(text: bytes) -> list[bytes]:
     return words
 
 
+def grams(words: list[bytes]) -> Iterator[bytes]:
+    """Each token after the one before it, the first after an end; words hold no space, so a pair is told from a word."""
+    return map(b" ".join, zip([END, *words], words))
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: Counter = Counter()
 
     def out() -> pa.RecordBatch:
-        batch = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], names=["word", "c"])
+        batch = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], names=["gram", "c"])
         seen.clear()
         return batch
 
     for batch in batches:
         for text in byte_texts(batch.column(0)):
-            seen.update(tokens(text))
+            words = tokens(text)
+            seen.update(words)
+            seen.update(grams(words))
             if len(seen) > _FLUSH:
                 yield out()
     if seen:
         yield out()
 
 
-def unigrams(train: DataFrame) -> DataFrame:
-    """(word, c): how often each token occurs in the texts of a frame (text). Tasks count first, so frequent words are a row for each task."""
-    return train.select("text").mapInArrow(_counted, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
-
-
-def _pairs(names: list[bytes]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = {w: i for i, w in enumerate(names)}
-        end, size = ids.get(END, -1), len(names)
-        kept, n = [], 0
-
-        def out() -> pa.RecordBatch:
-            codes, counts = np.unique(np.concatenate(kept), return_counts=True)
-            kept.clear()
-            return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts.astype(np.int64))], names=["code", "c"])
-
-        for batch in batches:
-            for text in byte_texts(batch.column(0)):
-                words = tokens(text)
-                a = np.fromiter((ids.get(w, -1) for w in words), np.int64, len(words))
-                before = np.concatenate([[end], a[:-1]])
-                both = (a >= 0) & (before >= 0)
-                kept.append(before[both] * size + a[both])
-                n += len(words)
-            if n > 4_000_000:
-                yield out()
-                n = 0
-        if kept:
-            yield out()
-
-    return run
+def counted(train: DataFrame) -> DataFrame:
+    """(gram, c): how often each token and each pair of tokens occurs in the texts of a frame (text). Tasks count first, so frequent ones are a row for each task."""
+    return train.select("text").mapInArrow(_counted, "gram binary, c long").groupBy("gram").agg(F.sum("c").alias("c"))
 
 
 class Automaton:
-    """States are the root and the frequent words just read; an arc reads a word at a log probability.
+    """States are the root and the words just read; an arc reads a word at a log probability.
 
     A state without an arc for a word fails to the root at its backoff weight,
-    and the root reads any word by its smoothed count. The root's reading of a
-    word that is not frequent is left to a join, as its count is not held here.
+    and the root reads any word by its smoothed count. Frequent words and arcs
+    are held here; all others are left to a join. Without the backoff weights of
+    the whole model, `fail`, the arcs held make a model of their own.
     """
 
-    def __init__(self, names: list[bytes], counts: list[int], arcs: list[tuple[int, int, int]], n: int, v: int):
+    def __init__(self, names: list[bytes], counts: list[int], arcs: list[tuple[int, int, int]], n: int, v: int, fail: list[float] | None = None):
         self.bottom = n + SMOOTH * (v + 1)
         self.names, self.counts = names, counts
         self.ids = {w: i for i, w in enumerate(names)}
@@ -109,26 +91,27 @@ class Automaton:
         for a, has in enumerate(self.arcs):
             if has:
                 self.fail[a] = math.log10(max(1e-9, 1 - given[a]) / max(1e-9, 1 - met[a]))
+        if fail is not None:
+            self.fail = fail
 
     def start(self) -> int:
         return self.ids.get(END, -1)
 
     def read(self, words: list[bytes]) -> tuple[float, float, int, Counter]:
-        """One pass from left to right: the log10 probability of the arcs and failures, that of the root alone, known tokens, and the words left to the join."""
+        """One pass from left to right: the log10 probability of the arcs and failures, that of the root alone, known tokens, and the words and pairs left to the join."""
         ids, arcs, fail, root = self.ids, self.arcs, self.fail, self.root
         state, total, base, known, left = self.start(), 0.0, 0.0, 0, []
-        for word in words:
+        for word, gram in zip(words, grams(words)):
             i = ids.get(word, -1)
-            if state >= 0:
-                p = arcs[state].get(i)
-                if p is None:
+            p = arcs[state].get(i) if state >= 0 else None
+            if p is not None:
+                total += p
+            else:
+                left.append(gram)
+                if state >= 0:
                     total += fail[state]
-                    if i >= 0:
-                        total += root[i]
-                else:
-                    total += p
-            elif i >= 0:
-                total += root[i]
+                if i >= 0:
+                    total += root[i]
             if i >= 0:
                 base += root[i]
                 known += 1
@@ -138,73 +121,114 @@ class Automaton:
         return total, base, known, Counter(left)
 
 
-_READ = "row long, doc_id long, n_tokens long, known long, base double, total double, words array<binary>, times array<long>"
+class Rest(NamedTuple):
+    """What the automaton leaves to the join, and the backoff weights of its states in the whole model.
+
+    `weights` is (gram, known, base, total). A word adds its log probability by
+    the root and, as a state, its backoff weight; a pair, the difference of its
+    arc from these two.
+    """
+
+    weights: DataFrame
+    fail: list[float]
+
+
+_READ = "row long, gram binary, times long, head struct<doc_id:bigint,n_tokens:bigint,known:bigint,base:double,total:double>"
 
 
 def _traversed(shared):
-    longs, words = pa.list_(pa.int64()), pa.list_(pa.binary())
-    names = [c.split()[0] for c in _READ.split(", ")]
+    head = pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("total", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, row = Automaton(*shared.value), TaskContext.get().partitionId() << 40
+        rows, left, times, heads = [], [], [], []
+
+        def out() -> pa.RecordBatch:
+            arrays = [pa.array(rows, pa.int64()), pa.array(left, pa.binary()), pa.array(times, pa.int64()), pa.array(heads, head)]
+            for x in (rows, left, times, heads):
+                x.clear()
+            return pa.RecordBatch.from_arrays(arrays, names=["row", "gram", "times", "head"])
+
         for batch in batches:
-            read = [(t := tokens(x), *own.read(t)) for x in byte_texts(batch.column(1))]
-            first, row = row, row + len(read)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(range(first, row), pa.int64()),
-                    batch.column(0),
-                    pa.array([len(r[0]) for r in read], pa.int64()),
-                    pa.array([r[3] for r in read], pa.int64()),
-                    pa.array([r[2] for r in read], pa.float64()),
-                    pa.array([r[1] for r in read], pa.float64()),
-                    pa.array([list(r[4].keys()) for r in read], words),
-                    pa.array([list(r[4].values()) for r in read], longs),
-                ],
-                names=names,
-            )
+            for doc_id, text in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1))):
+                words = tokens(text)
+                total, base, known, rest = own.read(words)
+                if not rest:
+                    rest[b"  %d" % row] = 1  # no pair has two spaces, so it only carries the head
+                rows += [row] * len(rest)
+                left += rest.keys()
+                times += rest.values()
+                heads += [(doc_id, len(words), known, base, total)] + [None] * (len(rest) - 1)
+                row += 1
+                if len(rows) > _ROWS:
+                    yield out()
+        if rows:
+            yield out()
 
     return run
 
 
-def fit(train: DataFrame, share: float = SHARE) -> tuple[DataFrame, tuple]:
-    """The counts of all training tokens as a table, and the automaton's parts.
+def _beside(left: DataFrame, right: DataFrame, key: str, least: int) -> DataFrame:
+    """Equi join with a table that has a count `n`: frequent keys, which have many rows, by a broadcast, all others by a merge."""
+    held = F.broadcast(right.where(F.col("n") >= least))
+    rare = left.join(held.select(key), key, "left_anti").join(right.where(F.col("n") < least).hint("merge"), key)
+    return left.join(held, key).unionByName(rare)
+
+
+def fit(train: DataFrame, share: float = SHARE) -> tuple[Rest, tuple]:
+    """The model of all training tokens and pairs: what is joined, and the automaton's parts.
 
     The automaton holds the words and word pairs that make up at least `share`
     of the training tokens: at most 1 / share of each, which is what reaches
-    the driver and the workers. All other words stay in the table.
+    the driver and the workers. All others stay in tables.
     """
     session_of(train)
-    counts = staged(unigrams(train), "unigrams")
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    least = max(1, math.ceil(share * n))
-    frequent = counts.where(F.col("c") >= least).orderBy(F.desc("c"), "word").collect()
-    names, sizes = [bytes(r["word"]) for r in frequent], [r["c"] for r in frequent]
-    found = train.select("text").mapInArrow(_pairs(names), "code long, c long").groupBy("code").agg(F.sum("c").alias("c")).where(F.col("c") >= least).collect()
-    k = max(1, len(names))
-    return counts, (names, sizes, [(r["code"] // k, r["code"] % k, r["c"]) for r in found], n, v)
-
-
-def score(docs: DataFrame, counts: DataFrame, parts: tuple) -> DataFrame:
+    pair = F.instr(F.col("gram").cast("string"), " ") > 0
+    counts = staged(counted(train).withColumn("pair", pair), "grams")
+    words = counts.where("not pair").select(F.col("gram").alias("word"), F.col("c").alias("n"))
+    n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    least, bottom = max(1, math.ceil(share * n)), n + SMOOTH * (v + 1)
+
+    def part(k: int):
+        return F.substring_index(F.col("gram").cast("string"), " ", k).cast("binary")
+
+    pairs = counts.where("pair").select("gram", "c", part(1).alias("word"), part(-1).alias("after"))
+    root = (F.col("n") + SMOOTH) / F.lit(bottom)
+    met = _beside(pairs, words.withColumnRenamed("word", "after"), "after", least)
+    arcs = staged(met.select("gram", "c", "word", root.alias("root")), "arcs")
+    after = arcs.groupBy("word").agg(F.count("*").alias("kinds"), F.sum("root").alias("met"))
+    # Every token is followed by one, so the arcs of a state give away all of its count but DISCOUNT each.
+    fail = F.log10(F.greatest(F.lit(1e-9), DISCOUNT * F.col("kinds") / F.col("n")) / F.greatest(F.lit(1e-9), 1 - F.col("met")))
+    states = staged(words.hint("merge").join(after, "word").select("word", "n", fail.alias("fail")), "states")
+    rare = F.col("c") < least
+    told = _beside(arcs.where(rare), states, "word", least).select("gram", F.lit(0).alias("known"), F.lit(0.0).alias("base"), (F.log10((F.col("c") - DISCOUNT) / F.col("n")) - F.col("fail") - F.log10("root")).alias("total"))
+    alone = states.where(F.col("n") < least).select(F.col("word").alias("gram"), F.lit(1).alias("known"), F.log10(root).alias("base"), (F.log10(root) + F.col("fail")).alias("total"))
+    held = states.where(F.col("n") >= least).orderBy(F.desc("n"), "word").collect()
+    names = [bytes(r["word"]) for r in held]
+    ids = {w: i for i, w in enumerate(names)}
+    found = [(*(ids[w] for w in bytes(r["gram"]).split(b" ")), r["c"]) for r in counts.where("pair").where(~rare).select("gram", "c").collect()]
+    return Rest(told.unionByName(alone), [r["fail"] for r in held]), (names, [r["n"] for r in held], found, n, v)
+
+
+def score(docs: DataFrame, rest: Rest, parts: tuple) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row of (doc_id, text).
 
-    The automaton reads each text once. Words it doesn't hold, none of which is
-    frequent, meet their counts in one join, and their log probabilities are
-    added up by row; rows are numbered when the traversal is written, so copies
-    and null ids stay apart. Null and empty texts are one end token. Without
-    training texts every token has the smoothed probability of a new one.
-    Extra columns are ignored; an empty table gives an empty result.
+    The automaton reads each text once. Words and pairs it doesn't hold, none of
+    which is frequent, meet their weights in one join, and these are added up by
+    row; rows are numbered as they are read, so copies and null ids stay apart.
+    Null and empty texts are one end token. Without training texts every token
+    has the smoothed probability of a new one. Extra columns are ignored; an
+    empty table gives an empty result.
     """
     spark = session_of(docs)
     bottom = parts[3] + SMOOTH * (parts[4] + 1)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    read = staged(source.mapInArrow(_traversed(spark.sparkContext.broadcast(parts)), _READ), "read")
-    left = read.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
-    met = left.join(counts.hint("merge"), "word", "left").select("row", "times", F.coalesce("c", F.lit(0)).alias("c"))
-    sums = met.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * F.log10((F.col("c") + SMOOTH) / F.lit(bottom))).alias("rest"))
-    whole = read.drop("words", "times").join(sums.hint("merge"), "row", "left")
-    rest = F.coalesce("rest", F.lit(0.0))
-    return whole.select("doc_id", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(parts[3]).cast("long").alias("train_tokens"), (F.col("base") + rest).alias("base_score"), (F.col("total") + rest).alias("score"))
+    read = source.mapInArrow(_traversed(spark.sparkContext.broadcast((*parts, rest.fail))), _READ)
+    met = read.join(rest.weights.hint("merge"), "gram", "left")
+    new = F.when(F.instr(F.col("gram").cast("string"), " ") > 0, 0.0).otherwise(math.log10(SMOOTH / bottom))
+    sums = {c: F.sum(F.col("times") * F.coalesce(c, new if c != "known" else F.lit(0))) for c in ("known", "base", "total")}
+    whole = met.groupBy("row").agg(F.max("head.doc_id").alias("doc_id"), F.sum("head.n_tokens").alias("n_tokens"), *((F.sum(f"head.{c}") + s).alias(c) for c, s in sums.items()))
+    return whole.select("doc_id", "n_tokens", F.col("known").alias("n_known"), F.lit(parts[3]).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("total").alias("score"))
 
 
 def op8_backoff_automaton(spark, sf_dir: str) -> DataFrame:

@@ -428,6 +428,31 @@ def test_backoff_automaton(spark):
         assert mass + 10 ** own.fail[state] * rest == pytest.approx(1)
 
 
+@pytest.mark.parametrize("share", [1e-9, 0.1, 1.0])
+def test_every_pair_is_scored_whatever_is_held(spark, share):
+    from siftstone.llm import lm
+
+    texts = ["a b a b c", "a b", "", None, "rare pair once", "once rare a b", "q unseen a c", "b c a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    train = docs.where("doc_id <> 6")
+    got = {r.doc_id: r.score for r in lm.score(docs, *lm.fit(train, share=share)).collect()}
+    runs = [[*words(r.text), "\n"] for r in train.collect()]
+    c = Counter(w for run in runs for w in run)
+    pairs = Counter(p for run in runs for p in zip(["\n", *run], run))
+    n, v = sum(c.values()), len(c)
+    root = lambda w: (c[w] + 0.1) / (n + 0.1 * (v + 1))
+
+    def p(a, b):
+        after = [y for x, y in pairs if x == a]
+        if not after:
+            return root(b)
+        return (pairs[a, b] - 0.75) / c[a] if b in after else 0.75 * len(after) / c[a] / (1 - sum(map(root, after))) * root(b)
+
+    for i, text in enumerate(texts):
+        run = [*words(text), "\n"]
+        assert got[i] == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip(["\n", *run], run))), text
+
+
 # ------------------------------------------------------------------- token index
 
 
