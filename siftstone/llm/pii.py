@@ -3,27 +3,26 @@
 from __future__ import annotations
 
 import re
+import zlib
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import clean_text, documents, session_of, staged
+from siftstone.llm.common import Memo, clean_text, documents, session_of, staged
 
 #: Kinds of entity, in the order that breaks ties.
 KINDS = ("email", "ip", "card", "phone")
-#: Words on each side of an entity whose terms may reveal it.
-REACH = 8
-#: Characters on each side beyond which context ends, however long its words are.
-REACH_CHARS = 400
-#: Distinct texts in which a term must stand near an entity.
+#: Distinct texts in which a term must stand with an entity.
 SUPPORT = 2
-#: Terms that are sent to every task to be counted; beyond it they are joined by a shuffle.
-BROADCAST = 200_000
+#: Bits of the filters that keep what can't match from the joins; a false hit is dropped there.
+BITS = 1 << 26
+_FLUSH = 300_000
 #: A term is removed if it reveals this share of an entity's information, and generalised from the lower share on.
 REMOVE, GENERALISE = 0.95, 0.8
 
@@ -36,8 +35,6 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DIGITS = re.compile(r"[^0-9]")
 _TERM = re.compile(r"[^\W\d_]{3,}")
-_SPACES = frozenset(" \t\n\x0b\x0c\r")
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def luhn(digits: str) -> bool:
@@ -84,41 +81,145 @@ def entity_of(text: str, span: tuple[int, int, str]) -> str:
     return f"{span[2]}:{value if span[2] in ('email', 'ip') else _DIGITS.sub('', value)}"
 
 
-def context(text: str, spans: list[tuple[int, int, str]], reach: int) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the terms within `reach` words of an entity, outside all entities."""
-    found, starts, ends = [], [a for a, _, _ in spans], list(accumulate((b for _, b, _ in spans), max))
-    for span in spans:
-        entity, right, left = entity_of(text, span), span[1], span[0]
-        first, last = max(0, left - REACH_CHARS), min(len(text), right + REACH_CHARS)
-        for _ in range(reach):
-            if not (m := _WORD.search(text, right, last)):
-                break
-            right = m.end()
-        for _ in range(reach):
-            while left > first and text[left - 1] in _SPACES:
-                left -= 1
-            while left > first and text[left - 1] not in _SPACES:
-                left -= 1
-        for m in chain(_TERM.finditer(text, left, span[0]), _TERM.finditer(text, span[1], right)):
-            before = bisect_left(starts, m.end())  # spans that begin before the term ends
-            if not before or ends[before - 1] <= m.start():
-                found.append((entity, m.group().lower(), m.start(), m.end()))
+def terms_of(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[str, int, int]]:
+    """(term, start, end) of the terms of a whole text outside its entities."""
+    starts, ends = [a for a, _, _ in spans], list(accumulate((b for _, b, _ in spans), max))
+    found = []
+    for m in _TERM.finditer(text):
+        before = bisect_left(starts, m.end())  # spans that begin before the term ends
+        if not before or ends[before - 1] <= m.start():
+            found.append((m.group().lower(), m.start(), m.end()))
     return found
 
 
-_FOUND = "row long, doc_id long, key long, spans array<struct<start:int,stop:int,kind:string>>, near array<struct<entity:string,term:string,start:int,stop:int>>"
+def _slots(values: DataFrame, slot: Column) -> bytes:
+    """A bit for each slot in use."""
+    bits = bytearray(BITS // 8)
+    for (x,) in values.select(slot).distinct().toLocalIterator():
+        bits[x >> 3] |= 1 << (x & 7)
+    return bytes(bits)
+
+
+def _text_slot(col: str) -> Column:
+    return F.crc32(F.col(col).cast("binary")) % BITS
+
+
+def _text_hit(bits: bytes) -> Memo:
+    def hit(value: str) -> int:
+        x = zlib.crc32(value.encode()) % BITS
+        return bits[x >> 3] >> (x & 7) & 1
+
+    return Memo(hit)
+
+
+def _source(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(clean_text()).alias("key"), clean_text().alias("text"))
+
+
+def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        entities = [sorted({entity_of(t, s) for s in base_spans(t)}) for t in texts]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(entities, pa.list_(pa.string()))], names=["key", "entities"])
+
+
+def _seen(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, once, copies = shared.value, Counter(), []
+
+        def out() -> pa.RecordBatch:
+            keys, terms, counts = [None] * len(once), [*once.keys()], [*once.values()]
+            for key, own in copies:
+                keys += [key] * len(own)
+                terms += own
+                counts += [1] * len(own)
+            once.clear()
+            copies.clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(terms, pa.string()), pa.array(counts, pa.int64())], names=["key", "term", "c"])
+
+        for batch in batches:
+            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
+                own = {t for t, _, _ in terms_of(text, base_spans(text))}
+                x = key % BITS
+                if bits[x >> 3] >> (x & 7) & 1:
+                    copies.append((key, own))
+                else:
+                    once.update(own)
+            if copies or len(once) > _FLUSH:
+                yield out()
+        if once or copies:
+            yield out()
+
+    return run
+
+
+def _held(shared):
+    lists = pa.list_(pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hit = _text_hit(shared.value)
+        for batch in batches:
+            keys, entities, terms = [], [], []
+            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
+                spans = base_spans(text)
+                own = sorted({e for s in spans if hit[e := entity_of(text, s)]})
+                if own:
+                    keys.append(key)
+                    entities.append(own)
+                    terms.append(sorted({t for t, _, _ in terms_of(text, spans)}))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(entities, lists), pa.array(terms, lists)], names=["key", "entities", "terms"])
 
+    return run
 
-def _found(reach: int):
+
+def revealing(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+    """(entity, term, action) of the terms whose disclosure of an entity exceeds a threshold.
+
+    The disclosure is the pointwise mutual information of term and entity over
+    all distinct texts, as a share of the entity's own information: 1 means
+    that whoever sees the term knows the entity. Terms stand with an entity
+    anywhere in a text; equal texts count once.
+
+    No more texts hold both than hold the entity, so a term of more than
+    n^(1 - g) * held^g texts stays below the share g and needs no pair.
+    """
+    session_of(docs)
+    context, source = docs.sparkSession.sparkContext, _source(docs)
+    found = staged(source.select("key", "text").mapInArrow(_entities, "key long, entities array<string>"), "entities")
+    texts = staged(found.groupBy("key").agg(F.count("*").alias("copies")), "texts")
+    n = texts.count()
+    repeated = context.broadcast(_slots(texts.where("copies > 1"), F.pmod("key", F.lit(BITS))))
+    counted = source.select("key", "text").mapInArrow(_seen(repeated), "key long, term string, c long").groupBy("key", "term").agg(F.sum("c").alias("c"))
+    seen = staged(counted.groupBy("term").agg(F.sum(F.when(F.col("key").isNull(), F.col("c")).otherwise(1)).alias("seen")).where(F.col("seen") >= support), "seen")
+
+    held = found.select("key", F.explode("entities").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("held")).where(F.col("held") >= support)
+    most = F.pow(F.lit(float(max(n, 1))), 1 - generalise) * F.pow("held", F.lit(generalise)) * (1 + 1e-9)
+    held = staged(held.withColumn("most", most), "held")
+    limit = held.agg(F.coalesce(F.max("most"), F.lit(0.0))).first()[0]
+    with_entity = staged(source.select("key", "text").mapInArrow(_held(context.broadcast(_slots(held, _text_slot("entity")))), "key long, entities array<string>, terms array<string>"), "with_entity")
+    rare = with_entity.select("key", F.explode("terms").alias("term")).distinct().join(seen.where(F.col("seen") <= limit).hint("merge"), "term")
+    kept = with_entity.select("key", F.explode("entities").alias("entity")).distinct().join(held.hint("merge"), "entity")
+    pairs = rare.join(kept.hint("merge"), "key").where(F.col("seen") <= F.col("most"))
+    scored = pairs.groupBy("entity", "term").agg(F.count("*").alias("both"), F.max("seen").alias("seen"), F.max("held").alias("held")).where(F.col("both") >= support)
+    bits = F.log2(F.col("both") * n / (F.col("held") * F.col("seen")))
+    # An entity of every text carries no information, so nothing can disclose it.
+    scored = scored.select("entity", "term", F.try_divide(bits, F.log2(n / F.col("held"))).alias("share")).where(F.col("share") >= generalise)
+    return scored.select("entity", "term", F.when(F.col("share") >= remove, "removed").otherwise("term").alias("action"))
+
+
+_FOUND = "row long, doc_id long, key long, spans array<struct<start:int,stop:int,kind:string>>, near array<struct<term:string,start:int,stop:int>>"
+
+
+def _found(shared):
     span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.string())]))
-    near = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
+    near = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 40
+        row, hit = TaskContext.get().partitionId() << 40, _text_hit(shared.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column(2).to_pylist()]
+            texts = batch.column(2).to_pylist()
             spans = [base_spans(t) for t in texts]
-            terms = [context(t, s, reach) if s else [] for t, s in zip(texts, spans)]
+            terms = [[x for x in terms_of(t, s) if hit[x[0]]] for t, s in zip(texts, spans)]
             first, row = row, row + len(texts)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -126,7 +227,7 @@ def _found(reach: int):
                     batch.column(0),
                     batch.column(1),
                     pa.array([[{"start": a, "stop": b, "kind": k} for a, b, k in s] for s in spans], span),
-                    pa.array([[{"entity": e, "term": w, "start": a, "stop": b} for e, w, a, b in t] for t in terms], near),
+                    pa.array([[{"term": w, "start": a, "stop": b} for w, a, b in t] for t in terms], near),
                 ],
                 names=["row", "doc_id", "key", "spans", "near"],
             )
@@ -134,41 +235,18 @@ def _found(reach: int):
     return run
 
 
-def find(docs: DataFrame, reach: int = REACH) -> DataFrame:
-    """Base spans and the terms near them, for every whole text; written once, read by every later step."""
+def find(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """Base spans and the places of what may be one of the terms, for every whole text; written once."""
     session_of(docs)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(clean_text()).alias("key"), clean_text().alias("text"))
-    return staged(source.mapInArrow(_found(reach), _FOUND), "pii")
-
-
-def revealing(found: DataFrame, docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """(entity, term, action) of the terms whose disclosure of an entity exceeds a threshold.
-
-    The disclosure is the pointwise mutual information of term and entity over
-    all distinct texts, as a share of the entity's own information: 1 means
-    that whoever sees the term knows the entity. Frequencies of the terms are
-    counted in all texts of the corpus; equal texts count once.
-    """
-    near = found.where(F.size("near") > 0).select("key", F.explode("near").alias("x")).select("key", "x.entity", "x.term").distinct()
-    joint = staged(near.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support), "joint")
-    held = found.where(F.size("near") > 0).select("key", F.explode("near.entity").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("held"))
-    names = joint.select("term").distinct()
-    words = docs.select(F.xxhash64(clean_text()).alias("key"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}"), F.lit(0)))).alias("term"))
-    held_words = words.join(F.broadcast(names) if names.count() <= BROADCAST else names, "term", "left_semi")
-    seen = held_words.distinct().groupBy("term").agg(F.count("*").alias("seen"))
-    texts = found.select("key").distinct().agg(F.count("*").alias("n")).scalar()
-    scored = joint.join(held, "entity").join(seen, "term", "left")
-    bits = F.log2(F.col("both") * texts / (F.col("held") * F.greatest("seen", "both")))
-    # An entity of every text carries no information, so nothing can disclose it.
-    scored = scored.select("entity", "term", F.try_divide(bits, F.log2(texts / F.col("held"))).alias("share")).where(F.col("share") >= generalise)
-    return scored.select("entity", "term", F.when(F.col("share") >= remove, "removed").otherwise("term").alias("action"))
+    shared = docs.sparkSession.sparkContext.broadcast(_slots(terms, _text_slot("term")))
+    return staged(_source(docs).mapInArrow(_found(shared), _FOUND), "pii")
 
 
 def term_spans(found: DataFrame, terms: DataFrame) -> DataFrame:
-    """(row, more): the places near entities of the terms that reveal them, as spans."""
+    """(row, more): the places of the terms that reveal an entity, in any text, as spans."""
     near = found.where(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.*")
-    hits = near.join(terms, ["entity", "term"]).select("row", "start", "stop", F.col("action").alias("kind")).groupBy("row", "start", "stop").agg(F.min("kind").alias("kind"))
-    return hits.groupBy("row").agg(F.collect_list(F.struct("start", "stop", "kind")).alias("more"))
+    actions = terms.groupBy("term").agg(F.min("action").alias("kind"))
+    return near.join(actions.hint("merge"), "term").groupBy("row").agg(F.collect_list(F.struct("start", "stop", "kind")).alias("more"))
 
 
 _NONE = "cast(array() as array<struct<start:int,stop:int,kind:string>>)"
@@ -177,12 +255,12 @@ _NONE = "cast(array() as array<struct<start:int,stop:int,kind:string>>)"
 def detect(docs: DataFrame) -> DataFrame:
     """(doc_id, key, base, spans): the base spans of every row of (doc_id, text), and those with the revealing terms.
 
-    Only what stands near an entity is gathered, by row; texts are never
-    shuffled. Null and empty texts have no spans; null ids and repeated rows
+    A revealing term is marked wherever it stands, with an entity or alone. Only
+    places that may be one are gathered, by row; texts are never shuffled. Null and empty texts have no spans; null ids and repeated rows
     each return a row; extra columns are ignored.
     """
-    found = find(docs)
-    terms = staged(revealing(found, docs), "terms")
+    terms = staged(revealing(docs), "terms")
+    found = find(docs, terms)
     every = found.select("row", "doc_id", "key", "spans").join(term_spans(found, terms).hint("merge"), "row", "left")
     return every.select("doc_id", "key", F.col("spans").alias("base"), F.expr(f"concat(spans, coalesce(more, {_NONE}))").alias("spans"))
 

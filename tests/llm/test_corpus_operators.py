@@ -291,6 +291,21 @@ def test_terms_that_reveal_an_entity(spark):
     assert "[EMAIL]" in clean and "zanzibari" not in clean and clean.startswith("common words")
 
 
+def test_revealing_terms_are_marked_far_from_an_entity_and_without_it(spark):
+    from siftstone.llm import pii
+
+    far = " ".join(f"word{i}" for i in range(300))
+    docs = [(i, f"common words here number {i} filler{i} {far}") for i in range(2000)]
+    docs += [(3000 + i, f"common zanzibari {far} mail joe@x.org {far} quuxley {i}") for i in range(2)]
+    docs += [(3002, f"common zanzibari alone {far}"), (3003, docs[-1][1])]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    out, text = rows_of(pii.detect(frame)), dict(docs)
+    found = {i: {(s.kind, text[i][s.start : s.stop]) for s in out[i].spans} for i in out}
+    assert {("email", "joe@x.org"), ("term", "zanzibari"), ("removed", "quuxley")} <= found[3000]
+    assert found[3002] == {("term", "zanzibari")} and found[3003] == found[3001] and found[5] == set()
+    assert rows_of(pii.sanitise(frame))[3002].text.startswith("common [TERM] alone")
+
+
 # --------------------------------------------------------------- decontamination
 
 
