@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +29,12 @@ def session_of(df: DataFrame) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/siftstone-checkpoints"
+    """The folder all executors share: spark.checkpoint.dir, or, on one machine only, a folder of its own."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"file://{tempfile.gettempdir()}/siftstone-checkpoints"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -59,6 +65,20 @@ def byte_texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()]
 
 
+def word_codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Words of an Arrow string column, A-Z lower-cased, as (code of each word, words of each text, word of each code); null is empty."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(column.fill_null("")))
+    flat = lists.flatten()
+    coded = flat.dictionary_encode()
+    codes, names = coded.indices.to_numpy(), coded.dictionary.cast(pa.binary() if pa.types.is_string(flat.type) else pa.large_binary()).to_pylist()
+    sizes = np.diff(lists.offsets.to_numpy())
+    if b"" in names:  # white space at the ends of a text splits off an empty word
+        real = codes != names.index(b"")
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        codes, sizes = codes[real], np.bincount(text[real], minlength=len(sizes))
+    return codes, sizes, names
+
+
 def crc32_of(values: Iterable) -> list[int]:
     """id_crc32 on the Python side."""
     return [zlib.crc32(b"" if x is None else str(x).encode()) for x in values]

@@ -90,7 +90,7 @@ def test_every_operator_survives_an_empty_table(spark, empty):
         decontaminate.decontaminate(empty, bench),
         minhash.near_duplicates(empty),
         minhash.representatives(empty),
-        lm.score(empty, *lm.fit(empty)),
+        lm.score(empty, "true"),
         token_index.read_index(token_index.write_index(empty, shared_dir(spark) + "/none", P.path("byte_bpe_50k.json"))),
         quality.quality(empty, quality.trusted_ids(labels)),
     ]
@@ -420,52 +420,74 @@ def test_components_of_a_long_path(spark):
 # ----------------------------------------------------------------- language model
 
 
-def test_backoff_automaton(spark):
+LM_TEXTS = ["a b a b c", "a b", "", None, "rare pair once", "once rare a b", "q unseen a c", "b c a", " A\tb\x0bc ", "a b a b c"]
+
+
+def plain_backoff(texts, train, give):
+    """Scores by a dictionary automaton: one token at a time, failing from state to state."""
+    runs = [["\n", *words(t), "\n"] for t in train]
+    reads = Counter(w for run in runs for w in run[1:])
+    n, v = sum(reads.values()), len(reads)
+    grams = {k: Counter(tuple(run[i - k + 1 : i + 1]) for run in runs for i in range(max(1, k - 1), len(run))) for k in (2, 3)}
+    held = {(w,): c for w, c in reads.items()} | dict(grams[2])
+    held[("\n",)] = len(runs)
+
+    def read(state, word):
+        if not state:
+            return math.log10((reads[word] + 0.1) / (n + 0.1 * (v + 1)))
+        k, size = give[len(state) - 1], held.get(state, 0)
+        lower, arc = read(state[1:], word), grams[len(state) + 1][(*state, word)]
+        return math.log10((arc + k * 10**lower) / (size + k)) if arc else math.log10(k / (size + k)) + lower
+
+    out = []
+    for t in texts:
+        total, state = 0.0, ("\n",)
+        for w in [*words(t), "\n"]:
+            total += read(state, w)
+            state = (*state, w)[-2:]
+        out.append(total)
+    return out, reads, n, v, read
+
+
+@pytest.mark.parametrize(("tokens", "part"), [(1 << 22, 8 << 20), (4, 16), (1, 1)])
+def test_blocks_and_parts_score_like_a_plain_automaton(spark, tokens, part):
+    from siftstone.llm import lm
+
+    docs = spark.createDataFrame(list(enumerate(LM_TEXTS)), "doc_id long, text string").repartition(3)
+    found = rows_of(lm.score(docs, "doc_id <> 6", block_tokens=tokens, part_bytes=part))
+    scores, reads, n, v, _ = plain_backoff(LM_TEXTS, [t for i, t in enumerate(LM_TEXTS) if i != 6], lm.BACKOFF)
+    for i, t in enumerate(LM_TEXTS):
+        toks, r = [*words(t), "\n"], found[i]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(toks), sum(reads[w] > 0 for w in toks), n)
+        assert r.base_score == pytest.approx(sum(math.log10((reads[w] + 0.1) / (n + 0.1 * (v + 1))) for w in toks))
+        assert r.score == pytest.approx(scores[i]), t
+
+
+def test_every_state_is_a_distribution():
+    from siftstone.llm import lm
+
+    *_, reads, n, v, read = plain_backoff([], LM_TEXTS, lm.BACKOFF)
+    for state in [(), ("a",), ("\n",), ("a", "b"), ("unseen", "c")]:
+        assert sum(10 ** read(state, w) for w in [*reads, "a new word"]) == pytest.approx(1)
+
+
+def test_texts_that_change_between_reads_are_told():
     from siftstone.llm import lm
 
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b a b c", "a b", "", None, "a A b z", "q"] * 3)], "doc_id long, text string")
-    train = docs.where("doc_id % 6 <> 4")
-    counts, parts = lm.fit(train, share=0.1)
-    got = {r.doc_id: r for r in lm.score(docs, counts, parts).collect()}
-    c = Counter(w for r in train.collect() for w in [*words(r.text), "\n"])
-    n, v = sum(c.values()), len(c)
-    for r in docs.collect():
-        toks = [*words(r.text), "\n"]
-        q = got[r.doc_id]
-        assert (q.n_tokens, q.n_known, q.train_tokens) == (len(toks), sum(c[w] > 0 for w in toks), n)
-        assert q.base_score == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in toks))
-        assert q.score <= 0
-    names = parts[0]
-    own = lm.Automaton(*parts)
-    for state in range(len(names)):  # the arcs and the backoff of a state make one distribution
-        rest = 1 - sum((x + 0.1) / own.bottom for x in parts[1])
-        mass = sum(10 ** own.arcs[state][i] if i in own.arcs[state] else 10 ** (own.fail[state] + own.root[i]) for i in range(len(names)))
-        assert mass + 10 ** own.fail[state] * rest == pytest.approx(1)
-
-
-@pytest.mark.parametrize("share", [1e-9, 0.1, 1.0])
-def test_every_pair_is_scored_whatever_is_held(spark, share):
+    keys = np.sort(np.random.default_rng(1).integers(0, 2**63, 1000, dtype=np.uint64))
+    assert (lm.unpack(lm.pack(keys)) == keys).all() and lm.unpack(lm.pack(keys[:0])).size == 0
+    back, times = lm._unpack_keys(lm._pack_keys(keys, keys % np.uint64(300)))
+    assert (back == keys).all() and (times == keys % np.uint64(300)).all()
+    assert lm._mark(keys) != lm._mark(keys[1:])
+    assert [len(keys[a:b]) for p in (1, 7) for a, b in zip(lm._bounds(keys, p), lm._bounds(keys, p)[1:])][0] == 1000
+
+
+def test_without_training_texts_every_token_is_new(spark):
     from siftstone.llm import lm
 
-    texts = ["a b a b c", "a b", "", None, "rare pair once", "once rare a b", "q unseen a c", "b c a"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    train = docs.where("doc_id <> 6")
-    got = {r.doc_id: r.score for r in lm.score(docs, *lm.fit(train, share=share)).collect()}
-    runs = [[*words(r.text), "\n"] for r in train.collect()]
-    c = Counter(w for run in runs for w in run)
-    pairs = Counter(p for run in runs for p in zip(["\n", *run], run))
-    n, v = sum(c.values()), len(c)
-    root = lambda w: (c[w] + 0.1) / (n + 0.1 * (v + 1))
-
-    def p(a, b):
-        after = [y for x, y in pairs if x == a]
-        if not after:
-            return root(b)
-        return (pairs[a, b] - 0.75) / c[a] if b in after else 0.75 * len(after) / c[a] / (1 - sum(map(root, after))) * root(b)
-
-    for i, text in enumerate(texts):
-        run = [*words(text), "\n"]
-        assert got[i] == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip(["\n", *run], run))), text
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    r = lm.score(docs, "false").first()
+    assert (r.n_known, r.train_tokens, r.base_score, r.score) == (0, 0, 0.0, 0.0)
 
 
 # ------------------------------------------------------------------- token index
