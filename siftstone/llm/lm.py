@@ -25,7 +25,7 @@ SMOOTH = 0.1
 #: Tokens that a state gives to the state it fails to: for states of one word, and of two.
 BACKOFF = (1000.0, 16.0)
 #: Tokens of a block of texts, and bytes of text for each part of the counts; both only bound a worker's memory.
-BLOCK_TOKENS, PART_BYTES = 1 << 22, 8 << 20
+BLOCK_TOKENS, PART_BYTES = 1 << 21, 8 << 20
 _ORDER = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 _KEYS = 1 << 63
 _CHANGED = "the texts of a block are not those that were counted"
@@ -259,7 +259,9 @@ def _traversed(path: str, least: int, n: int, v: int, backoff: tuple[float, floa
                     raise RuntimeError(_CHANGED)
                 counts.append(np.empty(len(keys)))
                 counts[-1][by_key] = np.repeat(found.astype(float), np.diff(heads, append=len(keys)))
-            score, base, known = Automaton(block, counts, n, v, backoff).traverse()
+            own = Automaton(block, counts, n, v, backoff)
+            del keys, by_key, heads, found, counts
+            score, base, known = own.traverse()
             yield pa.RecordBatch.from_arrays([doc_ids.cast(pa.int64()), pa.array(block.sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(score)], schema=schema)
 
     return run
