@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -173,7 +174,7 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self._of = Tokenizer.from_file(path)
-        self._model, self._cut = self._of.model, self._of.pre_tokenizer.pre_tokenize_str
+        self._tokenize, self._cut = self._of.model.tokenize, self._of.pre_tokenizer.pre_tokenize_str
         self.kind = "<u2" if max(self._of.get_vocab_size(), end + 1) <= 2**16 else "<u4"
         self._code = "H" if self.kind == "<u2" else "I"
         self._special = [t.content for t in self._of.get_added_tokens_decoder().values()]
@@ -183,37 +184,46 @@ class Tokens:
         for first in (*range(0x80, 0x800, 64), *range(0x80, 0xC0), *range(0x1000, 0xD000, 0x1000), *range(0xE000, 0x10000, 0x1000), *range(0x40000, 0x110000, 0x40000)):
             for byte, stand in zip(chr(first).encode(), self._cut("a" + chr(first))[-1][0][-len(chr(first).encode()) :]):
                 stands[byte] = stand
-        stands[32] = self._cut("a a")[1][0][0]
+        self._space = self._cut("a a")[1][0][0]
         self._stand = str.maketrans({chr(b): c for b, c in stands.items()})
-        self._known, self._plain = Memo(self._spaced, remember), Memo(self._unit, 50_000)
+        self._known, self._plain = Memo(self._marked, remember), Memo(self._unit, 50_000)
 
     def _pack(self, ids: list[int]) -> bytes:
         return array(self._code, ids).tobytes()
 
-    def _spaced(self, word: str) -> bytes:
+    def _letters(self, word: str) -> bytes:
+        """Packed ids of a space and letters, which are one piece."""
+        stands = word if word.isascii() else word.encode().decode("latin-1").translate(self._stand)
+        return self._pack([t.id for t in self._tokenize(self._space + stands)])
+
+    def _unit(self, unit: str) -> bytes:
+        return self._pack([t.id for piece, _ in self._cut(unit) for t in self._tokenize(piece)])
+
+    def _marked(self, word: str) -> bytes:
+        """Packed ids of a unit without the space before it, or of a newline and the unit after it."""
+        if word.isalpha():
+            return self._letters(word)
+        if word[0] == "\n":
+            return self._plain["\n"] + self._plain[word[1:]]
         cut = head_and_tail(word)
         return self._known[cut[0]] + self._plain[cut[1]] if cut else self._unit(" " + word)
 
-    def _unit(self, unit: str) -> bytes:
-        if (unit[1:] if unit[0] == " " else unit).isalpha():
-            pieces = [unit.encode().decode("latin-1").translate(self._stand)]
-        else:
-            pieces = [p for p, _ in self._cut(unit)]
-        return self._pack([t.id for p in pieces for t in self._model.tokenize(p)])
-
-    def _cached(self, text: str) -> bytes:
-        out = []
-        for k, line in enumerate(text.split("\n")):
-            if k:
-                out.append(self._plain["\n"])
-            first, *rest = line.split(" ")
-            out.append(self._plain[first])
-            out.extend(map(self._known.__getitem__, rest))
-        return b"".join(out)
+    def _by_units(self, texts: pa.Array) -> list[bytes]:
+        """Packed ids of texts that can be cut into units: each distinct unit of a batch is looked up once, and Arrow lays the ids out in the order of the units."""
+        # Each newline, and one that is put before the text, gets a space before it, so that units are what stands between spaces.
+        spaced = pc.binary_join_element_wise(pa.scalar("\n", texts.type), pc.replace_substring(texts, "\n", " \n"), pa.scalar("", texts.type))
+        lists = pc.split_pattern(spaced, " ")
+        coded = lists.flatten().dictionary_encode()
+        ids = pa.array([self._known[w] for w in coded.dictionary.to_pylist()], pa.large_binary()).take(coded.indices)
+        at = np.frombuffer(ids.buffers()[1], "<i8", len(ids) + 1, 8 * ids.offset)[lists.offsets.to_numpy()].tolist()
+        whole, first = memoryview(ids.buffers()[2]), len(self._plain["\n"])
+        return [bytes(whole[a + first : b]) for a, b in zip(at, at[1:])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text, with the end id."""
-        return [(self._cached(t) if lone_spaces(t) and not any(s in t for s in self._special) else self._pack(self._of.encode(t, add_special_tokens=False).ids)) + self._end for t in texts]
+        cut = [lone_spaces(t) and not any(s in t for s in self._special) for t in texts]
+        units = iter(self._by_units(pa.array([t for t, c in zip(texts, cut) if c], pa.large_string())) if any(cut) else ())
+        return [(next(units) if c else self._pack(self._of.encode(t, add_special_tokens=False).ids)) + self._end for t, c in zip(texts, cut)]
 
 
 @lru_cache(1)
