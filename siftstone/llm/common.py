@@ -70,7 +70,7 @@ def word_codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     lists = pc.ascii_split_whitespace(pc.ascii_lower(column.fill_null("")))
     flat = lists.flatten()
     coded = flat.dictionary_encode()
-    codes, names = coded.indices.to_numpy(), coded.dictionary.cast(pa.binary() if pa.types.is_string(flat.type) else pa.large_binary()).to_pylist()
+    codes, names = coded.indices.to_numpy(), coded.dictionary.cast(pa.binary() if pa.types.is_string(flat.type) else pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
     sizes = np.diff(lists.offsets.to_numpy())
     if b"" in names:  # white space at the ends of a text splits off an empty word
         real = codes != names.index(b"")

@@ -36,6 +36,8 @@ SHARD_ROWS = 16_384
 #: Keys for each displacement of the hash, on average.
 BUCKET = 4
 HEADER = 4096
+#: Bytes of text that are encoded together.
+GATHER = 8 << 20
 _NULL_KEY = np.iinfo(np.int64).min
 _MANIFEST = "shard int, path string, low long, high long, nulls long, n_docs long, n_ids long"
 
@@ -48,8 +50,8 @@ def _hashes(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return a, b, (mix64(a ^ b) >> np.uint64(32)).astype(np.uint32)
 
 
-def _place(h: np.ndarray, d: int, n: int) -> np.ndarray:
-    return (mix64(h + np.uint64(d * 0x9E3779B97F4A7C15 % 2**64)) % np.uint64(n)).astype(np.int64)
+def _place(h: np.ndarray, d: int | np.ndarray, n: int) -> np.ndarray:
+    return (mix64(h + np.atleast_1d(np.asarray(d, np.uint64)) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(n)).astype(np.int64)
 
 
 def build_hash(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,28 +104,26 @@ class Shard:
         self.kind = np.dtype(head["ids"])
         self._ids = self._fs.open_input_file(path + ".ids")
 
-    def first(self, key: int | None) -> int | None:
-        """The first record of a key, or None where the stored fingerprint or key says it is absent."""
-        key = _NULL_KEY if key is None else key
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The first record of each key, or -1 where the stored fingerprint or key says it is absent."""
         if not len(self.prints):
-            return None
-        a, b, prints = _hashes(np.array([key]))
-        d = int(self.displaced[int(a[0] % np.uint64(len(self.displaced)))])
-        slot = -1 - d if d < 0 else int(_place(b, d, len(self.prints))[0])
-        record = int(self.records[slot])
-        return record if self.prints[slot] == prints[0] and self.keys[record] == key else None
+            return np.full(len(keys), -1)
+        a, b, prints = _hashes(keys)
+        d = self.displaced[(a % np.uint64(len(self.displaced))).astype(np.int64)].astype(np.int64)
+        slot = np.where(d < 0, -1 - d, _place(b, np.maximum(d, 0), len(self.prints)))
+        record = self.records[slot].astype(np.int64)
+        return np.where((self.prints[slot] == prints) & (self.keys[record] == keys), record, -1)
 
     def ids(self, record: int) -> np.ndarray:
         size = self.kind.itemsize
         return np.frombuffer(self._ids.read_at(int(self.before[record + 1] - self.before[record]) * size, int(self.before[record]) * size), self.kind)
 
-    def get(self, key: int | None) -> list[np.ndarray]:
-        """The ids of every record of a key; repeated keys stand side by side."""
-        found, at = [], self.first(key)
-        while at is not None and at < len(self.keys) and self.keys[at] == (_NULL_KEY if key is None else key):
-            found.append(self.ids(at))
-            at += 1
-        return found
+    def records_of(self, keys: list[int | None]) -> list[range]:
+        """The records of each key, in one look-up; repeated keys stand side by side."""
+        named = np.array([_NULL_KEY if k is None else k for k in keys], np.int64)
+        first = self.find(named)
+        after = np.searchsorted(self.keys, named, side="right")
+        return [range(a, b) if a >= 0 else range(0) for a, b in zip(first.tolist(), after.tolist())]
 
 
 class Writer:
@@ -214,7 +214,7 @@ class Tokens:
         spaced = pc.binary_join_element_wise(pa.scalar("\n", texts.type), pc.replace_substring(texts, "\n", " \n"), pa.scalar("", texts.type))
         lists = pc.split_pattern(spaced, " ")
         coded = lists.flatten().dictionary_encode()
-        ids = pa.array([self._known[w] for w in coded.dictionary.to_pylist()], pa.large_binary()).take(coded.indices)
+        ids = pa.array(list(map(self._known.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False))), pa.large_binary()).take(coded.indices)
         at = np.frombuffer(ids.buffers()[1], "<i8", len(ids) + 1, 8 * ids.offset)[lists.offsets.to_numpy()].tolist()
         whole, first = memoryview(ids.buffers()[2]), len(self._plain["\n"])
         return [bytes(whole[a + first : b]) for a, b in zip(at, at[1:])]
@@ -231,12 +231,26 @@ def _tokens(path: str, end: int) -> Tokens:
     return Tokens(path, end)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], size: int = GATHER) -> Iterator[tuple[list, list[str]]]:
+    """Keys and texts of batches put together until they hold `size` bytes, so that more of their units are the same."""
+    keys, texts, n = [], [], 0
+    for batch in batches:
+        keys += batch.column(0).to_pylist()
+        texts += batch.column(1).to_numpy(zero_copy_only=False).tolist()
+        n += batch.nbytes
+        if n >= size:
+            yield keys, texts
+            keys, texts, n = [], [], 0
+    if keys:
+        yield keys, texts
+
+
 def write_index(docs: DataFrame, folder: str, tokenizer: str, end: int = 2, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Write the shards of (doc_id, text) below `folder`; returns the manifest, one row for each shard.
 
     Rows are dealt by ranges of doc_id, so shards ascend and each is sorted; it
     is the only shuffle, and it moves texts, which are smaller than their ids.
-    A task streams its rows, so memory holds one batch and the shard's index.
+    A task streams its rows, so memory holds some megabytes of text and the shard's index.
     A task that is run again writes the same files and renames them into place.
 
     Null texts have only the end id. Null ids come first, under a reserved key.
@@ -252,8 +266,8 @@ def write_index(docs: DataFrame, folder: str, tokenizer: str, end: int = 2, shar
         own, shard = _tokens(tokenizer, end), TaskContext.get().partitionId()
         base = f"{folder}/{shard:07d}"
         out, size = Writer(base, own.kind), np.dtype(own.kind).itemsize
-        for batch in batches:
-            for key, ids in zip(batch.column(0).to_pylist(), own.encode(batch.column(1).to_pylist())):
+        for keys, texts in _gathered(batches):
+            for key, ids in zip(keys, own.encode(texts)):
                 out.add(key, ids, len(ids) // size)
         low, high, nulls, n_docs, n_ids = out.close()
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [base], "low": pa.array([low], pa.int64()), "high": pa.array([high], pa.int64()), "nulls": pa.array([nulls], pa.int64()), "n_docs": pa.array([n_docs], pa.int64()), "n_ids": pa.array([n_ids], pa.int64())})
@@ -271,14 +285,15 @@ def read_index(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for base, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 shard = Shard(base)
-                keys, first = np.unique(shard.keys, return_index=True)
+                keys = np.unique(shard.keys)
                 for at in range(0, len(keys), 500):
                     ids, starts, names = [], [], []
-                    for key, record in zip(keys[at : at + 500].tolist(), first[at : at + 500].tolist()):
-                        for k, x in enumerate(shard.get(None if key == _NULL_KEY else key)):
-                            names.append(None if key == _NULL_KEY else key)
-                            starts.append(start + int(shard.before[record + k]))
-                            ids.append(x.astype("<u4").tobytes())
+                    asked = [None if key == _NULL_KEY else key for key in keys[at : at + 500].tolist()]
+                    for key, records in zip(asked, shard.records_of(asked)):
+                        for k in records:
+                            names.append(key)
+                            starts.append(start + int(shard.before[k]))
+                            ids.append(shard.ids(k).astype("<u4").tobytes())
                     yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(starts, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "start", "ids"])
 
     shards = manifest.select("path", "ids_before", "shard").repartition(max(1, manifest.count()), "shard").select("path", "ids_before")
@@ -307,10 +322,14 @@ def fetch(keys: DataFrame, manifest: DataFrame) -> DataFrame:
         open_shard = lru_cache(8)(Shard)
         for batch in batches:
             names, ids = [], []
+            asked: dict[str, list] = {}
             for key, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for x in open_shard(base).get(key):
-                    names.append(key)
-                    ids.append(x.astype("<u4").tobytes())
+                asked.setdefault(base, []).append(key)
+            for base, own in asked.items():
+                shard = open_shard(base)
+                for key, records in zip(own, shard.records_of(own)):
+                    names += [key] * len(records)
+                    ids += [shard.ids(k).astype("<u4").tobytes() for k in records]
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return dealt.select("doc_id", "path").repartition("path").sortWithinPartitions("path").mapInArrow(run, "doc_id long, ids binary")
