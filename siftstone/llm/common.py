@@ -87,21 +87,29 @@ def crc32_of(values: Iterable) -> list[int]:
 class Memo(dict):
     """A bounded dict that makes missing values with a function.
 
-    When full it is emptied; frequent keys come back at once, so memory is
-    bounded whatever the vocabulary, and results never depend on it.
+    When half of what it may hold is new, the older half is forgotten, unless it
+    has been asked for meanwhile; so memory is bounded whatever the vocabulary,
+    frequent keys stay, and results never depend on it.
     """
 
     def __init__(self, make, most: int = 400_000):
         super().__init__()
-        self._make, self._most = make, most
+        self._make, self._half, self._older = make, most // 2, {}
 
     def __missing__(self, key):
-        if len(self) >= self._most:
+        value = self._older.pop(key, _ABSENT)
+        if value is _ABSENT:
+            value = self._make(key)
+        if len(self) >= self._half:
+            self._older = dict(self)
             self.clear()
-        value = self[key] = self._make(key)
+        self[key] = value
         return value
 
 
+_ABSENT = object()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of the 64-bit integers (the murmur3 finaliser)."""
     x = x.copy()

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
-#: White space next to white space, or at either end: there the pattern looks further than one character.
+#: ASCII punctuation without the apostrophe, which the pattern may bind to the letters after it.
+TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: White space next to white space: there the pattern looks further than one character.
 _RUN = re.compile(r"\s\s")
 
 
@@ -34,8 +36,8 @@ def units(text: str) -> list[str] | None:
 
 
 def head_and_tail(unit: str) -> tuple[str, str] | None:
-    """A unit cut before the commas and full stops that end it, where a letter stands before them."""
-    head = unit.rstrip(",.")
+    """A unit cut before the punctuation that ends it, where a letter stands before it; the pattern keeps such a run in one piece."""
+    head = unit.rstrip(TAIL)
     if len(head) < len(unit) and head and head[-1].isalpha():
         return head, unit[len(head) :]
     return None

@@ -191,18 +191,14 @@ class Tokens:
     def _pack(self, ids: list[int]) -> bytes:
         return array(self._code, ids).tobytes()
 
-    def _letters(self, word: str) -> bytes:
-        """Packed ids of a space and letters, which are one piece."""
-        stands = word if word.isascii() else word.encode().decode("latin-1").translate(self._stand)
-        return self._pack([t.id for t in self._tokenize(self._space + stands)])
-
     def _unit(self, unit: str) -> bytes:
         return self._pack([t.id for piece, _ in self._cut(unit) for t in self._tokenize(piece)])
 
     def _marked(self, word: str) -> bytes:
         """Packed ids of a unit without the space before it, or of a newline and the unit after it."""
         if word.isalpha():
-            return self._letters(word)
+            stands = word if word.isascii() else word.encode().decode("latin-1").translate(self._stand)
+            return array(self._code, [t.id for t in self._tokenize(self._space + stands)]).tobytes()
         if word[0] == "\n":
             return self._plain["\n"] + self._plain[word[1:]]
         cut = head_and_tail(word)
@@ -214,7 +210,8 @@ class Tokens:
         spaced = pc.binary_join_element_wise(pa.scalar("\n", texts.type), pc.replace_substring(texts, "\n", " \n"), pa.scalar("", texts.type))
         lists = pc.split_pattern(spaced, " ")
         coded = lists.flatten().dictionary_encode()
-        ids = pa.array(list(map(self._known.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False))), pa.large_binary()).take(coded.indices)
+        found = list(map(self._known.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False)))
+        ids = pa.array(found, pa.large_binary()).take(coded.indices)
         at = np.frombuffer(ids.buffers()[1], "<i8", len(ids) + 1, 8 * ids.offset)[lists.offsets.to_numpy()].tolist()
         whole, first = memoryview(ids.buffers()[2]), len(self._plain["\n"])
         return [bytes(whole[a + first : b]) for a, b in zip(at, at[1:])]
