@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: ASCII punctuation without the apostrophe, which the pattern may bind to the letters after it.
 TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: White space next to white space: there the pattern looks further than one character.
@@ -15,6 +18,14 @@ def lone_spaces(text: str) -> bool:
     return bool(text) and not text[0].isspace() and not text[-1].isspace() and not _RUN.search(text)
 
 
+_SPACES = "[" + "".join(f"\\x{{{c:x}}}" for c in range(0x3001) if chr(c).isspace()) + "]"
+
+
+def have_lone_spaces(texts: pa.Array) -> pa.Array:
+    """lone_spaces of an Arrow string column."""
+    return pc.invert(pc.match_substring_regex(texts, f"{_SPACES}{_SPACES}|^{_SPACES}|{_SPACES}$|^$"))
+
+
 def units(text: str) -> list[str] | None:
     """The text cut before every space and around every newline, or None.
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftstone.llm.common import Memo, clean_text, documents, mix64, session_of, shared_dir, staged
-from siftstone.llm.pretokens import head_and_tail, lone_spaces
+from siftstone.llm.pretokens import have_lone_spaces, head_and_tail
 
 #: Documents of one shard.
 SHARD_ROWS = 16_384
@@ -37,7 +37,7 @@ SHARD_ROWS = 16_384
 BUCKET = 4
 HEADER = 4096
 #: Bytes of text that are encoded together.
-GATHER = 8 << 20
+GATHER = 16 << 20
 _NULL_KEY = np.iinfo(np.int64).min
 _MANIFEST = "shard int, path string, low long, high long, nulls long, n_docs long, n_ids long"
 
@@ -216,11 +216,15 @@ class Tokens:
         whole, first = memoryview(ids.buffers()[2]), len(self._plain["\n"])
         return [bytes(whole[a + first : b]) for a, b in zip(at, at[1:])]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> list[bytes]:
         """Packed ids of each text, with the end id."""
-        cut = [lone_spaces(t) and not any(s in t for s in self._special) for t in texts]
-        units = iter(self._by_units(pa.array([t for t, c in zip(texts, cut) if c], pa.large_string())) if any(cut) else ())
-        return [(next(units) if c else self._pack(self._of.encode(t, add_special_tokens=False).ids)) + self._end for t, c in zip(texts, cut)]
+        texts = texts.cast(pa.large_string())
+        cut = have_lone_spaces(texts)
+        for special in self._special:
+            cut = pc.and_(cut, pc.invert(pc.match_substring(texts, special)))
+        units = iter(self._by_units(texts.filter(cut)))
+        rest = (self._pack(e.ids) for e in (self._of.encode(t, add_special_tokens=False) for t in texts.filter(pc.invert(cut)).to_pylist()))
+        return [(next(units) if c else next(rest)) + self._end for c in cut.to_pylist()]
 
 
 @lru_cache(1)
@@ -228,18 +232,18 @@ def _tokens(path: str, end: int) -> Tokens:
     return Tokens(path, end)
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], size: int = GATHER) -> Iterator[tuple[list, list[str]]]:
+def _gathered(batches: Iterator[pa.RecordBatch], size: int = GATHER) -> Iterator[tuple[list, pa.Array]]:
     """Keys and texts of batches put together until they hold `size` bytes, so that more of their units are the same."""
     keys, texts, n = [], [], 0
     for batch in batches:
         keys += batch.column(0).to_pylist()
-        texts += batch.column(1).to_numpy(zero_copy_only=False).tolist()
+        texts.append(batch.column(1))
         n += batch.nbytes
         if n >= size:
-            yield keys, texts
+            yield keys, pa.concat_arrays(texts)
             keys, texts, n = [], [], 0
     if keys:
-        yield keys, texts
+        yield keys, pa.concat_arrays(texts)
 
 
 def write_index(docs: DataFrame, folder: str, tokenizer: str, end: int = 2, shard_rows: int = SHARD_ROWS) -> DataFrame:

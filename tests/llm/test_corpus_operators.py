@@ -572,3 +572,17 @@ def test_pipeline(spark, folder):
     ids = [r.doc_id for r in out]
     assert len(ids) == len(set(ids)) + ids.count(None) - (1 if None in ids else 0)
     assert 2 not in ids and 3 not in ids and all(r.n_tokens == len(r.ids) for r in out)
+
+
+def test_texts_are_cut_into_units_alike_one_by_one_and_in_arrow():
+    import public_tokenizers as P
+    import pyarrow as pa
+
+    from siftstone.llm.pretokens import have_lone_spaces, lone_spaces
+    from siftstone.llm.token_index import Tokens
+
+    texts = ["", " ", "a", "a b", "a  b", " a", "a\n", "a\nb", "a\n b", "a b", "a  b", "a\x1cb", "it's, 'it' x'y*** don't!! (a) [b].\n#c 1,2. é,ü! ¿no? a_b_ **", "<|endoftext|> a", "x\x85y", "日本 語。", "a\tb c", "THE!! END***"]
+    assert have_lone_spaces(pa.array(texts)).to_pylist() == [lone_spaces(t) for t in texts]
+    own = Tokens(P.path("byte_bpe_50k.json"), 2)
+    assert own.encode(pa.array(texts)) == [own._pack([*own._of.encode(t, add_special_tokens=False).ids, 2]) for t in texts]
+    assert own.encode(pa.array([], pa.string())) == []
