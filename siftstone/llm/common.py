@@ -49,6 +49,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def new_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that a frame doesn't have, in any case."""
+    held = {c.lower() for c in df.columns}
+    return [next(x for x in (f"{name}{'_' * k}" for k in range(len(held) + 1)) if x.lower() not in held) for name in names]
+
+
 def clean_text(col: str | Column = "text") -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

@@ -2,27 +2,29 @@
 
 from __future__ import annotations
 
+import math
 import re
-import zlib
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import Memo, clean_text, documents, session_of, staged
+from siftstone.llm.common import clean_text, documents, new_names, session_of, staged
 
 #: Kinds of entity, in the order that breaks ties.
 KINDS = ("email", "ip", "card", "phone")
 #: Distinct texts in which a term must stand with an entity.
 SUPPORT = 2
-#: Bits of the filters that keep what can't match from the joins; a false hit is dropped there.
-BITS = 1 << 26
+#: A term that reveals a kind of entity must be rarer by chance than once in so many corpora.
+CHANCE = 20
+#: Keys of repeated texts and repeated entities that may be broadcast, and revealing terms of one table that is.
+BROADCAST_KEYS, TERM_BLOCK = 1_000_000, 300_000
 _FLUSH = 300_000
+_NO_ID = -(2**63)
 #: A term is removed if it reveals this share of an entity's information, and generalised from the lower share on.
 REMOVE, GENERALISE = 0.95, 0.8
 
@@ -81,216 +83,213 @@ def entity_of(text: str, span: tuple[int, int, str]) -> str:
     return f"{span[2]}:{value if span[2] in ('email', 'ip') else _DIGITS.sub('', value)}"
 
 
-def terms_of(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[str, int, int]]:
-    """(term, start, end) of the terms of a whole text outside its entities."""
-    starts, ends = [a for a, _, _ in spans], list(accumulate((b for _, b, _ in spans), max))
-    found = []
-    for m in _TERM.finditer(text):
-        before = bisect_left(starts, m.end())  # spans that begin before the term ends
-        if not before or ends[before - 1] <= m.start():
-            found.append((m.group().lower(), m.start(), m.end()))
-    return found
-
-
-def _slots(values: DataFrame, slot: Column) -> bytes:
-    """A bit for each slot in use."""
-    bits = bytearray(BITS // 8)
-    for (x,) in values.select(slot).distinct().toLocalIterator():
-        bits[x >> 3] |= 1 << (x & 7)
-    return bytes(bits)
+def terms_of(text: str) -> set[str]:
+    """The terms of a text, entities included: runs of three letters or more, lower-cased."""
+    return set(map(str.lower, _TERM.findall(text)))
 
 
-def _text_slot(col: str) -> Column:
-    return F.crc32(F.col(col).cast("binary")) % BITS
-
-
-def _text_hit(bits: bytes) -> Memo:
-    def hit(value: str) -> int:
-        x = zlib.crc32(value.encode()) % BITS
-        return bits[x >> 3] >> (x & 7) & 1
+def _outside(spans: list[tuple[int, int, str]], matches: Iterable[re.Match]) -> Iterator[re.Match]:
+    """The matches that touch no entity."""
+    starts, ends = [a for a, _, _ in spans], list(accumulate((b for _, b, _ in spans), max))
+    for m in matches:
+        before = bisect_left(starts, m.end())  # spans that begin before the match ends
+        if not before or ends[before - 1] <= m.start():
+            yield m
 
-    return Memo(hit)
 
+def own_terms(text: str, spans: list[tuple[int, int, str]]) -> set[str]:
+    """The terms of a text that stand outside its entities."""
+    return {m.group().lower() for m in _outside(spans, _TERM.finditer(text))} if spans else terms_of(text)
 
-def _source(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(clean_text()).alias("key"), clean_text().alias("text"))
 
+def distinct_texts(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(key, text) with each text once, whatever the id, and their number; key is a hash of the text.
 
-def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Only keys with their first id are shuffled. Keys that repeat tell which rows
+    to leave out: they are broadcast up to a checked number and merged beyond it.
+    """
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("row_id"), F.xxhash64(clean_text()).alias("key"), clean_text().alias("text"))
+    counts = staged(rows.groupBy("key").agg(F.count("*").alias("copies"), F.min("row_id").alias("first")), "texts")
+    n, repeats = counts.agg(F.count("*"), F.count_if(F.col("copies") > 1)).first()
+    repeated = counts.where("copies > 1").select("key", "first")
+    repeated = F.broadcast(repeated) if repeats <= BROADCAST_KEYS else repeated.hint("merge")
+    once = rows.join(repeated, "key", "left_anti").select("key", "text")
+    firsts = rows.join(repeated, "key").where("row_id = first").select("key", "text").dropDuplicates(["key"])
+    return once.union(firsts), n
+
+
+_SCANNED = f"term string, seen long, {', '.join(f'in_{k} long' for k in KINDS)}, key long, entities array<string>, terms array<string>"
+
+
+def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many texts hold each term, in all and beside each kind of entity, counted by task; and the entities and terms of each text with entities."""
+    seen: Counter = Counter()
+    beside = [Counter() for _ in KINDS]
+    texts = []
+
+    def out() -> pa.RecordBatch:
+        more = [None] * len(texts)
+        columns = [[*seen, *more], [*seen.values(), *more], *([*(c[t] for t in seen), *more] for c in beside)]
+        columns += [[*([None] * len(seen)), *(x[k] for x in texts)] for k in range(3)]
+        arrays = [pa.array(c, f.type) for c, f in zip(columns, schema)]
+        for x in (seen, texts, *beside):
+            x.clear()
+        return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+    long, strings = pa.int64(), pa.list_(pa.string())
+    schema = pa.schema([("term", pa.string()), ("seen", long), *((f"in_{k}", long) for k in KINDS), ("key", long), ("entities", strings), ("terms", strings)])
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        entities = [sorted({entity_of(t, s) for s in base_spans(t)}) for t in texts]
-        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(entities, pa.list_(pa.string()))], names=["key", "entities"])
-
-
-def _seen(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, once, copies = shared.value, Counter(), []
-
-        def out() -> pa.RecordBatch:
-            keys, terms, counts = [None] * len(once), [*once.keys()], [*once.values()]
-            for key, own in copies:
-                keys += [key] * len(own)
-                terms += own
-                counts += [1] * len(own)
-            once.clear()
-            copies.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(terms, pa.string()), pa.array(counts, pa.int64())], names=["key", "term", "c"])
-
-        for batch in batches:
-            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
-                own = {t for t, _, _ in terms_of(text, base_spans(text))}
-                x = key % BITS
-                if bits[x >> 3] >> (x & 7) & 1:
-                    copies.append((key, own))
-                else:
-                    once.update(own)
-            if copies or len(once) > _FLUSH:
-                yield out()
-        if once or copies:
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)):
+            spans = base_spans(text)
+            own = own_terms(text, spans)
+            seen.update(own)
+            if spans:
+                texts.append((key, sorted({entity_of(text, s) for s in spans}), list(own)))
+                for kind in {k for _, _, k in spans}:
+                    beside[KINDS.index(kind)].update(own)
+        if len(seen) + sum(len(x[2]) for x in texts) > _FLUSH:
             yield out()
-
-    return run
-
-
-def _held(shared):
-    lists = pa.list_(pa.string())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hit = _text_hit(shared.value)
-        for batch in batches:
-            keys, entities, terms = [], [], []
-            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
-                spans = base_spans(text)
-                own = sorted({e for s in spans if hit[e := entity_of(text, s)]})
-                if own:
-                    keys.append(key)
-                    entities.append(own)
-                    terms.append(sorted({t for t, _, _ in terms_of(text, spans)}))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(entities, lists), pa.array(terms, lists)], names=["key", "entities", "terms"])
-
-    return run
+    if seen or texts:
+        yield out()
 
 
 def revealing(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """(entity, term, action) of the terms whose disclosure of an entity exceeds a threshold.
+    """(entity, term, share, action) of the terms whose disclosure of an entity, or of a kind of entity, exceeds a threshold.
 
     The disclosure is the pointwise mutual information of term and entity over
     all distinct texts, as a share of the entity's own information: 1 means
     that whoever sees the term knows the entity. Terms stand with an entity
-    anywhere in a text; equal texts count once.
+    anywhere in a text; equal texts count once. A kind (entity `email:`) is held
+    by every text with an entity of that kind, so entities of a single text
+    count there; such a term must also be too one-sided for chance, by a
+    likelihood ratio that pays for as many tests as there are terms.
 
-    No more texts hold both than hold the entity, so a term of more than
-    n^(1 - g) * held^g texts stays below the share g and needs no pair.
+    One pass over the texts counts terms by task; pairs are made only of
+    entities in two texts or more and added up before they are shuffled.
     """
     session_of(docs)
-    context, source = docs.sparkSession.sparkContext, _source(docs)
-    found = staged(source.select("key", "text").mapInArrow(_entities, "key long, entities array<string>"), "entities")
-    texts = staged(found.groupBy("key").agg(F.count("*").alias("copies")), "texts")
-    n = texts.count()
-    repeated = context.broadcast(_slots(texts.where("copies > 1"), F.pmod("key", F.lit(BITS))))
-    counted = source.select("key", "text").mapInArrow(_seen(repeated), "key long, term string, c long").groupBy("key", "term").agg(F.sum("c").alias("c"))
-    seen = staged(counted.groupBy("term").agg(F.sum(F.when(F.col("key").isNull(), F.col("c")).otherwise(1)).alias("seen")).where(F.col("seen") >= support), "seen")
-
-    held = found.select("key", F.explode("entities").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("held")).where(F.col("held") >= support)
-    most = F.pow(F.lit(float(max(n, 1))), 1 - generalise) * F.pow("held", F.lit(generalise)) * (1 + 1e-9)
-    held = staged(held.withColumn("most", most), "held")
-    limit = held.agg(F.coalesce(F.max("most"), F.lit(0.0))).first()[0]
-    with_entity = staged(source.select("key", "text").mapInArrow(_held(context.broadcast(_slots(held, _text_slot("entity")))), "key long, entities array<string>, terms array<string>"), "with_entity")
-    rare = with_entity.select("key", F.explode("terms").alias("term")).distinct().join(seen.where(F.col("seen") <= limit).hint("merge"), "term")
-    kept = with_entity.select("key", F.explode("entities").alias("entity")).distinct().join(held.hint("merge"), "entity")
-    pairs = rare.join(kept.hint("merge"), "key").where(F.col("seen") <= F.col("most"))
-    scored = pairs.groupBy("entity", "term").agg(F.count("*").alias("both"), F.max("seen").alias("seen"), F.max("held").alias("held")).where(F.col("both") >= support)
-    bits = F.log2(F.col("both") * n / (F.col("held") * F.col("seen")))
-    # An entity of every text carries no information, so nothing can disclose it.
-    scored = scored.select("entity", "term", F.try_divide(bits, F.log2(n / F.col("held"))).alias("share")).where(F.col("share") >= generalise)
-    return scored.select("entity", "term", F.when(F.col("share") >= remove, "removed").otherwise("term").alias("action"))
-
-
-_FOUND = "row long, doc_id long, key long, spans array<struct<start:int,stop:int,kind:string>>, near array<struct<term:string,start:int,stop:int>>"
-
-
-def _found(shared):
-    span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.string())]))
-    near = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
+    texts, n = distinct_texts(docs)
+    scanned = staged(texts.mapInArrow(_scanned, _SCANNED), "scanned")
+    counts = scanned.where("term is not null").groupBy("term").agg(*(F.sum(c).alias(c) for c in ("seen", *(f"in_{k}" for k in KINDS))))
+    seen = staged(counts.where(F.col("seen") >= support), "seen")
+    with_entity = scanned.where("key is not null").select("key", "entities", "terms")
+    each = with_entity.select("key", "terms", F.explode("entities").alias("entity"))
+    held = staged(each.groupBy("entity").agg(F.count("*").alias("held")), "held")
+    kinds = dict(held_by_kind(with_entity))
+
+    repeated = held.where(F.col("held") >= support)
+    # Without a shuffle where they are few; a merge splits an entity of very many texts as a skewed key.
+    repeated = F.broadcast(repeated) if repeated.count() <= BROADCAST_KEYS else repeated.hint("merge")
+    pairs = each.join(repeated, "entity").select("entity", "held", F.explode("terms").alias("term"))
+    both = pairs.groupBy("entity", "term").agg(F.count("*").alias("both"), F.first("held").alias("held")).where(F.col("both") >= support)
+    single = both.join(seen.select("term", "seen").hint("merge"), "term").select("entity", "term", "both", "held", "seen")
+    wide = F.array(*(F.struct(F.lit(f"{k}:").alias("entity"), F.col(f"in_{k}").alias("both"), F.lit(kinds.get(k, 0)).cast("long").alias("held")) for k in KINDS))
+    by_kind = seen.select("term", "seen", F.explode(wide).alias("x")).where(F.col("x.both") >= support).select("x.entity", "term", "x.both", "x.held", "seen")
+
+    def shared(rows: DataFrame) -> DataFrame:
+        bits = F.log2(F.col("both") * n / (F.col("held") * F.col("seen")))
+        # An entity of every text carries no information, so nothing can disclose it.
+        return rows.withColumn("share", F.try_divide(bits, F.log2(n / F.col("held")))).where(F.col("share") >= generalise)
+
+    tests = seen.count()
+    rate, prior = F.col("both") / F.col("seen"), F.col("held") / n
+    gain = F.col("both") * F.ln(rate / prior) + F.when(F.col("both") < F.col("seen"), (F.col("seen") - F.col("both")) * F.ln((1 - rate) / (1 - prior))).otherwise(0.0)
+    scored = shared(single).unionByName(shared(by_kind).where(gain >= math.log(CHANCE * max(1, tests))))
+    return scored.select("entity", "term", "share", F.when(F.col("share") >= remove, "removed").otherwise("term").alias("action"))
+
+
+def held_by_kind(with_entity: DataFrame) -> list[tuple[str, int]]:
+    """How many texts hold each kind of entity."""
+    kinds = F.array_distinct(F.transform("entities", lambda e: F.substring_index(e, ":", 1)))
+    return [(r[0], r[1]) for r in with_entity.select(F.explode(kinds).alias("kind")).groupBy("kind").count().collect()]
+
+
+def _term_blocks(terms: DataFrame, most: int) -> Iterator[dict[str, str]]:
+    """What becomes of each revealing term, in tables of about `most` terms, one after another."""
+    actions = terms.groupBy("term").agg(F.min("action").alias("action"))
+    parts = max(1, -(-actions.count() // most))
+    for k in range(parts):
+        own = actions if parts == 1 else actions.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == k)
+        yield {r["term"]: r["action"] for r in own.collect()}
+
+
+_SPAN = "array<struct<start:int,stop:int,kind:string>>"
+
+
+def _found(shared, text: str, base: str, more: str):
+    """Fill the columns of base spans, and add the places of a block of terms to those of the terms."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, hit = TaskContext.get().partitionId() << 40, _text_hit(shared.value)
+        actions = shared.value
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            spans = [base_spans(t) for t in texts]
-            terms = [[x for x in terms_of(t, s) if hit[x[0]]] for t, s in zip(texts, spans)]
-            first, row = row, row + len(texts)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(range(first, row), pa.int64()),
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array([[{"start": a, "stop": b, "kind": k} for a, b, k in s] for s in spans], span),
-                    pa.array([[{"term": w, "start": a, "stop": b} for w, a, b in t] for t in terms], near),
-                ],
-                names=["row", "doc_id", "key", "spans", "near"],
-            )
+            at, was = (batch.schema.get_field_index(c) for c in (base, more))
+            old, bases, mores = batch.column(was).to_pylist(), [], []
+            for value, had in zip(batch.column(batch.schema.get_field_index(text)).to_numpy(zero_copy_only=False), old):
+                value = value or ""
+                spans, new = base_spans(value), had or []
+                if not actions.keys().isdisjoint(terms_of(value)):
+                    new = new + [{"start": m.start(), "stop": m.end(), "kind": actions[t]} for m in _outside(spans, _TERM.finditer(value)) if (t := m.group().lower()) in actions]
+                bases.append([{"start": a, "stop": b, "kind": k} for a, b, k in spans])
+                mores.append(new)
+            yield batch.set_column(at, base, pa.array(bases, kind)).set_column(was, more, pa.array(mores, kind))
 
     return run
 
 
-def find(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Base spans and the places of what may be one of the terms, for every whole text; written once."""
-    session_of(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(_slots(terms, _text_slot("term")))
-    return staged(_source(docs).mapInArrow(_found(shared), _FOUND), "pii")
-
-
-def term_spans(found: DataFrame, terms: DataFrame) -> DataFrame:
-    """(row, more): the places of the terms that reveal an entity, in any text, as spans."""
-    near = found.where(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.*")
-    actions = terms.groupBy("term").agg(F.min("action").alias("kind"))
-    return near.join(actions.hint("merge"), "term").groupBy("row").agg(F.collect_list(F.struct("start", "stop", "kind")).alias("more"))
+def mark(docs: DataFrame, terms: DataFrame, base: str, more: str, most: int = TERM_BLOCK) -> DataFrame:
+    """The rows of a frame with two columns: the base spans of `text`, and the places of the revealing terms outside them.
 
-
-_NONE = "cast(array() as array<struct<start:int,stop:int,kind:string>>)"
+    Texts pass through one table of at most about `most` terms after another,
+    without a shuffle.
+    """
+    spark = session_of(docs)
+    none = F.expr(f"cast(array() as {_SPAN})")
+    out = docs.withColumns({base: none, more: none})
+    for block in _term_blocks(terms, most):
+        out = out.mapInArrow(_found(spark.sparkContext.broadcast(block), "text", base, more), out.schema)
+    return out
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, base, spans): the base spans of every row of (doc_id, text), and those with the revealing terms.
+    """(doc_id, base, spans): the base spans of every row of (doc_id, text), and those with the revealing terms.
 
-    A revealing term is marked wherever it stands, with an entity or alone. Only
-    places that may be one are gathered, by row; texts are never shuffled. Null and empty texts have no spans; null ids and repeated rows
-    each return a row; extra columns are ignored.
+    A revealing term is marked wherever it stands, with an entity or alone; only
+    the tables of terms are sent to the tasks. Null and empty texts have no
+    spans; null ids and repeated rows each return a row; extra columns are
+    ignored; an empty table gives none.
     """
     terms = staged(revealing(docs), "terms")
-    found = find(docs, terms)
-    every = found.select("row", "doc_id", "key", "spans").join(term_spans(found, terms).hint("merge"), "row", "left")
-    return every.select("doc_id", "key", F.col("spans").alias("base"), F.expr(f"concat(spans, coalesce(more, {_NONE}))").alias("spans"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), clean_text().alias("text"))
+    return mark(rows, terms, "base", "more").select("doc_id", "base", F.concat("base", "more").alias("spans"))
 
 
-def _replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("pii_spans").to_pylist()):
-            if spans:
-                parts, at = [], 0
-                for s in sorted(spans, key=lambda s: (s["start"], -s["stop"])):
-                    if s["start"] >= at:
-                        parts += [text[at : s["start"]], "" if s["kind"] == "removed" else f"[{s['kind'].upper()}]"]
-                    at = max(at, s["stop"])
-                text = "".join([*parts, text[at:]])
-            out.append(text)
-        k = batch.schema.get_field_index("text")
-        yield batch.set_column(k, "text", pa.array(out, pa.string())).drop_columns(["pii_spans"])
+def _replaced(text: str, spans: list[dict]) -> str:
+    parts, at = [], 0
+    for s in sorted(spans, key=lambda s: (s["start"], -s["stop"])):
+        if s["start"] >= at:
+            parts += [text[at : s["start"]], "" if s["kind"] == "removed" else f"[{s['kind'].upper()}]"]
+        at = max(at, s["stop"])
+    return "".join([*parts, text[at:]])
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """The rows of a frame with their texts sanitised, all other columns as they are.
 
     Base entities become their kind in brackets; revealing terms are removed or
-    become [TERM]. Spans meet texts by id and text hash. Null texts stay null.
+    become [TERM]. Null texts stay null; columns may have any name.
     """
-    spans = detect(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("pii_id"), F.col("key").alias("pii_key"), F.col("spans").alias("pii_spans")).dropDuplicates(["pii_id", "pii_key"])
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("pii_id")) & (F.xxhash64(clean_text()) == F.col("pii_key"))
-    joined = docs.join(spans.hint("merge"), same, "left").drop("pii_id", "pii_key")
-    return joined.mapInArrow(_replaced, docs.schema)
+    terms = staged(revealing(docs), "terms")
+    base, more = new_names(docs, "base", "more")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = batch.schema.get_field_index("text")
+            found = zip(batch.column(k).to_pylist(), batch.column(batch.schema.get_field_index(base)).to_pylist(), batch.column(batch.schema.get_field_index(more)).to_pylist())
+            out = [_replaced(t, a + b) if a or b else t for t, a, b in found]
+            yield batch.set_column(k, "text", pa.array(out, pa.string())).drop_columns([base, more])
+
+    return mark(docs, terms, base, more).mapInArrow(run, docs.schema)
 
 
 def _listed(spans: str) -> str:

@@ -306,6 +306,70 @@ def test_revealing_terms_are_marked_far_from_an_entity_and_without_it(spark):
     assert rows_of(pii.sanitise(frame))[3002].text.startswith("common [TERM] alone")
 
 
+def plain_disclosure(texts, support=2, generalise=0.8, remove=0.95):
+    """Shares of every (entity, term) by counting over sets of distinct texts."""
+    from siftstone.llm import pii
+
+    held, seen, both = Counter(), Counter(), Counter()
+    distinct = set(texts)
+    for t in distinct:
+        spans = pii.base_spans(t)
+        entities = {pii.entity_of(t, s) for s in spans}
+        terms = {m.group().lower() for m in re.finditer(r"[^\W\d_]{3,}", t) if not any(a < m.end() and m.start() < b for a, b, _ in spans)}
+        kinds = {f"{e.split(':')[0]}:" for e in entities}
+        held.update(entities | kinds)
+        seen.update(terms)
+        both.update((e, w) for e in entities | kinds for w in terms)
+    n, out, tests = len(distinct), {}, sum(c >= support for c in seen.values())
+    for (e, w), c in both.items():
+        if c >= support and held[e] < n:
+            share = math.log2(c * n / (held[e] * seen[w])) / math.log2(n / held[e])
+            if e.endswith(":"):
+                rate, prior = c / seen[w], held[e] / n
+                gain = c * math.log(rate / prior) + ((seen[w] - c) * math.log((1 - rate) / (1 - prior)) if c < seen[w] else 0)
+                if gain < math.log(pii.CHANCE * tests):
+                    continue
+            if share >= generalise:
+                out[e, w] = (pytest.approx(share), "removed" if share >= remove else "term")
+    return out
+
+
+def test_every_share_equals_plain_mutual_information(spark, monkeypatch):
+    from siftstone.llm import pii
+
+    draw = np.random.default_rng(5)
+    names = [f"{a}{b}{c}" for a in "klmnprst" for b in "aeiou" for c in "xyzvw"]
+    texts = []
+    for i in range(400):
+        text = " ".join(draw.choice(names, 12))
+        if i % 20 == 0:
+            text += f" contact kontakt u{i % 60}@x.org"
+        if i % 25 == 0:
+            text += f" secretword{'abc'[i % 3]} 10.0.{i % 50}.7"
+        texts += [text] * (1 + (i % 7 == 0) * 3)
+    docs = spark.createDataFrame([(None if i % 11 == 0 else i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    expected = plain_disclosure(texts)
+    assert any(e == "email:" for e, _ in expected) and any(not e.endswith(":") for e, _ in expected)
+    got = {(r.entity, r.term): (r.share, r.action) for r in pii.revealing(docs).collect()}
+    assert got == expected
+    marked = [(r.doc_id, sorted(map(tuple, r.spans))) for r in pii.detect(docs).collect()]
+    monkeypatch.setattr(pii, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(pii, "_FLUSH", 10)
+    assert {(r.entity, r.term): (r.share, r.action) for r in pii.revealing(docs).collect()} == expected
+    terms = pii.revealing(docs)
+    blocks = pii.mark(docs, terms, "base", "more", 2).select("doc_id", F.concat("base", "more").alias("spans")).collect()
+    assert sorted(((r.doc_id, sorted(map(tuple, r.spans))) for r in blocks), key=str) == sorted(marked, key=str)
+
+
+def test_sanitise_keeps_columns_of_any_name(spark):
+    from siftstone.llm import pii
+
+    docs = spark.createDataFrame([(1, "write to a@b.org", "x", 2, "y"), (None, None, None, None, None)], "doc_id long, text string, base string, BASE_ int, more string")
+    out = pii.sanitise(docs)
+    assert out.columns == docs.columns
+    assert {tuple(r) for r in out.collect()} == {(1, "write to [EMAIL]", "x", 2, "y"), (None, None, None, None, None)}
+
+
 # --------------------------------------------------------------- decontamination
 
 
