@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import Memo, byte_texts, documents, mix64, session_of, staged
+from siftstone.llm.common import Memo, clean_text, documents, mix64, new_names, session_of, staged, word_codes
 from siftstone.llm.components import components
 
 #: Odd multipliers that make a shingle's hash depend on the order of its words.
@@ -21,23 +22,28 @@ _STEP = 0x9E3779B1
 _BLOCK = 48
 
 
-def shingle_set(text: bytes, words: int, memo: dict) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's word shingles.
+def shingles(hashes: np.ndarray, words: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles of a text, from the hashes of its words.
 
-    Words are runs without ASCII white space, A-Z lower-cased. A text with fewer
-    words than a shingle is one shingle; without words the set is empty.
+    A text with fewer words than a shingle is one shingle; without words the set is empty.
     """
-    parts = text.lower().split()
-    if not parts:
+    if not len(hashes):
         return np.empty(0, dtype=np.uint64)
-    h = np.fromiter(map(memo.__getitem__, parts), np.uint64, len(parts))
-    n = min(words, len(parts))
-    s = np.zeros(len(parts) - n + 1, dtype=np.uint64)
+    n = min(words, len(hashes))
+    s = np.zeros(len(hashes) - n + 1, dtype=np.uint64)
     for i in range(n):
-        s += h[i : len(parts) - n + 1 + i] * _ORDER[i]
+        s += hashes[i : len(hashes) - n + 1 + i] * _ORDER[i]
     return np.unique(mix64(s + np.uint64(n)))
 
 
+def shingle_sets(texts: pa.Array, words: int, memo: Memo) -> Iterator[np.ndarray]:
+    """The shingles of each text of a column, whose words are runs without ASCII white space, A-Z lower-cased."""
+    codes, sizes, names = word_codes(texts)
+    hashes = np.fromiter(map(memo.__getitem__, names), np.uint64, len(names))[codes]
+    for end, size in zip(np.cumsum(sizes).tolist(), sizes.tolist()):
+        yield shingles(hashes[end - size : end], words)
+
+
 def word_memo() -> Memo:
     return Memo(lambda w: xxhash.xxh3_64_intdigest(w))
 
@@ -78,8 +84,10 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
-_SKETCH = "doc_id long, n_shingles long, set_key binary, bands array<long>"
+_SKETCH = "doc_id long, text_key long, n_shingles long, set_key binary, bands array<long>"
 _SETS = "node long, shingles array<long>, odd array<long>"
+#: Members of a bucket that are compared in one task; larger buckets are dealt out.
+_PART = 1024
 #: 64-bit words of an odd sketch.
 _ODD = 32
 
@@ -94,32 +102,38 @@ def odd_sketch(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def set_key(found: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None
+
+
 def _sketches(words: int, rows: int, bands: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_memo()
         for batch in batches:
             sizes, keys, found = [], [], []
-            for text in byte_texts(batch.column(1)):
-                s = shingle_set(text, words, memo)
+            for s in shingle_sets(batch.column(2), words, memo):
                 sizes.append(len(s))
-                keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                keys.append(set_key(s))
                 found.append(band_keys(signature(s, rows * bands), rows) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))], schema=schema)
 
     return run
 
 
 def _shingle_rows(words: int):
+    """The sets of (node, set_key, text) whose text has the set of the key."""
     longs = pa.list_(pa.int64())
     schema = pa.schema([("node", pa.int64()), ("shingles", longs), ("odd", longs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_memo()
         for batch in batches:
-            sets = [shingle_set(t, words, memo) for t in byte_texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([x.view(np.int64) for x in sets], longs), pa.array([odd_sketch(x) for x in sets], longs)], schema=schema)
+            sets = list(shingle_sets(batch.column(2), words, memo))
+            own = [k for k, (s, key) in enumerate(zip(sets, batch.column(1).to_pylist())) if set_key(s) == key]
+            nodes = batch.column(0).take(pa.array(own, pa.int64()))
+            yield pa.RecordBatch.from_arrays([nodes, pa.array([sets[k].view(np.int64) for k in own], longs), pa.array([odd_sketch(sets[k]) for k in own], longs)], schema=schema)
 
     return run
 
@@ -140,84 +154,122 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return staged(labels.join(moved.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: int = 6, bands: int = 40, rounds: int = 3) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of (doc_id, text).
+def _dealt(rows: DataFrame, copies: bool) -> DataFrame:
+    """The members of open buckets with the part of their bucket they are compared in: each in one, or in all as a copy."""
+    parts = F.ceil(F.col("size") / _PART)
+    part = F.explode(F.sequence(F.lit(0), parts.cast("int") - 1)) if copies else F.pmod(F.xxhash64("node"), parts).cast("int")
+    return rows.withColumn("part", part)
 
-    Documents whose shingle sets have 100 * intersection >= percent * union are
-    linked; component_id is the least doc_id reachable.
 
-    * Equal sets are one node, so copies never meet in pairs.
-    * A band bucket is first compared as a star around one member, in `rounds`
-      rounds: the least, then ones drawn by hash, another in each bucket. Nodes
-      that links connect share a class and need no further comparison.
-    * Then every pair of a bucket that is still in different classes is
-      compared, without a cap, so no link between candidates is lost. Odd
-      sketches, whose difference never exceeds that of the sets, keep the pairs
-      that can't be similar from being made.
-    * Every link is confirmed on the full sets of 64-bit shingle hashes.
+class _Classes(NamedTuple):
+    """Rows (doc_id, text_key, n_shingles, node), distinct sets (node, doc), and the class (node, label) of every set."""
 
-    With 40 bands of 6 rows a pair at the 0.8 threshold shares no band with
-    probability (1 - 0.8**6)**40 = 5e-6, and less above it.
+    placed: DataFrame
+    nodes: DataFrame
+    labels: DataFrame
 
-    Null and empty texts have no shingles and are linked with nothing. A null
-    doc_id is never a representative while its class holds an id; a class of
-    null ids only has component_id null and is kept. Rows with one doc_id are
-    one node of the graph. Extra columns are ignored; repeated rows each return
-    a row; an empty table gives an empty result.
-    """
+
+def text_classes(docs: DataFrame, words: int, percent: int, rows: int, bands: int, rounds: int) -> _Classes:
+    """Classes of distinct shingle sets that links of similarity connect; see near_duplicates."""
     session_of(docs)
-    source = docs.select("doc_id", F.col("text"))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(clean_text()).alias("text_key"), clean_text().alias("text"))
     sketches = staged(source.mapInArrow(_sketches(words, rows, bands), _SKETCH), "sketches")
-    named = sketches.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n"))
-    named = staged(named, "nodes")
-    heads = sketches.where("set_key is not null and doc_id is not null").join(named.where("node is not null").select(F.col("set_key").alias("key"), "node", "n"), F.expr("set_key = key and doc_id = node"))
-    spread = heads.select("node", "n", F.explode("bands").alias("band"))
-    shared = spread.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("band")
+    named = sketches.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc"), F.min("n_shingles").alias("n"), F.min("text_key").alias("text_key"), F.first("bands").alias("bands"))
+    nodes = staged(named.withColumn("node", F.monotonically_increasing_id()), "nodes")  # the numbers are as written
+    spread = nodes.select("node", "n", F.explode("bands").alias("band"))
+    shared = spread.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band")
     members = staged(spread.join(shared, "band").distinct(), "buckets")
     labels = staged(members.select("node", F.col("node").alias("label")).distinct(), "labels")
-    texts = source.where("doc_id is not null").join(labels.hint("merge"), F.col("doc_id") == F.col("node"), "left_semi")
-    sets = staged(texts.mapInArrow(_shingle_rows(words), _SETS).dropDuplicates(["node"]), "sets")
+    wanted = nodes.join(labels, "node", "left_semi").select("node", "set_key", F.col("text_key").alias("key"))
+    texts = source.select("text_key", "text").join(wanted.hint("merge"), F.col("text_key") == F.col("key")).select("node", "set_key", "text")
+    sets = staged(texts.dropDuplicates(["node"]).mapInArrow(_shingle_rows(words), _SETS), "sets")
 
     tested = None
     for turn in range(rounds + 1):
         labelled = members.join(labels, "node")
-        split = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
+        split = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high").select("band", "size")
         rest = staged(labelled.join(split, "band"), "open")
-        a, b = (rest.select("band", *(F.col(c).alias(c + x) for c in ("node", "n", "label"))) for x in "ab")
         if turn < rounds:
-            drawn = F.xxhash64("nodea", "band", F.lit(turn)) if turn else F.lit(0)
-            a = a.groupBy("band").agg(F.min(F.struct(drawn.alias("drawn"), "nodea", "na", "labela")).alias("pivot")).select("band", "pivot.nodea", "pivot.na", "pivot.labela")
-            met = a.join(b.hint("merge"), "band").where("labela <> labelb")
+            drawn = F.xxhash64("node", "band", F.lit(turn)) if turn else F.lit(0)
+            a = rest.groupBy("band").agg(F.min(F.struct(drawn.alias("drawn"), "node", "n", "label")).alias("pivot"), F.min("size").alias("size")).select("band", "size", "pivot.node", "pivot.n", "pivot.label")
+            b, test = rest, "labela <> labelb"
         else:
-            odd = sets.select("node", "odd")
-            a = a.join(odd.select(F.col("node").alias("nodea"), F.col("odd").alias("odda")).hint("merge"), "nodea")
-            b = b.join(odd.select(F.col("node").alias("nodeb"), F.col("odd").alias("oddb")).hint("merge"), "nodeb")
+            odd = rest.join(sets.select("node", "odd").hint("merge"), "node")
             apart = " + ".join(f"bit_count(get(odda, {i}) ^ get(oddb, {i}))" for i in range(_ODD))
-            met = a.join(b.hint("merge"), "band").where(f"nodea < nodeb and labela <> labelb and {100 + percent} * ({apart}) <= {100 - percent} * (na + nb)")
-        met = met.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+            a = b = odd
+            test = f"nodea < nodeb and labela <> labelb and {100 + percent} * ({apart}) <= {100 - percent} * (na + nb)"
+        a, b = (_dealt(x, side == "a").select("band", "part", *(F.col(c).alias(c + side) for c in ("node", "n", "label", "odd") if c in x.columns)) for x, side in ((a, "a"), (b, "b")))
+        met = a.join(b.hint("merge"), ["band", "part"]).where(test).where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
         pairs = met.select(F.least("nodea", "nodeb").alias("u"), F.greatest("nodea", "nodeb").alias("v")).distinct()
         pairs = staged(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.union(pairs)
         labels = _merged(labels, staged(_verified(pairs, sets, percent), "links"))
 
-    classes = named.join(labels, "node", "left").select("set_key", F.coalesce("label", "node").alias("component_id"))
-    return sketches.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left").select(
+    placed = staged(sketches.select("doc_id", "text_key", "n_shingles", "set_key").join(nodes.select("set_key", "node"), "set_key", "left").drop("set_key"), "placed")
+    every = nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    return _Classes(placed, nodes.select("node", "doc"), every)
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: int = 6, bands: int = 40, rounds: int = 3) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of (doc_id, text).
+
+    Documents whose shingle sets have 100 * intersection >= percent * union are
+    linked; component_id is the least doc_id reachable.
+
+    * Equal sets are one node, so copies never meet in pairs.
+    * A band bucket is first compared as a star around one member, in `rounds`
+      rounds: the least, then ones drawn by hash, another in each bucket. Nodes
+      that links connect share a class and need no further comparison.
+    * Then every pair of a bucket that is still in different classes is
+      compared, without a cap, so no link between candidates is lost. Odd
+      sketches, whose difference never exceeds that of the sets, keep the pairs
+      that can't be similar from being made.
+    * Members of a large bucket are dealt out to parts; what they are compared
+      with is copied to each part.
+    * Every link is confirmed on the full sets of 64-bit shingle hashes.
+
+    With 40 bands of 6 rows a pair at the 0.8 threshold shares no band with
+    probability (1 - 0.8**6)**40 = 5e-6, and less above it.
+
+    Null and empty texts have no shingles and are linked with nothing. Rows with
+    one doc_id are one document: whatever any of its texts is linked with is
+    linked with all. A null doc_id is never a representative while its class
+    holds an id; a class of null ids only has component_id null and is kept.
+    Extra columns are ignored; repeated rows each return a row; an empty table
+    gives an empty result.
+    """
+    placed, nodes, labels = text_classes(docs, words, percent, rows, bands, rounds)
+    named = placed.where("doc_id is not null and node is not null")
+    several = named.groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("high")).where("v < high").select("doc_id", "v")
+    links = staged(named.join(several, "doc_id").where("node > v").select(F.col("node").alias("u"), "v").distinct(), "same")
+    if not links.isEmpty():
+        labels = _merged(staged(labels, "labels"), links)
+    least = labels.join(nodes, "node").groupBy("label").agg(F.min("doc").alias("component_id"))
+    classes = labels.join(least, "label").select("node", "component_id")
+    return placed.join(classes, "node", "left").select(
         "doc_id",
         "n_shingles",
-        F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.when(F.col("set_key").isNull(), F.lit(True)).otherwise(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"),
+        F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(F.col("node").isNull(), F.lit(True)).otherwise(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"),
     )
 
 
-def representatives(docs: DataFrame, **options) -> DataFrame:
-    """One row of each near-duplicate class of a frame, with all its columns.
+def representatives(docs: DataFrame, words: int = 5, percent: int = 80, rows: int = 6, bands: int = 40, rounds: int = 3) -> DataFrame:
+    """One row of each class of near-duplicate texts of a frame, with all its columns.
 
-    The row of the class's least doc_id stays. Rows without an id are compared
-    with each other only, by equal text.
+    The row with the least doc_id stays, a null id only where the class holds
+    none. Texts are classed by similarity alone, so two different texts under
+    one doc_id both stay. Of rows without words, one stays for each id and text.
     """
-    kept = near_duplicates(docs, **options).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.where("doc_id is not null").join(kept.hint("merge"), F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return named.union(docs.where("doc_id is null").dropDuplicates(["text"]))
+    placed, _, labels = text_classes(docs, words, percent, rows, bands, rounds)
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
+    best = placed.join(labels, "node").groupBy("label").agg(F.min(row).alias("row")).select("row.doc_id", "row.text_key")
+    stay = best.unionByName(placed.where("node is null").select("doc_id", "text_key").distinct())
+    key, at = new_names(docs, "text_key", "row_id")
+    rows = docs.withColumns({key: F.xxhash64(clean_text()), at: F.col("doc_id").cast("long")})
+    same = rows[key].eqNullSafe(F.col("kept_text")) & rows[at].eqNullSafe(F.col("kept_id"))
+    kept = rows.join(stay.select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_text")).hint("merge"), same, "left_semi")
+    return kept.dropDuplicates([at, key]).drop(key, at)
 
 
 def op7_circulant_minhash(spark, sf_dir: str) -> DataFrame:

@@ -451,9 +451,24 @@ def test_near_duplicates_on_odd_rows(odd):
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [1, 4, 5, 6, 7, 9, 10] and kept[0].source == "s"
 
 
-def test_a_large_group_of_chained_copies(spark):
+def test_two_texts_under_one_id(spark):
+    from siftstone.llm.minhash import near_duplicates, representatives
+
+    a, b = " ".join(f"a{i}" for i in range(90)), " ".join(f"b{i}" for i in range(90))
+    docs = spark.createDataFrame([(1, a, "k"), (2, a + " more", "k"), (2, b, "k"), (3, b + " more", "k"), (None, b + " more", "k"), (None, "alone in the world", "k")], "doc_id long, text string, text_key string")
+    out = near_duplicates(docs).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in out if r.doc_id) == [(1, 1, True), (2, 1, False), (2, 1, False), (3, 1, False)]
+    assert sorted(((r.component_id, r.kept) for r in out if r.doc_id is None), key=str) == [(1, False), (None, True)]
+    kept = representatives(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == [(1, a), (2, b), (None, "alone in the world")]
+
+
+def test_a_large_group_of_chained_copies(spark, monkeypatch):
+    from siftstone.llm import minhash
     from siftstone.llm.minhash import near_duplicates
 
+    monkeypatch.setattr(minhash, "_PART", 16)
     rng, docs = np.random.default_rng(5), []
     for i in range(150):
         w = [f"w{k}" for k in range(120)]
