@@ -6,13 +6,14 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import Memo, byte_texts, clean_text, documents, session_of
+from siftstone.llm.common import Memo, byte_texts, clean_text, documents, new_names, session_of, staged
 
 K1, B = 1.2, 0.75
 #: A passage is retrieved for an item if it holds this share of the item's own BM25 score.
@@ -39,22 +40,37 @@ def terms_of(text: bytes) -> list[bytes]:
     return [term_of(w) for w in text.lower().split()]
 
 
+class Whole(NamedTuple):
+    """What an index must know of all items, whichever it holds: their number, words, and longest; and the items of each of its terms."""
+
+    n: int
+    words: int
+    longest: int
+    df: dict[bytes, int]
+
+
+def whole_of(items: list[tuple[int, bytes]]) -> Whole:
+    sizes = [len(t) for _, text in items if (t := terms_of(text))]
+    return Whole(len(sizes), sum(sizes), max(sizes, default=0), Counter(w for _, text in items for w in set(terms_of(text))))
+
+
 class Index:
     """An inverted index of items, whose impacts are shares of the item's score against itself.
 
     A passage that holds all terms of an item has share 1 of it, so one
-    threshold serves all items.
+    threshold serves all items. Scores and passages follow from `whole`, so an
+    item is found alike in an index of some items and of all.
     """
 
-    def __init__(self, items: list[tuple[int, bytes]], threshold: float = THRESHOLD, overlap: float = OVERLAP):
+    def __init__(self, items: list[tuple[int, bytes]], threshold: float = THRESHOLD, overlap: float = OVERLAP, whole: Whole | None = None):
         self.threshold, self.overlap = threshold, overlap
         parsed = [(i, terms) for i, text in sorted(items) if (terms := terms_of(text))]
         self.items, self.words = [i for i, _ in parsed], [t for _, t in parsed]
-        self.longest = max(map(len, self.words), default=0)
+        every, words, self.longest, known = whole or whole_of(items)
         counts = [Counter(t) for t in self.words]
-        df = Counter(w for c in counts for w in c)
-        n, mean = len(parsed), sum(map(len, self.words)) / max(1, len(parsed))
-        idf = {w: math.log(1 + (n - d + 0.5) / (d + 0.5)) for w, d in df.items()}
+        n, mean = len(parsed), words / max(1, every)
+        df = {w: known[w] for c in counts for w in c}
+        idf = {w: math.log(1 + (every - d + 0.5) / (d + 0.5)) for w, d in df.items()}
         self.ids = {w: k for k, w in enumerate(df)}
         self.memo = Memo(lambda w: self.ids.get(term_of(w), -1))
         shares = []
@@ -171,64 +187,94 @@ class Index:
             known = ids[part]
             hits = self.search(np.unique(known[known >= 0]).tolist())
             if hits:
-                grams = None
+                own = [term_of(w) for w in words[part]]
                 for item, share in hits:
-                    grams = grams or self._passage_grams([term_of(w) for w in words[part]])
-                    if share > found.get(item, 0.0) and all(len(h & grams) >= self.overlap * len(h) for h in self.halves[item]):
+                    if share > found.get(item, 0.0) and self._holds(own, item):
                         found[item] = share
         return {self.items[k]: share for k, share in found.items()}
 
+    def _holds(self, words: list[bytes], item: int) -> bool:
+        """Whether a stretch of a passage, twice as long as the item, has the overlap with its question and its answer."""
+        step = len(self.words[item])
+        for at in range(0, max(1, len(words) - step), step):
+            grams = self._passage_grams(words[at : at + 2 * step])
+            if all(len(h & grams) >= self.overlap * len(h) for h in self.halves[item]):
+                return True
+        return False
+
     @staticmethod
     def _passage_grams(words: list[bytes]) -> set[tuple[bytes, ...]]:
         return set(zip(words, words[1:])) | {(w,) for w in words}
 
 
-def _blocks(benchmark: DataFrame, limit: int) -> list[list[tuple[int, bytes]]]:
-    """The items in lists of at most about `limit` bytes of text."""
-    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("binary"))
+_TERMS = "term binary, items long, words long, longest long"
+
+
+def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct terms of each item, and its length under no term."""
+    for batch in batches:
+        for text in byte_texts(batch.column(0)):
+            if terms := terms_of(text):
+                own = [None, *set(terms)]
+                none = [0] * (len(own) - 1)
+                yield pa.RecordBatch.from_pydict({"term": pa.array(own, pa.binary()), "items": pa.array([1] * len(own), pa.int64()), "words": pa.array([len(terms), *none], pa.int64()), "longest": pa.array([len(terms), *none], pa.int64())})
+
+
+def _blocks(benchmark: DataFrame, limit: int) -> Iterator[tuple[list[tuple[int, bytes]], Whole]]:
+    """The items in lists of about `limit` bytes of text at most, one read after another, with what each must know of all."""
+    rows = staged(benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")), "items")
+    known = staged(rows.select(F.col("text").cast("string")).mapInArrow(_item_terms, _TERMS).groupBy("term").agg(F.sum("items").alias("items"), F.sum("words").alias("words"), F.max("longest").alias("longest")), "terms")
+    every = known.where("term is null").first()
+    n, words, longest = (every["items"], every["words"], every["longest"]) if every else (0, 0, 0)
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-total // limit))
-    return [[(r[0], bytes(r[1])) for r in rows.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).collect()] for k in range(parts)]
+    for k in range(parts):
+        own = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k)
+        held = known.where("term is not null") if parts == 1 else own.select(F.col("text").cast("string")).mapInArrow(_item_terms, _TERMS).where("term is not null").select("term").distinct().join(known, "term")
+        yield [(r[0], bytes(r[1])) for r in own.collect()], Whole(n, words, longest, {bytes(r["term"]): r["items"] for r in held.select("term", "items").collect()})
 
 
-def _asked(shared, threshold: float, overlap: float):
+def _asked(shared, threshold: float, overlap: float, name: str):
     hits = pa.list_(pa.struct([("item", pa.int64()), ("share", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(shared.value, threshold, overlap)
-        k = None
+        items, whole = shared.value
+        index = Index(items, threshold, overlap, whole)
         for batch in batches:
-            k = batch.schema.get_field_index("siftstone_leaks")
+            k = batch.schema.get_field_index(name)
             old = batch.column(k).to_pylist()
             new = [[*(o or []), *({"item": i, "share": s} for i, s in sorted(index.leaks(t).items()))] for o, t in zip(old, byte_texts(batch.column(batch.schema.get_field_index("text"))))]
-            yield batch.set_column(k, "siftstone_leaks", pa.array(new, hits))
+            yield batch.set_column(k, name, pa.array(new, hits))
 
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, limit: int = INDEX_BYTES) -> DataFrame:
-    """The rows of a frame with a column siftstone_leaks: the items each whole text leaks, with their shares.
+def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, limit: int = INDEX_BYTES, name: str = "leaks") -> DataFrame:
+    """The rows of a frame with a column `name`: the items each whole text leaks, with their shares.
 
     Every passage of every text is a query. Indexes of at most `limit` bytes of
     items are sent to the tasks, as many as the benchmark needs, and texts pass
-    through them without a shuffle. Null and empty texts leak nothing; null or
-    empty items are never leaked; equal items are each reported.
+    through them without a shuffle; the number of indexes changes no result.
+    Null and empty texts leak nothing; null or empty items are never leaked;
+    equal items are each reported; null ids and repeated rows each return a row;
+    other columns are passed on, and one that has the name is replaced.
     """
     spark = session_of(docs)
-    out = docs.withColumn("siftstone_leaks", F.expr("cast(array() as array<struct<item:bigint,share:double>>)"))
-    for items in _blocks(benchmark, limit):
-        out = out.mapInArrow(_asked(spark.sparkContext.broadcast(items), threshold, overlap), out.schema)
+    out = docs.withColumn(name, F.expr("cast(array() as array<struct<item:bigint,share:double>>)"))
+    for block in _blocks(benchmark, limit):
+        out = out.mapInArrow(_asked(spark.sparkContext.broadcast(block), threshold, overlap, name), out.schema)
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of a frame whose texts leak no item."""
-    return find_leaks(docs, benchmark).where(F.size("siftstone_leaks") == 0).drop("siftstone_leaks")
+    """The rows of a frame whose texts leak no item; columns may have any name."""
+    (name,) = new_names(docs, "leaks")
+    return find_leaks(docs, benchmark, name=name).where(F.size(name) == 0).drop(name)
 
 
 def op6_block_max_wand(spark, sf_dir: str) -> DataFrame:
     """The benchmark items that each document leaks."""
     found = find_leaks(documents(spark, sf_dir).select("doc_id", clean_text().alias("text")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    leaks = F.col("siftstone_leaks")
+    leaks = F.col("leaks")
     items = F.array_join(F.array_sort(F.transform(leaks, lambda x: x["item"])).cast("array<string>"), ",")
     return found.select("doc_id", F.size(leaks).cast("long").alias("n_items"), items.alias("items"), F.coalesce(F.array_max(F.transform(leaks, lambda x: x["share"])), F.lit(0.0)).alias("best_share"), (F.size(leaks) > 0).alias("contaminated"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftstone.llm.common import Memo, clean_text, documents, id_crc32, session_of, staged
+from siftstone.llm.common import Memo, clean_text, documents, id_crc32, new_names, session_of, staged
 
 #: Labelled rows at most that the lexicon and the scale are learned on.
 FIT_ROWS = 20_000
@@ -270,6 +270,12 @@ def with_scores(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFr
     return rest.mapInArrow(run, T.StructType([*rest.schema, T.StructField(name, T.DoubleType())]))
 
 
+def clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of a frame whose texts score below the threshold; columns may have any name."""
+    (name,) = new_names(docs, "toxicity")
+    return with_scores(docs, model, name).where(F.col(name) < threshold).drop(name)
+
+
 def training_labels(labels: DataFrame) -> DataFrame:
     """Labels whose crc32(doc_id as text) mod 5 is not 0."""
     return labels.where(id_crc32() % 5 != 0).select("doc_id", "toxic")

@@ -400,10 +400,37 @@ def test_leaks(spark):
     noise = " ".join(f"noise{i}" for i in range(300))
     docs = spark.createDataFrame([(1, f"{noise} {item.upper()}. {noise}"), (2, noise), (3, item.rsplit(" ", 8)[0]), (4, None)], "doc_id long, text string")
     for limit in (1 << 20, 60):
-        got = {r.doc_id: [x.item for x in r.siftstone_leaks] for r in find_leaks(docs, bench, limit=limit).collect()}
+        got = {r.doc_id: [x.item for x in r.leaks] for r in find_leaks(docs, bench, limit=limit).collect()}
         assert got == {1: [1], 2: [], 3: [], 4: []}
 
 
+def test_any_number_of_indexes_finds_the_same(spark):
+    """Passages with parts of items, so that shares lie on both sides of the threshold."""
+    from siftstone.llm.decontaminate import find_leaks
+
+    draw, names = np.random.default_rng(3), [f"t{i}" for i in range(400)]
+    texts = [" ".join(draw.choice(names, n)) for n in draw.integers(8, 60, 40)]
+    bench = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    docs = []
+    for i in range(300):
+        own = texts[i % 40].split()
+        kept = [w if draw.random() < 0.85 else "other" for w in own[: int(len(own) * draw.uniform(0.6, 1))]]
+        docs.append((i, " ".join([*draw.choice(names, 90), *kept, *draw.choice(names, 90)])))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    size = sum(map(len, texts))
+    found = [{r.doc_id: sorted((x.item, round(x.share, 9)) for x in r.leaks) for r in find_leaks(frame, bench, limit=size // k + 1).collect()} for k in (1, 4, 16)]
+    assert found[0] == found[1] == found[2]
+    assert 30 < sum(map(bool, found[0].values())) < 300
+
+
+def test_leaks_keep_columns_of_any_name(spark):
+    from siftstone.llm.decontaminate import decontaminate
+
+    docs = spark.createDataFrame([(1, "some text", "a", "b")], "doc_id long, text string, leaks string, Leaks_ string")
+    bench = spark.createDataFrame([(1, "one thing or another")], "item_id long, text string")
+    assert decontaminate(docs, bench).collect() == docs.collect()
+
+
 # ---------------------------------------------------------------- near duplicates
 
 
