@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,88 +32,108 @@ TARGETS = "you your yours yourself u they them their he him his she her we us ev
 NEGATIONS = "not no never without isn aren wasn don doesn didn cannot nobody hardly".split()
 REPORTS = "said says say wrote writes claimed claims quoted quote alleged reported called asked told".split()
 
+#: Words that build up to an insult: those that raise it, and the heads of "a piece of ...".
+DEGREES = "such total complete absolute utter utterly totally completely really very so".split()
+HEADS = "piece pieces bunch load sack waste bag".split()
+
 _SEED_WEIGHT, _THREAT_WEIGHT = 3.0, 2.0
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n\"“”«»]")
 _CLAUSE_END = frozenset(".!?;:\n")
 _QUOTES = frozenset("\"“”«»")
 
-# Symbols of the grammar's alphabet: what a word can be.
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE = range(7)
+# Symbols of the grammar's alphabet: what a word can be, and what transducers turn it into.
+OTHER, INSULT, VERB, TARGET, NEGATION, REPORT, QUOTE, DEGREE, HEAD, THREAT, DENIED, SAID = range(12)
+_CLOSE = 3
+
+
+class Move(NamedTuple):
+    """An arc: the next state, the symbol handed on, what it leaves of the weight so far, and what it adds."""
+
+    state: int
+    out: int
+    factor: float = 1.0
+    added: float = 0.0
 
 
 @dataclass(frozen=True)
 class Transducer:
-    """A deterministic weighted transducer: arcs[state][symbol] = (state, weight); a missing arc stays and weighs nothing.
+    """A deterministic weighted transducer: arcs[state][symbol]; without an arc a symbol passes unchanged to the state in `passing`."""
 
-    A negative weight takes that share of the symbol's own weight, a positive one is added.
-    """
+    arcs: tuple[dict[int, Move], ...]
+    passing: tuple[int, ...]
 
-    arcs: tuple[dict[int, tuple[int, float]], ...]
+    def step(self, state: int, symbol: int) -> Move:
+        return self.arcs[state].get(symbol) or Move(self.passing[state], symbol)
 
-    def step(self, state: int, symbol: int) -> tuple[int, float]:
-        return self.arcs[state].get(symbol, (state, 0.0))
 
+def _within(reach: int, trigger: int, at: Callable[[int], dict[int, Move]], keep: int) -> Transducer:
+    """States 0 to `reach`: how many symbols after a trigger still count; `at` has the arcs while they do."""
+    start = {trigger: Move(reach, keep)}
+    return Transducer((start, *(at(k) | start for k in range(1, reach + 1))), tuple(max(0, k - 1) for k in range(reach + 1)))
 
-def _window(trigger: int, reach: int) -> list[dict[int, tuple[int, float]]]:
-    """States 0 to reach: how many words since the trigger still count; any word but the trigger counts down."""
-    every = range(QUOTE + 1)
-    return [{s: (reach if s == trigger else max(0, k - 1), 0.0) for s in every} for k in range(reach + 1)]
 
+def insult(raised: float = 0.5, reach: int = 2) -> Transducer:
+    """Insults weigh more after a word of degree, and as the end of "a piece of ...", with gaps."""
+    arcs = _within(reach, DEGREE, lambda k: {INSULT: Move(0, INSULT, 1.0, raised)}, DEGREE)
+    heads = _within(reach, HEAD, lambda k: {INSULT: Move(0, INSULT, 1.0, 2 * raised)}, HEAD)
+    # The two run side by side in one machine: the states after a head follow those after a degree.
+    shift = lambda m: m._replace(state=m.state + reach if m.state else 0)
+    both = [a | {HEAD: Move(2 * reach, HEAD)} for a in arcs.arcs]
+    both += [{s: shift(m) for s, m in a.items()} | {DEGREE: Move(reach, DEGREE)} for a in heads.arcs[1:]]
+    return Transducer(tuple(both), (*arcs.passing, *(p + reach if p else 0 for p in heads.passing[1:])))
 
-def negation(reach: int = 3, discount: float = 0.6) -> Transducer:
-    """An insult or threat within `reach` words after a negation loses that share of its unit weight."""
-    arcs = _window(NEGATION, reach)
-    for k in range(1, reach + 1):
-        for s in (INSULT, THREAT):
-            arcs[k][s] = (k - 1, -discount)
-    return Transducer(tuple(arcs))
 
+def threat(weight: float = _THREAT_WEIGHT, reach: int = _CLOSE) -> Transducer:
+    """A verb of harm becomes a threat when a target follows within `reach` words; alone it is any word."""
+    arcs = _within(reach, VERB, lambda k: {TARGET: Move(0, THREAT, 1.0, weight)}, OTHER)
+    return arcs
 
-def target(bonus: float = 0.5) -> Transducer:
-    """A clause that names a target and holds an insult, in either order, weighs more, once."""
-    arcs = (
-        {TARGET: (1, 0.0), INSULT: (2, 0.0), THREAT: (2, 0.0)},
-        {INSULT: (3, bonus), THREAT: (3, bonus)},
-        {TARGET: (3, bonus)},
-        {},
-    )
-    return Transducer(arcs)
 
+def negation(left: float = 0.4, reach: int = _CLOSE) -> Transducer:
+    """An insult or threat within `reach` words after a negation is denied, and keeps that share of its weight."""
+    # A verb of harm takes its words to reach its target, so a threat is denied from further off.
+    denied = {s: left for s in (INSULT, THREAT)}
+    return _within(reach + 1, NEGATION, lambda k: {s: Move(k - 1, DENIED, f) for s, f in denied.items()}, NEGATION)
 
-def threat(weight: float = _THREAT_WEIGHT, reach: int = 3) -> Transducer:
-    """A threat verb counts when a target follows within `reach` words."""
-    arcs = _window(THREAT, reach)
-    for k in range(1, reach + 1):
-        arcs[k][TARGET] = (0, weight)
-    return Transducer(tuple(arcs))
 
+def reported(left: float = 0.5) -> Transducer:
+    """An insult or threat after a verb of reporting, or between quotation marks, is someone else's."""
+    quiet = lambda k: {s: Move(k, SAID, left) for s in (INSULT, THREAT, DENIED)}
+    arcs = ({REPORT: Move(1, REPORT), QUOTE: Move(2, QUOTE)}, quiet(1) | {QUOTE: Move(2, QUOTE)}, quiet(2) | {QUOTE: Move(0, QUOTE)})
+    return Transducer(arcs, (0, 1, 2))
 
-def reported(discount: float = 0.5) -> Transducer:
-    """An insult after a verb of reporting, or between quotation marks, is someone else's."""
-    quiet = lambda k: {INSULT: (k, -discount), THREAT: (k, -discount)}
-    arcs = ({REPORT: (1, 0.0), QUOTE: (2, 0.0)}, quiet(1) | {QUOTE: (2, 0.0)}, quiet(2) | {QUOTE: (0, 0.0)})
-    return Transducer(arcs)
+
+def target(bonus: float = 0.5) -> Transducer:
+    """A clause that names a target and holds an insult of the speaker's own, in either order, weighs more, once; a threat has its target."""
+    arcs = ({TARGET: Move(1, TARGET), INSULT: Move(2, INSULT), THREAT: Move(3, THREAT, 1.0, bonus)}, {s: Move(3, s, 1.0, bonus) for s in (INSULT, THREAT)}, {TARGET: Move(3, TARGET, 1.0, bonus), THREAT: Move(3, THREAT, 1.0, bonus)}, {})
+    return Transducer(arcs, (0, 1, 2, 3))
+
+
+#: The order of composition: what insults and threats are, whether they are denied, whether someone else's, and at whom.
+PARTS = (insult, threat, negation, reported, target)
 
 
 class Grammar:
-    """The composition of transducers that read the same symbols, built as states are met."""
+    """The composition of transducers: each reads what the one before hands on. Built as states are met."""
 
     def __init__(self, *parts: Transducer):
         self._parts = parts
         self._names: dict[tuple[int, ...], int] = {(0,) * len(parts): 0}
         self._states: list[tuple[int, ...]] = [(0,) * len(parts)]
-        self._arcs: dict[tuple[int, int], tuple[int, float, float]] = {}
+        self._arcs: dict[tuple[int, int], Move] = {}
 
-    def step(self, state: int, symbol: int) -> tuple[int, float, float]:
-        """The next state, what the arc leaves of the symbol's own weight, and what it adds."""
+    def step(self, state: int, symbol: int) -> Move:
+        """The arc of the composed machine; its weight is `factor` times the word's own and what was added before, plus what is added after."""
         if (found := self._arcs.get((state, symbol))) is None:
-            moved = [p.step(s, symbol) for p, s in zip(self._parts, self._states[state])]
-            after = tuple(s for s, _ in moved)
-            if after not in self._names:
-                self._names[after] = len(self._states)
-                self._states.append(after)
-            kept = max(0.0, 1.0 + sum(w for _, w in moved if w < 0))
-            found = self._arcs[state, symbol] = (self._names[after], kept, sum(w for _, w in moved if w > 0))
+            after, out, factor, added = [], symbol, 1.0, 0.0
+            for part, own in zip(self._parts, self._states[state]):
+                move = part.step(own, out)
+                after.append(move.state)
+                out, factor, added = move.out, factor * move.factor, added * move.factor + move.added
+            name = self._names.setdefault(tuple(after), len(self._states))
+            if name == len(self._states):
+                self._states.append(tuple(after))
+            found = self._arcs[state, symbol] = Move(name, out, factor, added)
         return found
 
 
@@ -128,18 +149,24 @@ class Model:
 class Scorer:
     """Scores texts clause by clause; a worker keeps one for its model."""
 
-    def __init__(self, model: Model):
-        self._model, self._grammar = model, Grammar(negation(), target(), threat(), reported())
+    def __init__(self, model: Model, parts: Iterable[Callable[[], Transducer]] = PARTS):
+        self._model, self._grammar = model, Grammar(*(part() for part in parts))
         self._symbol = Memo(self._classify)
 
+    def _learned(self, word: str) -> float | None:
+        if (w := self._model.words.get(word)) is None:
+            w = max((self._model.stems[word[:n]] for n in STEM_LENGTHS if len(word) >= n and word[:n] in self._model.stems), default=None)
+        return w
+
     def _classify(self, word: str) -> tuple[int, float]:
+        """The symbol of a word and its own weight. Verbs of harm stay verbs whatever was learned, so they weigh only with a target."""
         if word in _QUOTES:
             return QUOTE, 0.0
-        if (w := self._model.words.get(word)) is None:
-            w = max((self._model.stems[word[:n]] for n in STEM_LENGTHS if len(word) >= n and word[:n] in self._model.stems), default=None)
-        if w is not None:
+        if word in _VERBS:
+            return VERB, 0.0
+        if (w := self._learned(word)) is not None:
             return (INSULT, w) if w > 0 else (OTHER, 0.0)
-        for symbol, known in ((INSULT, _SEEDS), (THREAT, _THREATS), (TARGET, _TARGETS), (NEGATION, _NEGATIONS), (REPORT, _REPORTS)):
+        for symbol, known in _CLASSES:
             if word in known:
                 return symbol, _SEED_WEIGHT if symbol == INSULT else 0.0
         return OTHER, 0.0
@@ -148,7 +175,7 @@ class Scorer:
         """Weights of the clauses that hold an insult or a threat."""
         tokens = _TOKEN.findall(text.lower())
         symbols = [(-1, 0.0) if t in _CLAUSE_END else self._symbol[t] for t in tokens]
-        if not any(s == INSULT or s == THREAT for s, _ in symbols):
+        if not any(s == INSULT or s == VERB for s, _ in symbols):
             return []
         found, start = [], 0
         symbols.append((-1, 0.0))
@@ -156,11 +183,12 @@ class Scorer:
             if s >= 0:
                 continue
             clause, start = symbols[start:end], end + 1
-            if any(x == INSULT or x == THREAT for x, _ in clause):
+            if any(x == INSULT or x == VERB for x, _ in clause):
                 state, total = 0, 0.0
                 for symbol, weight in clause:
-                    state, kept, added = self._grammar.step(state, symbol)
-                    total += weight * kept + added
+                    state, out, factor, added = self._grammar.step(state, symbol)
+                    if out in _HARM or added > 0:
+                        total += weight * factor + added
                 if total > 0:
                     found.append(total)
         return found
@@ -176,7 +204,8 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * x + c * y))))
 
 
-_SEEDS, _THREATS, _TARGETS, _NEGATIONS, _REPORTS = map(frozenset, (INSULTS, THREATS, TARGETS, NEGATIONS, REPORTS))
+_VERBS, _HARM = frozenset(THREATS), frozenset((INSULT, THREAT, DENIED, SAID))
+_CLASSES = tuple((symbol, frozenset(words)) for symbol, words in ((INSULT, INSULTS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (DEGREE, DEGREES), (HEAD, HEADS)))
 
 
 def _log_odds(toxic: int, n: int, toxics: int, total: int) -> float:

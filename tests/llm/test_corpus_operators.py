@@ -113,6 +113,37 @@ def test_grammar_weighs_clauses_not_words():
     assert s.score("you idiot, you moron") > s.score("an idiot") > s.score("") == s.score("fine words")
 
 
+TOXIC_CASES = {
+    "insult": ("a total noddy", "a noddy"),
+    "threat": ("i will kill you", "i will kill the process"),
+    "negation": ("he is an idiot", "he is not an idiot"),
+    "reported": ("what an idiot", "they quoted idiot as a word"),
+    "target": ("you noddy", "noddy"),
+}
+
+
+@pytest.mark.parametrize("name", TOXIC_CASES)
+def test_every_transducer_decides(name):
+    from siftstone.llm.toxicity import PARTS, Model, Scorer
+
+    model = Model(words={"noddy": 1.9, "kill": -1.0, "hurt": 1.2}, scale=(-2.5, 1.0, 0.2))
+    whole, without = Scorer(model), Scorer(model, [p for p in PARTS if p.__name__ != name])
+    toxic, fine = TOXIC_CASES[name]
+    assert whole.score(toxic) >= 0.5 > whole.score(fine)
+    assert (without.score(toxic) >= 0.5) == (without.score(fine) >= 0.5)
+
+
+def test_transducers_read_what_the_one_before_hands_on():
+    from siftstone.llm.toxicity import Model, Scorer
+
+    s = Scorer(Model(words={"kill": -1.0, "hurt": 1.2}))
+    weight = lambda t: max(s.clauses(t), default=0)
+    assert weight("i will kill you") == weight("i will hurt you") > weight("i would never kill you") > weight("he said i would never kill you") > 0
+    assert weight("kill the process") == weight("hurt feelings") == 0
+    assert weight("you piece of garbage") > weight("you really are garbage") > weight("you garbage")
+    assert weight("you are not an idiot") == pytest.approx(0.4 * weight("an idiot"))  # a denied insult has no target
+
+
 def test_toxicity_learns_on_training_folds_only(spark):
     from siftstone.llm import toxicity as T
 
