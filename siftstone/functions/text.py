@@ -135,22 +135,30 @@ def request_key(*fields: str) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(fields))), 256)
 
 
-def select_lines(lines: Column, spec: str) -> Column:
-    """Lines of 1-based inclusive ranges such as '1:9,29:35', with markers where lines are left out.
+def pick_lines(lines: Column, spec: str | Column) -> Column:
+    """Lines of 1-based inclusive ranges such as '1:9,29:35', with markers where lines are left out; all of them for a null spec.
 
     A range outside the lines is an error.
     """
-    total, out, last = F.size(lines), F.array().cast("array<string>"), F.lit(0)
+    spec = F.lit(spec) if isinstance(spec, str) else spec
+    total = F.size(lines)
+    none = F.array().cast("array<string>")
     above, here, below = (F.lit(x) for x in OMITTED)
-    parts = [p.strip() for p in spec.split(",") if p.strip()]
-    for k, part in enumerate(parts):
-        a, _, b = part.partition(":") if ":" in part else (part, "", part)
-        start, end = F.lit(int(a) if a else 1), F.lit(int(b)) if b else total
-        bad = ~((start >= 1) & (start <= end) & (end <= total))
-        lead = F.array(F.lit(""), here, F.lit("")) if k else F.when(start > 1, F.array(above, F.lit(""))).otherwise(F.array().cast("array<string>"))
-        picked = F.when(bad, F.raise_error(F.concat(F.lit(f"line range {part} outside a file of lines: "), total.cast("string"))).cast("array<string>")).otherwise(F.slice(lines, start, end - start + 1))
-        out, last = F.concat(out, lead, picked), end
-    return F.when(F.lit(bool(parts)) & (last < total), F.concat(out, F.array(F.lit(""), below))).otherwise(out) if parts else out
+    parts = F.filter(F.transform(F.split(spec, ","), lambda p: F.btrim(p)), lambda p: p != "")
+
+    def bounds(part: Column) -> Column:
+        first, last = (F.nullif(F.btrim(F.split_part(part, F.lit(":"), F.lit(k))), F.lit("")).cast("int") for k in (1, 2))
+        colon = F.contains(part, F.lit(":"))
+        start, end = F.coalesce(first, F.lit(1)), F.when(colon, F.coalesce(last, total)).otherwise(first)
+        right = (start >= 1) & (start <= end) & (end <= total)
+        fail = F.raise_error(F.concat(F.lit("line range "), part, F.lit(" outside a file of "), total.cast("string"), F.lit(" lines")))
+        return F.struct(F.when(right, start).otherwise(fail.cast("int")).alias("start"), end.alias("end"))
+
+    ranges = F.transform(parts, bounds)
+    lead = lambda r, k: F.when(k > 0, F.array(F.lit(""), here, F.lit(""))).when(r["start"] > 1, F.array(above, F.lit(""))).otherwise(none)
+    picked = F.flatten(F.transform(ranges, lambda r, k: F.concat(lead(r, k), F.slice(lines, r["start"], r["end"] - r["start"] + 1))))
+    cut = F.element_at(ranges, -1)["end"] < total
+    return F.when(spec.isNull(), lines).when(F.size(parts) == 0, none).otherwise(F.concat(picked, F.when(cut, F.array(F.lit(""), below)).otherwise(none)))
 
 
 def page_url(doc_id: str | Column, site: str) -> Column:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,12 +21,6 @@ def words(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in re.finditer(r"[^ \n\t\r]+", text)]
 
 
-def token_windows(n, size: int = SIZE, overlap: int = OVERLAP):
-    """First tokens of the windows over n tokens: a window begins where the one before did not reach the end."""
-    step = size - overlap
-    return F.when(n > 0, F.filter(F.sequence(F.lit(0), n - 1, F.lit(step)), lambda i: (i == 0) | (i + overlap < n))).otherwise(F.array().cast("array<int>"))
-
-
 def _chunks(docs: DataFrame) -> T.StructType:
     """Rows of a chunk frame (doc_id as it is in the documents)."""
     return T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.IntegerType()) for c in ("n", "start", "end", "n_tokens"))])
@@ -49,69 +46,77 @@ def fixed_chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, toke
     return _named(docs.select("doc_id", "text").mapInPandas(run, _chunks(docs)), "fixed")
 
 
-def paragraphs(text: str, base: int) -> list[tuple[int, int]]:
+def paragraphs(text: str, base: int = 0) -> list[tuple[int, int]]:
     """Ranges between blank lines, without empty ones."""
-    ends = [*((m.start(), m.end()) for m in re.finditer(r"\n\s*\n", text)), (len(text), len(text))]
-    found, at = [], 0
-    for stop, after in ends:
-        if stop > at:
-            found.append((base + at, base + stop))
-        at = after
-    return found
+    edges = [0, *chain.from_iterable(m.span() for m in re.finditer(r"\n\s*\n", text)), len(text)]
+    return [(base + a, base + b) for a, b in zip(edges[::2], edges[1::2]) if a < b]
 
 
 def _windows(spans: list[tuple[int, int]], size: int, overlap: int) -> Iterator[tuple[int, int, int]]:
-    for i in range(0, len(spans), size - overlap):
-        if i and i + overlap >= len(spans):
-            return
-        part = spans[i : i + size]
+    """The first, and then as many as the tokens after it need."""
+    step = size - overlap
+    more = max(0, -((size - len(spans)) // step))
+    for k in range(1 + more if spans else 0):
+        part = spans[k * step : k * step + size]
         yield part[0][0], part[-1][1], len(part)
 
 
-def pack_section(text: str, start: int, end: int, tokenize: Tokenize, most: int, overlap: int) -> Iterator[tuple[int, int, int]]:
-    """(start, end, tokens) of a section: whole if it fits, else paragraphs packed greedily, long ones cut into windows."""
-    total = len(tokenize(text[start:end]))
-    if total <= most:
+def units(text: str, offsets: Sequence[int]) -> list[tuple[int, int, bool]]:
+    """(start, end, body) of what is chunked together: a section with a body, after the headings without one that stand before it."""
+    bounds = np.array([*offsets, len(text)])
+    body = np.array([bool(text[a:b].partition("\n")[2].strip()) for a, b in zip(bounds, bounds[1:])], bool)
+    group = np.cumsum(body) - body  # how many bodies came before: the same for a body and the headings it takes in
+    last = np.flatnonzero(np.diff(group, append=-1))
+    first = np.concatenate([[0], last[:-1] + 1]).astype(int) if len(last) else last
+    return [(int(bounds[a]), int(bounds[b + 1]), bool(body[b])) for a, b in zip(first, last)]
+
+
+def pack(sizes: Sequence[int], most: int) -> list[tuple[int, int]]:
+    """Ranges of items, in order and as long as their sizes add up to at most `most`; larger items stand alone."""
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    large = [*np.flatnonzero(np.asarray(sizes) > most).tolist(), len(sizes)]
+    out, at = [], 0
+    while at < len(sizes):
+        stop = large[bisect_left(large, at)]
+        after = at + 1 if stop == at else min(stop, int(np.searchsorted(upto, upto[at] + most, side="right")) - 1)
+        out.append((at, after))
+        at = after
+    return out
+
+
+def pack_unit(text: str, start: int, end: int, tokenize: Tokenize, most: int, overlap: int) -> Iterator[tuple[int, int, int]]:
+    """(start, end, tokens) of a unit: whole if it fits, else paragraphs packed greedily, long ones cut into windows."""
+    if (total := len(tokenize(text[start:end]))) <= most:
         yield start, end, total
         return
-    held: tuple[int, int, int] | None = None
-    for a, b in paragraphs(text[start:end], start):
-        n = len(tokenize(text[a:b]))
-        if held and held[2] + n > most:
-            yield held
-            held = None
+    parts = paragraphs(text[start:end], start)
+    spans = [tokenize(text[a:b]) for a, b in parts]
+    for i, j in pack([len(x) for x in spans], most):
+        n = sum(map(len, spans[i:j]))
         if n > most:
-            yield from ((a + x, a + y, k) for x, y, k in _windows(tokenize(text[a:b]), most, overlap))
+            yield from ((parts[i][0] + a, parts[i][0] + b, k) for a, b, k in _windows(spans[i], most, overlap))
         else:
-            held = (held[0], b, held[2] + n) if held else (a, b, n)
-    if held:
-        yield held
+            yield parts[i][0], parts[j - 1][1], n
 
 
 def section_chunks(pages: DataFrame, tokenize: Tokenize = words, most: int = MAX_TOKENS, overlap: int = OVERLAP) -> DataFrame:
     """Chunks of pages (doc_id, text, headings array<struct<offset>>): one a section, headings without a body joined to the next.
 
-    The packing folds over a page's paragraphs in order, so a page is one unit
-    of work in an Arrow batch; pages need no shuffle. A heading without a body at
-    the end of a page is a chunk of its own, of any size.
+    A page is one unit of work in an Arrow batch; pages need no shuffle. A
+    heading without a body at the end of a page is a chunk of its own, of any
+    size.
     """
 
+    def chunks(text: str, offsets: Sequence[int]) -> Iterator[tuple[int, int, int]]:
+        for start, end, body in units(text, offsets):
+            if body:
+                yield from pack_unit(text, start, end, tokenize, most, overlap)
+            else:
+                yield start, end, len(tokenize(text[start:end]))
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for doc_id, text, offsets in zip(frame["doc_id"], frame["text"], frame["offsets"]):
-                n, waiting, bounds = 0, None, [*offsets, len(text)]
-                for start, end in zip(bounds, bounds[1:]):
-                    body = text[start:end].split("\n", 1)
-                    if len(body) < 2 or not body[1].strip():
-                        waiting = start if waiting is None else waiting
-                        continue
-                    for a, b, k in pack_section(text, start if waiting is None else waiting, end, tokenize, most, overlap):
-                        rows.append((doc_id, n, a, b, k))
-                        n += 1
-                    waiting = None
-                if waiting is not None:
-                    rows.append((doc_id, n, waiting, len(text), len(tokenize(text[waiting:]))))
+            rows = [(doc_id, n, *c) for doc_id, text, offsets in zip(frame["doc_id"], frame["text"], frame["offsets"]) for n, c in enumerate(chunks(text, offsets))]
             yield pd.DataFrame(rows, columns=["doc_id", "n", "start", "end", "n_tokens"])
 
     source = pages.select("doc_id", "text", F.transform("headings", lambda h: h["offset"]).alias("offsets"))

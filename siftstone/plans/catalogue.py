@@ -545,7 +545,7 @@ def page_render(spark, sf_dir):
 @query("SELECT array_to_string(['# Code above omitted 👆', '', 'l2', 'l3', '', '# Code here omitted 👈', '', 'l6', '', '# Code below omitted 👇'], '\n') AS picked".replace("'\n'", "chr(10)"))
 def line_ranges(spark, sf_dir):
     lines = spark.sql("SELECT transform(sequence(1, 10), i -> concat('l', i)) AS lines")
-    return lines.select(F.array_join(tx.select_lines(F.col("lines"), "2:3, 6"), "\n").alias("picked"))
+    return lines.select(F.array_join(tx.pick_lines(F.col("lines"), "2:3, 6"), "\n").alias("picked"))
 
 
 @query(

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,8 +28,26 @@ def test_windows(spark):
             i += size - overlap
         return out
 
-    for n in (0, 1, 9, 10, 11, 18, 19, 27, 100):
-        assert one(spark, w=chunking.token_windows(F.lit(n), 10, 1)).w == windows(n, 10, 1)
+    for n in (0, 1, 9, 10, 11, 18, 19, 27, 28, 29, 100):
+        found = list(chunking._windows([(i, i + 1) for i in range(n)], 10, 1))
+        assert [a for a, _, _ in found] == windows(n, 10, 1)
+
+
+def test_packing_equals_one_item_at_a_time():
+    def greedy(sizes, most):
+        out, at = [], 0
+        for i, n in enumerate(sizes):
+            if i > at and (sum(sizes[at : i + 1]) > most or n > most or sizes[at] > most):
+                out.append((at, i))
+                at = i
+        return out + [(at, len(sizes))] * bool(sizes)
+
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        sizes = rng.integers(0, 14, rng.integers(0, 12)).tolist()
+        assert chunking.pack(sizes, 10) == greedy(sizes, 10)
+    assert chunking.units("# a\n# b\nx\n# c\n# d\n", [0, 4, 10, 14]) == [(0, 10, True), (10, 18, False)]
+    assert chunking.paragraphs("a\n\n\nb\n \nc") == [(0, 1), (4, 5), (8, 9)] and chunking.paragraphs("") == []
 
 
 def test_section_chunks(spark):
