@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -52,12 +53,37 @@ def bootstrap_exact(rows: DataFrame, group: str, order: str, value: str, draws:
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         values = frame.sort_values(order)[value].tolist()
         n, rng = len(values), random.Random(seed)
-        means = sorted(sum(rng.choices(values, k=n)) / n for _ in range(draws))
+        means = sorted(sum(values[rng.randrange(n)] for _ in range(n)) / n for _ in range(draws))
         return pd.DataFrame({group: [frame[group].iloc[0]], "lo": [means[int(0.025 * draws)]], "hi": [means[int(0.975 * draws) - 1]]})
 
     return rows.select(group, order, value).groupBy(group).applyInPandas(run, f"{group} string, lo double, hi double")
 
 
+def paired_bootstrap_delta(rows: DataFrame, group: str, order: str, a: str, b: str, draws: int = 10_000, seed: int = 0) -> DataFrame:
+    """(group, delta, lo, hi): mean of b - a over the same rows, with its percentile interval."""
+    diffs = rows.withColumn("diff", F.col(b) - F.col(a))
+    means = diffs.groupBy(group).agg(F.avg("diff").alias("delta"))
+    return means.join(bootstrap_exact(diffs, group, order, "diff", draws, seed), group)
+
+
+def ranked_values(rows: DataFrame, value: str, places: dict[str, Callable[[Column], Column]], *by: str) -> DataFrame:
+    """(by..., name...): the value at a 0-based place of each group's sorted values, as a function of the group's size.
+
+    Values are counted first, so what is ordered is one row for each distinct
+    value, and no group is gathered.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("times"))
+    order = Window.partitionBy(*by).orderBy(value)
+    upto = counts.withColumns({"upto": F.sum("times").over(order), "size": F.sum("times").over(Window.partitionBy(*by))})
+    at = lambda place: F.min(F.when(F.col("upto") > place(F.col("size")), F.col(value)))
+    return upto.groupBy(*by).agg(F.max("size").alias("n"), *(at(place).alias(name) for name, place in places.items()))
+
+
+def nearest(share: float) -> Callable[[Column], Column]:
+    """The place min(n - 1, int(share * n)) of n values."""
+    return lambda n: F.least(n - 1, F.floor(n * F.lit(share)))
+
+
 def _bits(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")
 
@@ -68,8 +94,6 @@ def bootstrap_hashed(rows: DataFrame, group: str, value: str, order: str, draws:
     Positions are numbered within the group; draw d takes at place i the value
     at md5(group|d|i) mod n. Only (draw, position) pairs are shuffled.
     """
-    from pyspark.sql import Window
-
     numbered = rows.select(group, F.col(value).cast("double").alias("x"), (F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1).cast("long").alias("i"))
     sizes = numbered.groupBy(group).agg(F.count("*").alias("n"))
     picks = numbered.join(sizes, group).select(group, "n", "i", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("d"))

@@ -243,12 +243,14 @@ def _object(text) -> dict | None:
 
 @pandas_udf(T.StructType().add("verdict", T.StringType()).add("reason", T.StringType()))
 def parse_correctness(text: pd.Series) -> pd.DataFrame:
-    """Verdict and reason of a judge's JSON reply; anything else is invalid, with its first 200 characters."""
+    """Verdict and reason of a judge's JSON reply; an unknown verdict is invalid, and so is anything else, with its first 200 characters."""
 
     def one(reply):
         value = _object(reply)
-        verdict = str(value.get("verdict", "")).strip().lower() if value else ""
-        return (verdict, str(value.get("reason", ""))) if verdict in VERDICTS else ("invalid", (reply or "")[:200])
+        if value is None:
+            return "invalid", (reply or "")[:200]
+        verdict = str(value.get("verdict", "")).strip().lower()
+        return verdict if verdict in VERDICTS else "invalid", str(value.get("reason", ""))
 
     return pd.DataFrame([one(t) for t in text], columns=["verdict", "reason"])
 

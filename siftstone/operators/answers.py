@@ -13,13 +13,16 @@ from pyspark.sql import functions as F
 from siftstone.functions import text as tx
 
 EXPECTED = {"paraphrase": "correct", "substitution": "incorrect", "swap": "incorrect", "supported": "faithful", "fabricated": "unfaithful"}
-RETRY_STATUS = (408, 409, 429, 500, 502, 503, 504, 529)
+# The failures that may pass when the same call is made again.
+RETRY_STATUS = (408, 409, 425, 429, 500, 502, 503, 504)
+RETRY_NAMES = ("APIConnectionError", "APITimeoutError", "RateLimitError", "InternalServerError", "ConnectionError", "Timeout")
 Model = Callable[[str, str], str]
 
 
-def excerpt_heading(title: Column, section: Column, url: Column) -> Column:
-    """page, or page > section, and the address."""
-    return F.concat(F.when(section.isNull() | (section == title), title).otherwise(F.concat(title, F.lit(" > "), section)), F.lit(" — "), url)
+def excerpt_heading(title: Column, section: Column, level: Column, url: Column) -> Column:
+    """page, or page > section below level 1, and the address on a line of its own."""
+    path = F.when(section.isNull() | (level == 1), title).otherwise(F.concat(title, F.lit(" > "), section))
+    return F.concat(path, F.lit("\n"), url)
 
 
 def assemble(ranked: DataFrame) -> DataFrame:
@@ -34,8 +37,9 @@ def answer_prompt(question: Column, context: Column) -> Column:
 
 
 def retryable(error: Exception) -> bool:
-    """Whether a failed call may be tried again: by its status, or as a connection failure."""
-    return getattr(error, "status_code", None) in RETRY_STATUS or isinstance(error, (ConnectionError, TimeoutError))
+    """Whether a failed call may be tried again: by its status where it has one, else by its name."""
+    status = getattr(error, "status_code", None)
+    return status in RETRY_STATUS if isinstance(status, int) else type(error).__name__ in RETRY_NAMES
 
 
 def with_retries(call: Callable[[], str], tries: int = 4, wait: Callable[[float], None] = time.sleep) -> str:
@@ -71,6 +75,43 @@ def complete(requests: DataFrame, cache: DataFrame, model: Model | None = None,
     return hits.unionByName(keyed.select("id", "key").join(made, "key").select("id", "key", "text", F.lit(False).alias("cached")))
 
 
+def ask(rows: DataFrame, prompt: Column, system: str, cache: DataFrame, model: Model | None, name: str = "model") -> DataFrame:
+    """Rows (qid, ...) with the reply `text` to a prompt made of them, from the cache or the model."""
+    requests = rows.select(F.col("qid").alias("id"), F.lit(system).alias("system"), prompt.alias("prompt"))
+    return rows.join(complete(requests, cache, model, name).select(F.col("id").alias("qid"), "text"), "qid")
+
+
+def grounded_answers(questions: DataFrame, ranked: DataFrame, system: str, phrase: str, cache: DataFrame, model: Model | None = None) -> DataFrame:
+    """Answers to (qid, question) from ranked excerpts (qid, rank, chunk_ix, heading, text), with the facts of answer_facts."""
+    rows = questions.select("qid", "question").join(assemble(ranked), "qid")
+    return answer_facts(ask(rows, answer_prompt(F.col("question"), F.col("context")), system, cache, model), phrase)
+
+
+def closed_book(questions: DataFrame, system: str, phrase: str, cache: DataFrame, model: Model | None = None) -> DataFrame:
+    """Answers to (qid, question) without any excerpt; whatever they cite is out of range."""
+    rows = questions.select("qid", "question", F.array().cast("array<string>").alias("chunk_ids"))
+    return answer_facts(ask(rows, F.concat(F.lit("Question: "), "question"), system, cache, model), phrase)
+
+
+def judge_correctness(answers: DataFrame, system: str, cache: DataFrame, model: Model | None = None) -> DataFrame:
+    """(qid, verdict, reason) of answers (qid, question, reference, text), read from the judge's JSON reply."""
+    prompt = F.concat(F.lit("Question:\n"), "question", F.lit("\n\nReference answer:\n"), "reference", F.lit("\n\nAnswer to grade:\n"), tx.strip_citations("answer"))
+    judged = ask(answers.withColumnRenamed("text", "answer"), prompt, system, cache, model).withColumn("c", tx.parse_correctness("text"))
+    return judged.select("qid", "c.verdict", "c.reason")
+
+
+def judge_faithfulness(answers: DataFrame, system: str, cache: DataFrame, model: Model | None = None) -> DataFrame:
+    """(qid, valid, faithful, claims) of answers (qid, context, text)."""
+    prompt = F.concat(F.lit("Excerpts:\n"), "context", F.lit("\n\nAnswer to check:\n"), tx.strip_citations("answer"))
+    judged = ask(answers.withColumnRenamed("text", "answer"), prompt, system, cache, model).withColumn("f", tx.parse_faithfulness("text"))
+    return judged.select("qid", "f.valid", tx.faithful(F.col("f")).alias("faithful"), "f.claims")
+
+
+def unreadable(judged: DataFrame) -> DataFrame:
+    """Replies of the judge that can't be read, by question kind (verdict, valid)."""
+    return judged.agg(F.count_if(F.col("verdict") == "invalid").alias("verdicts"), F.count_if(~F.col("valid")).alias("claim_lists"))
+
+
 def answer_facts(answers: DataFrame, phrase: str) -> DataFrame:
     """Answers (qid, text, chunk_ids) with refusal flags, citations in and out of range, and the cited chunks."""
     split = tx.split_citations(tx.citations("text"), F.size("chunk_ids"))

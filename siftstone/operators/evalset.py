@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftstone.operators.retrieval import small
+
 MIN_SECTION = 400
 
 
@@ -48,19 +50,26 @@ def merge_spans(spans: DataFrame, *by: str) -> DataFrame:
     return islands.groupBy(*by, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
-def longest_shared_run(pairs: DataFrame, key: list[str], a: str, b: str) -> DataFrame:
-    """(key..., run): the longest run of words, in any case, that two texts share.
+def _grams(rows: DataFrame, key: str, text: Column, n: int, pattern: str) -> DataFrame:
+    """(key, grams): 64-bit hashes of the runs of n words of a text, in order. Words are hashed in a column of their own, once."""
+    hashed = rows.select(key, F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda w: F.xxhash64(w)).alias("hashes"))
+    places = F.sequence(F.lit(0), F.size("hashes") - n)
+    # Generated with `outer` by the callers: the filter Spark infers for the other kind would make the grams again for each word.
+    return hashed.where(F.size("hashes") >= n).select(key, F.transform(places, lambda i: F.xxhash64(*(F.get("hashes", i + k) for k in range(n)))).alias("grams"))
+
+
+def longest_shared_run(left: DataFrame, right: DataFrame, least: int = 4) -> DataFrame:
+    """(a_id, b_id, run): the longest run of words, in any case, that texts (a_id, text) and (b_id, text) share, where it has `least` words.
 
-    Words of both sides meet by key and word; equal diagonals with consecutive
-    places are runs.
+    Only texts that share a run of so many words meet, by an equi-join on it;
+    matches on one diagonal with consecutive places are longer runs.
     """
-    words = lambda c: F.posexplode(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9_]+"), F.lit(0)))
-    left = pairs.select(*key, words(a).alias("i", "w"))
-    right = pairs.select(*key, words(b).alias("j", "w"))
-    met = left.join(right, [*key, "w"]).select(*key, (F.col("i") - F.col("j")).alias("d"), "i")
-    runs = met.withColumn("run", F.col("i") - F.row_number().over(Window.partitionBy(*key, "d").orderBy("i")))
-    longest = runs.groupBy(*key, "d", "run").agg(F.count("*").alias("n")).groupBy(*key).agg(F.max("n").alias("run"))
-    return pairs.select(*key).distinct().join(longest, key, "left").select(*key, F.coalesce("run", F.lit(0)).cast("long").alias("run"))
+    a = _grams(left, "a_id", F.lower("text"), least, "[a-z0-9_]+").select("a_id", F.posexplode_outer("grams").alias("i", "g"))
+    b = _grams(right, "b_id", F.lower("text"), least, "[a-z0-9_]+").select("b_id", F.posexplode_outer("grams").alias("j", "g"))
+    met = b.join(small(a), "g").select("a_id", "b_id", (F.col("i") - F.col("j")).alias("d"), "i")
+    place = F.row_number().over(Window.partitionBy("a_id", "b_id", "d").orderBy("i"))
+    runs = met.withColumn("run", F.col("i") - place).groupBy("a_id", "b_id", "d", "run").agg(F.count("*").alias("n"))
+    return runs.groupBy("a_id", "b_id").agg((F.max("n") + least - 1).cast("long").alias("run"))
 
 
 def term_hits(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -70,10 +79,51 @@ def term_hits(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(terms.select("term")), whole_word_start("text", "term")).select("term", "doc_id")
 
 
+#: Words of a quotation that documents are looked up by; they stand between its first and last, which may be parts of words.
+ANCHOR = 3
+_WORD = r"[^ \n\t\r]+"
+
+
+def candidates(docs: DataFrame, quotes: DataFrame) -> DataFrame:
+    """(doc_id, qid) where a document (doc_id, text) has the inner words of a quotation (qid, quote) of ANCHOR + 2 words or more."""
+    inner = F.slice(F.regexp_extract_all("quote", F.lit(_WORD), F.lit(0)), 2, ANCHOR)
+    anchors = quotes.select("qid", F.xxhash64(*(F.xxhash64(F.get(inner, k)) for k in range(ANCHOR))).alias("g"))
+    grams = _grams(docs, "doc_id", F.col("text"), ANCHOR, _WORD).select("doc_id", F.explode_outer(F.array_distinct("grams")).alias("g"))
+    return grams.join(small(anchors), "g").select("doc_id", "qid").distinct()
+
+
 def locate_exact(docs: DataFrame, quotes: DataFrame) -> DataFrame:
-    """(qid, doc_id, start, end) of the first exact place of each quote (qid, quote) in each document that holds it."""
+    """(qid, doc_id, start, end) of the first exact place of each quote (qid, quote) in each document that holds it.
+
+    Quotes of five words or more meet documents by an equi-join on inner words,
+    and only those pairs are searched. Shorter ones, if there are any, are a
+    stated list that every text is searched for.
+    """
     at = F.expr("instr(text, quote)")
-    return docs.select("doc_id", "text").join(F.broadcast(quotes), at > 0).select("qid", "doc_id", (at - 1).alias("start"), (at - 1 + F.length("quote")).alias("end"))
+    place = ["qid", "doc_id", (at - 1).alias("start"), (at - 1 + F.length("quote")).alias("end")]
+    long = F.size(F.regexp_extract_all("quote", F.lit(_WORD), F.lit(0))) >= ANCHOR + 2
+    texts = docs.select("doc_id", "text")
+    met = texts.join(candidates(texts, quotes.where(long)), "doc_id").join(small(quotes.where(long)), "qid").where(at > 0).select(*place)
+    short = quotes.where(~long)
+    return met if short.isEmpty() else met.unionByName(texts.join(small(short), at > 0).select(*place))
+
+
+#: What a quotation may have in another form, or not at all.
+_MARKS = "[\"'`*“”‘’]"
+
+
+def locate_loose(docs: DataFrame, quotes: DataFrame) -> DataFrame:
+    """(qid, doc_id, start, end) of each quote in each document that holds it but for white space and quotation marks.
+
+    Both sides are put in the loose form and met like exact quotes; only the
+    documents found are searched again for the place in the text as it is.
+    """
+    from siftstone.functions.text import locate
+
+    loose = lambda c: F.regexp_replace(F.regexp_replace(c, _MARKS, ""), r"(?U)\s+", " ")
+    found = locate_exact(docs.select("doc_id", loose("text").alias("text")), quotes.select("qid", F.btrim(loose("quote")).alias("quote"))).select("qid", "doc_id")
+    met = found.join(docs.select("doc_id", "text"), "doc_id").join(small(quotes), "qid").withColumn("at", locate("text", "quote"))
+    return met.where("at.start is not null").select("qid", "doc_id", "at.start", "at.end")
 
 
 def latest(log: DataFrame, key: str, *order: str) -> DataFrame:
@@ -97,6 +147,14 @@ def kind_of(evidence: Column) -> Column:
     return F.when(F.size(evidence) <= 0, "unanswerable").when(places >= 2, "multi").otherwise("single")
 
 
+def evidence_of(spans: DataFrame, docs: DataFrame) -> DataFrame:
+    """Evidence rows (qid, doc_id, start, end, anchor, quote) of spans (qid, doc_id, start, end) in rendered pages: the section a span begins in, and what stands there."""
+    from siftstone.operators.pages import section_at
+
+    met = spans.join(docs.select("doc_id", "text", "headings"), "doc_id").withColumn("h", section_at(F.col("headings"), F.col("start")))
+    return met.select("qid", "doc_id", "start", "end", F.coalesce("h.anchor", F.lit("")).alias("anchor"), F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("quote"))
+
+
 def same_spans(a: Column, b: Column) -> Column:
     return F.array_sort(a) == F.array_sort(b)
 
@@ -109,7 +167,7 @@ def build_questions(kept: DataFrame, handwritten: DataFrame, unanswerable: DataF
         own = part.select(*columns).withColumn("src", F.lit(k))
         every = own if every is None else every.unionByName(own)
     numbered = every.withColumn("n", F.row_number().over(Window.orderBy("src", "pos")))  # a reviewed set is small
-    return numbered.select(F.concat(F.lit("q"), F.lpad(F.col("n").cast("string"), 3, "0")).alias("id"), "question", "answer", (F.size("evidence") > 0).alias("answerable"), "evidence", kind_of(F.col("evidence")).alias("kind"), "origin", "candidate_id")
+    return numbered.select(F.format_string("q%03d", "n").alias("id"), "question", "answer", (F.size("evidence") > 0).alias("answerable"), "evidence", kind_of(F.col("evidence")).alias("kind"), "origin", "candidate_id")
 
 
 def validate(questions: DataFrame, docs: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.functions.stats import nearest_rank, wilson
+from siftstone.functions.stats import nearest, ranked_values, wilson
 
 
 def rate(rows: DataFrame, flag: str, *by: str) -> DataFrame:
@@ -23,16 +23,28 @@ def capped_histogram(rows: DataFrame, value: str, cap: int = 8) -> DataFrame:
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
-    """Totals and sizes of texts: count, characters, words, least, median, index percentile, most."""
-    size = docs.select(F.length("text").alias("chars"), F.size(F.regexp_extract_all("text", F.lit(r"[^ \n\t\r]+"), F.lit(0))).alias("words"))
-    ordered = F.sort_array(F.collect_list("chars"))
-    p90 = F.element_at(ordered, F.floor((F.size(ordered) - 1) * 0.9).cast("int") + 1)
-    return size.agg(F.count("*").alias("pages"), F.sum("chars").alias("chars"), F.sum("words").alias("words"), F.min("chars").cast("long").alias("least"), F.median("chars").alias("median"), p90.cast("long").alias("p90"), F.max("chars").cast("long").alias("most"))
+    """Totals and sizes of texts: count, characters, words, least, median, index percentile, most; sizes are counted by value."""
+    size = docs.select(F.length("text").cast("long").alias("chars"), F.size(F.regexp_extract_all("text", F.lit(r"[^ \n\t\r]+"), F.lit(0))).alias("words"))
+    by_size = size.groupBy("chars").agg(F.count("*").alias("times"), F.sum("words").alias("words"))
+    total = by_size.agg(F.sum("times").alias("pages"), F.sum(F.col("chars") * F.col("times")).alias("chars"), F.sum("words").alias("words"), F.min("chars").alias("least"), F.max("chars").alias("most"))
+    places = {"low": lambda n: F.floor((n - 1) / 2), "high": lambda n: F.floor(n / 2), "p90": lambda n: F.floor((n - 1) * 0.9)}
+    ranked = ranked_values(size, "chars", places).select(((F.col("low") + F.col("high")) / 2).alias("median"), "p90")
+    return total.join(F.broadcast(ranked)).select("pages", "chars", "words", "least", "median", "p90", "most")
 
 
-def matrix(rows: DataFrame, by: str, flag: str) -> DataFrame:
-    """(by, yes, no): counts of a boolean by a key."""
-    return rows.groupBy(by).agg(F.count_if(F.col(flag)).alias("yes"), F.count_if(~F.col(flag)).alias("no"))
+def matrix(rows: DataFrame, flag: str, *by: str) -> DataFrame:
+    """(by..., yes, no): counts of a boolean by one key or more, as mode and answerable."""
+    return rows.groupBy(*by).agg(F.count_if(F.col(flag)).alias("yes"), F.count_if(~F.col(flag)).alias("no"))
+
+
+def counts(rows: DataFrame, *by: str) -> DataFrame:
+    """(by..., n): rows of each group, as the verdicts of each kind of probe."""
+    return rows.groupBy(*by).agg(F.count("*").alias("n"))
+
+
+def distinct_pages(questions: DataFrame) -> DataFrame:
+    """How many pages the evidence of a question set stands in."""
+    return questions.select(F.explode("evidence.doc_id").alias("doc_id")).agg(F.count_distinct("doc_id").alias("pages"))
 
 
 def usage(calls: DataFrame, prices: dict[str, tuple[float, float]]) -> DataFrame:
@@ -43,7 +55,8 @@ def usage(calls: DataFrame, prices: dict[str, tuple[float, float]]) -> DataFrame
 
 
 def latencies(rows: DataFrame, value: str, *by: str) -> DataFrame:
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), nearest_rank(value, 0.5).alias("p50"), nearest_rank(value, 0.95).alias("p95"))
+    """(by..., n, p50, p95) by nearest rank."""
+    return ranked_values(rows, value, {"p50": nearest(0.5), "p95": nearest(0.95)}, *by)
 
 
 def paired_catch(probes: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ all ties. Queries are (qid, text). Rankings are (qid, chunk_ix, score, rank).
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftstone.functions.text import keyword_tokens
+from siftstone.sources.tables import written
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 FUSION_K, FUSION_DEPTH, RERANK_DEPTH = 60, 50, 20
@@ -35,6 +37,27 @@ def _postings(corpus: DataFrame, tokens: Column) -> DataFrame:
     return each.groupBy("tok", "chunk_ix").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
+@dataclass(frozen=True)
+class Index:
+    """What BM25 needs of a corpus, written once: postings (tok, chunk_ix, tf, dl) and weights (tok, idf), by its mean length."""
+
+    corpus: DataFrame
+    postings: DataFrame
+    weights: DataFrame
+    mean_length: float
+
+
+def build(corpus: DataFrame) -> Index:
+    """The index of a corpus (chunk_ix, text), tokenised once; a negative idf becomes a quarter of the mean raw idf."""
+    postings = written(_postings(corpus, keyword_tokens("text")), "postings")
+    n, tokens = corpus.count(), postings.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+    df = postings.groupBy("tok").agg(F.count("*").alias("df"))
+    raw = written(df.select("tok", (F.ln(F.lit(n) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("idf")), "idf")
+    mean = raw.agg(F.avg("idf").alias("mean"))
+    weights = raw.join(F.broadcast(mean)).select("tok", F.when(F.col("idf") < 0, FLOOR * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
+    return Index(corpus, postings, weights, tokens / n if n else 0.0)
+
+
 def top_k(scores: DataFrame, corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Rank (qid, chunk_ix, score) by score and then position; k rows even where fewer have a score.
 
@@ -42,7 +65,7 @@ def top_k(scores: DataFrame, corpus: DataFrame, queries: DataFrame, k: int) -> D
     scores need any, and take them from the first positions, so queries never
     meet the whole corpus.
     """
-    scores = scores.persist()  # read by four branches; spills to disk, and is recomputed where an executor is lost
+    scores = written(scores, "scores")  # read by four branches
     score = F.round("score", DIGITS).alias("score")
     by_score = Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_ix")
     best = scores.select("qid", "chunk_ix", score).where("score > 0").withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k).drop("rank")
@@ -57,29 +80,25 @@ def top_k(scores: DataFrame, corpus: DataFrame, queries: DataFrame, k: int) -> D
     return every.withColumn("rank", F.row_number().over(by_score).cast("long")).where(F.col("rank") <= k)
 
 
-def bm25_scores(corpus: DataFrame, queries: DataFrame) -> DataFrame:
+def bm25_scores(index: Index, queries: DataFrame) -> DataFrame:
     """Okapi scores of the chunks that share a token with a query; repeated query tokens count again.
 
-    A negative idf becomes a quarter of the mean raw idf. Query tokens are the
-    small side: postings of other tokens are dropped where they are made.
+    Only the queries are counted to choose the join: postings meet them by a
+    broadcast up to a number of query tokens, and by a shuffle beyond it.
     """
-    tokens = keyword_tokens("text")
-    size = corpus.agg(F.count("*").alias("n"), F.avg(F.size(tokens)).alias("avgdl"))
-    wanted = queries.select("qid", F.explode(tokens).alias("tok")).groupBy("qid", "tok").agg(F.count("*").alias("times"))
-    df = corpus.select(F.explode(F.array_distinct(tokens)).alias("tok")).groupBy("tok").agg(F.count("*").alias("df"))
-    raw = df.join(F.broadcast(size)).select("tok", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("idf"))
-    mean = raw.agg(F.avg("idf").alias("mean"))
-    wanted_idf = small(wanted).join(raw.join(small(wanted.select("tok").distinct()), "tok", "left_semi"), "tok")
-    weighted = wanted_idf.join(F.broadcast(mean)).select("qid", "tok", "times", F.when(F.col("idf") < 0, FLOOR * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
-    own = corpus.select("chunk_ix", "text").withColumn("toks", tokens).select("chunk_ix", F.size("toks").alias("dl"), F.explode("toks").alias("tok"))
-    tf = own.join(small(wanted.select("tok").distinct()), "tok", "left_semi").groupBy("tok", "chunk_ix", "dl").agg(F.count("*").alias("tf"))
-    norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
+    wanted = queries.select("qid", F.explode(keyword_tokens("text")).alias("tok")).groupBy("qid", "tok").agg(F.count("*").alias("times"))
+    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    held = F.broadcast if few else (lambda df: df)
+    weighted = index.weights.join(held(wanted), "tok")
+    norm = K1 * (1 - B + B * F.col("dl") / F.lit(index.mean_length))
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
-    return tf.join(small(weighted), "tok").join(F.broadcast(size)).groupBy("qid", "chunk_ix").agg(F.sum(part).alias("score"))
+    return index.postings.join(held(weighted), "tok").groupBy("qid", "chunk_ix").agg(F.sum(part).alias("score"))
 
 
-def bm25_search(corpus: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    return top_k(bm25_scores(corpus, queries), corpus, queries, k)
+def bm25_search(corpus: DataFrame | Index, queries: DataFrame, k: int = 10) -> DataFrame:
+    """The k best chunks of each query, from an index or a corpus that is indexed first."""
+    index = corpus if isinstance(corpus, Index) else build(corpus)
+    return top_k(bm25_scores(index, queries), index.corpus, queries, k)
 
 
 def section_search(sections: DataFrame, queries: DataFrame, k: int = 8, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
@@ -153,7 +172,7 @@ def fuse(*rankings: DataFrame, k: int = FUSION_K) -> DataFrame:
     return fused.select("qid", "chunk_ix", "score", F.row_number().over(ranked).cast("long").alias("rank"))
 
 
-def hybrid_search(corpus: DataFrame, queries: DataFrame, vectors: DataFrame, query_vectors: DataFrame, k: int = 10, depth: int = FUSION_DEPTH) -> DataFrame:
+def hybrid_search(corpus: DataFrame | Index, queries: DataFrame, vectors: DataFrame, query_vectors: DataFrame, k: int = 10, depth: int = FUSION_DEPTH) -> DataFrame:
     """BM25 and dense rankings of a fixed depth, fused, then cut to k."""
     return fuse(bm25_search(corpus, queries, depth), dense_search(vectors, query_vectors, depth)).where(F.col("rank") <= k)
 
@@ -170,6 +189,17 @@ def rerank(ranking: DataFrame, corpus: DataFrame, queries: DataFrame, scorer: Ca
     return scored.select("qid", "chunk_ix", "score", F.row_number().over(ranked).cast("long").alias("rank")).where(F.col("rank") <= k)
 
 
+def prefixed(queries: DataFrame) -> DataFrame:
+    """Queries (qid, text) as a sentence model is given them; passages go to it as they are."""
+    return queries.withColumn("text", F.concat(F.lit(QUERY_PREFIX), "text"))
+
+
+def hybrid_rerank(corpus: DataFrame | Index, queries: DataFrame, vectors: DataFrame, query_vectors: DataFrame, scorer: Callable[[Column, Column], Column], k: int = 10) -> DataFrame:
+    """The fused ranking's first places, re-ordered by a scorer of (query, text)."""
+    texts = corpus.corpus if isinstance(corpus, Index) else corpus
+    return rerank(hybrid_search(corpus, queries, vectors, query_vectors, RERANK_DEPTH), texts, queries, scorer, RERANK_DEPTH, k)
+
+
 def overlap_scorer(query: Column, text: Column) -> Column:
     """Share of the query's distinct tokens that a text holds: a deterministic stand-in for a pair model."""
     q = F.array_distinct(keyword_tokens(query))

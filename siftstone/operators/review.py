@@ -66,12 +66,19 @@ def decision_problems(log: DataFrame, reasons: list[str]) -> DataFrame:
     problem = (
         F.when(~F.col("decision").isin("keep", "drop", "undo"), "unknown decision")
         .when((F.col("decision") == "drop") & ~F.coalesce(F.col("reason").isin(reasons), F.lit(False)), "unknown reason")
-        .when(keep & blank("question"), "no question")
-        .when(keep & (blank("answer") != none), "answer and evidence don't agree")
+        .when(keep & (blank("question") | blank("answer")), "no question or answer")
+        .when(keep & none, "no evidence")
     )
     return log.select("candidate_id", problem.alias("problem")).where("problem is not null")
 
 
+def edited(candidates: DataFrame, log: DataFrame) -> DataFrame:
+    """(candidate_id, edited): whether a kept decision differs from its candidate in question, answer or evidence places."""
+    kept = evalset.decided(log).where("decision = 'keep'").select("candidate_id", F.btrim("question").alias("q"), F.btrim("answer").alias("a"), F.col("evidence").alias("e"))
+    changed = (F.col("q") != F.col("question")) | (F.col("a") != F.col("answer")) | ~evalset.same_spans(F.col("e"), F.col("evidence"))
+    return candidates.join(kept, "candidate_id").select("candidate_id", F.coalesce(changed, F.lit(True)).alias("edited"))
+
+
 def drafts(candidates: DataFrame, log: DataFrame) -> DataFrame:
     """Candidates (candidate_id, question, answer) as a kept decision has edited them."""
     kept = evalset.decided(log).where("decision = 'keep'").select("candidate_id", F.col("question").alias("q"), F.col("answer").alias("a"))
@@ -93,7 +100,7 @@ def progress(log: DataFrame) -> DataFrame:
 def next_handwritten(rows: DataFrame, prefix: str = "h") -> DataFrame:
     """The id after the greatest one (hid) in use."""
     number = F.coalesce(F.max(F.substring("hid", len(prefix) + 1, 9).cast("int")), F.lit(0)) + 1
-    return rows.agg(F.concat(F.lit(prefix), F.lpad(number.cast("string"), 3, "0")).alias("hid"))
+    return rows.agg(F.format_string(prefix + "%03d", number).alias("hid"))
 
 
 def targets(counts: DataFrame, least: dict[str, int]) -> DataFrame:

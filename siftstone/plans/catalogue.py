@@ -33,10 +33,9 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_ix"), "text")
 
 
-def items(spark: SparkSession, sf_dir: str, words: int | None = None) -> DataFrame:
-    """Benchmark items as queries; with `words`, only their first words, as whole items tell no two methods apart."""
-    text = F.col("text") if words is None else F.array_join(F.slice(F.split(F.btrim(F.regexp_replace("text", r"[ \n\t\r]+", " ")), " "), 1, words), " ")
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), text.alias("text"))
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items, whole, as queries."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
 # ------------------------------------------------------------------ retrieval
@@ -54,7 +53,6 @@ sc AS (SELECT qid, chunk_ix, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.
 al AS (SELECT qid, d.chunk_ix, round(coalesce(score, 0), 9) AS score FROM q CROSS JOIN d LEFT JOIN sc USING (qid, chunk_ix)),
 bm AS (SELECT qid, chunk_ix, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_ix) AS rank FROM al)
 """
-_FIRST4 = "array_to_string(string_split(trim(regexp_replace(text, '[ \\n\\t\\r]+', ' ', 'g')), ' ')[1:4], ' ')"
 
 
 @query(_BM25.format(text="text") + "SELECT qid, chunk_ix, round(score, 6) AS score, rank FROM bm WHERE rank <= 10")
@@ -84,18 +82,29 @@ def _ranked(ranking: DataFrame, spark, sf_dir) -> DataFrame:
     return ranking.join(docs, "chunk_ix").withColumn("doc_id", F.col("chunk_ix"))
 
 
-@query(
-    _BM25.format(text=_FIRST4) + "," + _EV + """,
+_RUN = """,
 g AS (SELECT qid, min(doc_id) AS doc_id FROM ev GROUP BY qid),
-s AS (SELECT g.qid, min(CASE WHEN bm.rank <= 10 THEN bm.rank END) AS first FROM g LEFT JOIN bm ON bm.qid = g.qid AND bm.chunk_ix = g.doc_id GROUP BY g.qid)
-SELECT count(*) AS n, round(avg((coalesce(first, 99) <= 5)::INT), 6) AS recall5, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr10 FROM s"""
+tk AS (SELECT doc_id, len(regexp_extract_all(text, '[^ \\n\\t\\r]+')) AS tokens FROM documents),
+rk AS (SELECT bm.qid, rank, chunk_ix, sum(tokens) OVER (PARTITION BY bm.qid ORDER BY rank) AS running FROM bm JOIN tk ON tk.doc_id = bm.chunk_ix WHERE rank <= 20),
+bu AS (SELECT * FROM rk WHERE rank = 1 OR running <= 2500),
+s AS (SELECT g.qid, min(CASE WHEN rk.rank <= 10 THEN rk.rank END) AS first, any_value(b.n) AS budget, bool_or(coalesce(rk.running <= 2500 OR rk.rank = 1, false)) AS fits FROM g LEFT JOIN rk ON rk.qid = g.qid AND rk.chunk_ix = g.doc_id LEFT JOIN (SELECT qid, count(*) AS n FROM bu GROUP BY qid) b ON b.qid = g.qid GROUP BY g.qid),
+m AS (SELECT count(*) AS n, sum((coalesce(first, 99) <= 5)::INT)::DOUBLE AS k, avg(coalesce(1.0 / first, 0)) AS mrr, avg(fits::INT) AS fits, avg(budget) AS budget FROM s)
+"""
+
+
+@query(
+    _BM25.format(text="text") + "," + _EV + _RUN + """
+SELECT n, round(k / n, 6) AS recall5, round(greatest(0.0, (k / n + 1.9208 / n - 1.96 * sqrt(k / n * (1 - k / n) / n + 0.9604 / (n * n))) / (1 + 3.8416 / n)), 6) AS recall5_lo,
+round(least(1.0, (k / n + 1.9208 / n + 1.96 * sqrt(k / n * (1 - k / n) / n + 0.9604 / (n * n))) / (1 + 3.8416 / n)), 6) AS recall5_hi, round(mrr, 6) AS mrr10, round(k / n, 6) AS all_evidence5,
+round(k / n, 6) AS recall5_any_overlap, round(fits, 6) AS recall_budget, round(budget, 6) AS budget_chunks_mean FROM m"""
 )
 def bm25_recall(spark, sf_dir):
-    queries = items(spark, sf_dir, 4)
+    """Whole items find the first document that holds them: every column of a run's summary."""
     gold = _gold(spark, sf_dir)
-    ranked = _ranked(retrieval.bm25_search(corpus(spark, sf_dir), queries, 20), spark, sf_dir)
+    ranked = _ranked(retrieval.bm25_search(corpus(spark, sf_dir), items(spark, sf_dir), 20), spark, sf_dir)
     scored = scoring.score_questions(gold.select("qid").distinct(), ranked, gold)
-    return scoring.summarise(scored.withColumn("run", F.lit("bm25")), "run").select("n", F.round("recall5", 6).alias("recall5"), F.round("mrr10", 6).alias("mrr10"))
+    summary = scoring.summarise(scored.withColumn("run", F.lit("bm25")), "run").drop("run")
+    return summary.select("n", *(F.round(c, 6).alias(c) for c in summary.columns if c != "n"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in retrieval.STOP_WORDS)
@@ -152,27 +161,29 @@ fr AS (SELECT qid, chunk_ix, score, row_number() OVER (PARTITION BY qid ORDER BY
 _ITEM_DENSE = _DENSE.replace("WHERE vec_id % 50 = 0", "WHERE vec_id IN (SELECT item_id FROM benchmark)")
 
 
-def _hybrid(spark, sf_dir, k):
-    queries = items(spark, sf_dir, 4)
+def _hybrid_sides(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    queries = items(spark, sf_dir)
     vectors = table(spark, sf_dir, "embeddings")
-    asked = vectors.join(F.broadcast(queries), F.col("vec_id") == F.col("qid"), "left_semi").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
-    return retrieval.hybrid_search(corpus(spark, sf_dir), queries, vectors.select(F.col("vec_id").alias("chunk_ix"), "embedding"), asked, k)
+    asked = vectors.join(queries, F.col("vec_id") == F.col("qid"), "left_semi").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
+    return queries, vectors.select(F.col("vec_id").alias("chunk_ix"), "embedding"), asked
 
 
-@query(_BM25.format(text=_FIRST4) + "," + _ITEM_DENSE + "," + _FUSE + "SELECT qid, chunk_ix, round(score, 9) AS score, rank FROM fr WHERE rank <= 10")
+@query(_BM25.format(text="text") + "," + _ITEM_DENSE + "," + _FUSE + "SELECT qid, chunk_ix, round(score, 9) AS score, rank FROM fr WHERE rank <= 10")
 def hybrid_topk(spark, sf_dir):
-    return _hybrid(spark, sf_dir, 10).select("qid", "chunk_ix", F.round("score", 9).alias("score"), "rank")
+    queries, vectors, asked = _hybrid_sides(spark, sf_dir)
+    return retrieval.hybrid_search(corpus(spark, sf_dir), queries, vectors, asked, 10).select("qid", "chunk_ix", F.round("score", 9).alias("score"), "rank")
 
 
 @query(
-    _BM25.format(text=_FIRST4) + f""",
+    _BM25.format(text="text") + "," + _ITEM_DENSE + "," + _FUSE + f""",
 qs AS (SELECT qid, list_distinct({_TOK}) AS qt FROM q),
-rr AS (SELECT bm.qid, chunk_ix, bm.rank AS before, round(len(list_intersect(qt, toks)) / greatest(len(qt), 1), 9) AS score FROM bm JOIN d USING (chunk_ix) JOIN qs ON qs.qid = bm.qid WHERE bm.rank <= 20)
+rr AS (SELECT fr.qid, chunk_ix, fr.rank AS before, round(len(list_intersect(qt, toks)) / greatest(len(qt), 1), 9) AS score FROM fr JOIN d USING (chunk_ix) JOIN qs ON qs.qid = fr.qid WHERE fr.rank <= 20)
 SELECT qid, chunk_ix, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, before) AS rank FROM rr QUALIFY rank <= 10"""
 )
 def rerank_topk(spark, sf_dir):
-    docs, queries = corpus(spark, sf_dir), items(spark, sf_dir, 4)
-    return retrieval.rerank(retrieval.bm25_search(docs, queries, 20), docs, queries, retrieval.overlap_scorer).select("qid", "chunk_ix", "score", "rank")
+    """The hybrid's first twenty, re-ordered."""
+    queries, vectors, asked = _hybrid_sides(spark, sf_dir)
+    return retrieval.hybrid_rerank(corpus(spark, sf_dir), queries, vectors, asked, retrieval.overlap_scorer).select("qid", "chunk_ix", "score", "rank")
 
 
 # ------------------------------------------------------------- chunks, spans
@@ -232,15 +243,14 @@ def evidence_locate(spark, sf_dir):
     return evalset.locate_exact(table(spark, sf_dir, "documents"), _quotes(spark, sf_dir))
 
 
-@query(
-    """SELECT item_id AS qid, doc_id, true AS found FROM benchmark b JOIN documents d ON strpos(d.text, b.text) > 0"""
-)
+_LOOSE = "regexp_replace(regexp_replace({0}, '[\\x22''`*“”‘’]', '', 'g'), '\\s+', ' ', 'g')"
+
+
+@query(f"WITH b AS (SELECT item_id, trim({_LOOSE.format('text')}) AS t FROM benchmark), d AS (SELECT doc_id, {_LOOSE.format('text')} AS t FROM documents) SELECT item_id AS qid, doc_id FROM b JOIN d ON strpos(d.t, b.t) > 0")
 def evidence_locate_loose(spark, sf_dir):
-    """Items quoted with other white space and quote marks are found where the exact item is."""
-    exact = evalset.locate_exact(table(spark, sf_dir, "documents"), _quotes(spark, sf_dir)).select("qid", "doc_id")
-    rows = exact.join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").join(F.broadcast(_quotes(spark, sf_dir)), "qid")
-    loose = F.concat(F.lit("“"), F.regexp_replace("quote", " ", "  "), F.lit("”"))
-    return rows.withColumn("at", tx.locate("text", loose)).select("qid", "doc_id", F.col("at.start").isNotNull().alias("found"))
+    """Items with other white space and quotation marks are looked for in all documents."""
+    altered = _quotes(spark, sf_dir).withColumn("quote", F.concat(F.lit("“"), F.regexp_replace("quote", " ", "  "), F.lit("”")))
+    return evalset.locate_loose(table(spark, sf_dir, "documents"), altered).select("qid", "doc_id")
 
 
 @query(
@@ -299,13 +309,13 @@ def wilson_by_group(spark, sf_dir):
 
 @query(
     """
-WITH c AS (SELECT lang, count(*) FILTER (quality = 0 AND toxic = 1) AS fixed, count(*) FILTER (quality = 1 AND toxic = 0) AS broken FROM labels JOIN documents USING (doc_id) WHERE doc_id % 7 = 0 OR toxic = 1 GROUP BY lang),
+WITH c AS (SELECT lang, count(*) FILTER (quality = 0 AND toxic = 1) AS fixed, count(*) FILTER (quality = 1 AND toxic = 0) AS broken FROM labels JOIN documents USING (doc_id) GROUP BY lang),
 f AS (SELECT i, sum(ln(greatest(i, 1))) OVER (ORDER BY i) AS lf FROM range(0, 100001) r(i)),
 t AS (SELECT lang, fixed, broken, sum(exp(a.lf - b.lf - e.lf - (fixed + broken) * 0.6931471805599453)) AS tail FROM c JOIN f a ON a.i = fixed + broken JOIN f b ON b.i <= least(fixed, broken) JOIN f e ON e.i = fixed + broken - b.i GROUP BY ALL)
 SELECT lang, fixed, broken, round(CASE WHEN fixed + broken = 0 THEN 1 ELSE least(1, 2 * tail) END, 8) AS p FROM t"""
 )
 def mcnemar_pairs(spark, sf_dir):
-    rows = _labelled(spark, sf_dir).where("doc_id % 7 = 0 or toxic = 1")
+    rows = _labelled(spark, sf_dir)
     counts = rows.groupBy("lang").agg(F.count_if((F.col("quality") == 0) & (F.col("toxic") == 1)).alias("fixed"), F.count_if((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("broken"))
     return counts.select("lang", "fixed", "broken", F.round(stats.mcnemar_exact("broken", "fixed"), 8).alias("p"))
 
@@ -350,7 +360,7 @@ def capped_histogram(spark, sf_dir):
 
 @query("SELECT lang, count(*) FILTER (toxic = 1) AS yes, count(*) FILTER (toxic <> 1) AS no FROM labels JOIN documents USING (doc_id) GROUP BY lang")
 def verdict_matrix(spark, sf_dir):
-    return report.matrix(_labelled(spark, sf_dir).withColumn("bad", F.col("toxic") == 1), "lang", "bad")
+    return report.matrix(_labelled(spark, sf_dir).withColumn("bad", F.col("toxic") == 1), "bad", "lang")
 
 
 @query("SELECT event_type AS model, count(*) AS calls, sum(user_id)::BIGINT AS input_tokens, sum(event_id)::BIGINT AS output_tokens, round((sum(user_id) * 2.0 + sum(event_id) * 8.0) / 1e6, 6) AS cost FROM events WHERE user_id % 3 <> 0 GROUP BY event_type")
@@ -371,17 +381,18 @@ def term_hits(spark, sf_dir):
 
 @query(
     """
-WITH pr AS (SELECT item_id, doc_id, b.text AS a, d.text AS c FROM benchmark b JOIN documents d ON d.doc_id % 25 = b.item_id % 25),
-x AS (SELECT item_id, doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT item_id, doc_id, regexp_extract_all(lower(a), '[a-z0-9_]+') AS w FROM pr)),
-y AS (SELECT item_id, doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS j FROM (SELECT item_id, doc_id, regexp_extract_all(lower(c), '[a-z0-9_]+') AS w FROM pr)),
-m AS (SELECT item_id, doc_id, i - j AS dg, i, i - row_number() OVER (PARTITION BY item_id, doc_id, i - j ORDER BY i) AS run FROM x JOIN y USING (item_id, doc_id, w)),
-r AS (SELECT item_id, doc_id, max(n) AS run FROM (SELECT item_id, doc_id, dg, run, count(*) AS n FROM m GROUP BY ALL) GROUP BY ALL)
-SELECT pr.item_id, pr.doc_id, coalesce(run, 0) AS run FROM pr LEFT JOIN r USING (item_id, doc_id)"""
+WITH bw AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM benchmark),
+dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM documents),
+x AS (SELECT item_id, i, w[i:i + 3] AS g FROM bw, range(1, 100000) r(i) WHERE i + 3 <= len(w)),
+y AS (SELECT doc_id, j, w[j:j + 3] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS j FROM dw WHERE len(w) >= 4)),
+m AS (SELECT item_id, doc_id, i - j AS dg, i - row_number() OVER (PARTITION BY item_id, doc_id, i - j ORDER BY i) AS run FROM x JOIN y USING (g))
+SELECT item_id, doc_id, max(n) + 3 AS run FROM (SELECT item_id, doc_id, dg, run, count(*) AS n FROM m GROUP BY ALL) GROUP BY ALL""".replace("FROM bw, range(1, 100000) r(i) WHERE i + 3 <= len(w)", "FROM (SELECT item_id, w, unnest(range(1, len(w) - 2)) AS i FROM bw WHERE len(w) >= 4)")
 )
 def longest_shared_run(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("c"))
-    pairs = F.broadcast(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("a"))).join(docs, F.col("doc_id") % 25 == F.col("item_id") % 25)
-    return evalset.longest_shared_run(pairs, ["item_id", "doc_id"], "a", "c")
+    """Every item against every document: runs of four words or more."""
+    left = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("a_id"), "text")
+    right = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("b_id"), "text")
+    return evalset.longest_shared_run(left, right).select(F.col("a_id").alias("item_id"), F.col("b_id").alias("doc_id"), "run")
 
 
 @query(
@@ -449,7 +460,7 @@ def _built(spark, sf_dir) -> DataFrame:
     """
 WITH e AS (SELECT item_id, count(*) AS n FROM benchmark b JOIN documents d ON strpos(d.text, b.text) > 0 GROUP BY item_id),
 r AS (SELECT b.item_id, text, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 2 ELSE b.item_id % 2 END AS src FROM benchmark b LEFT JOIN e USING (item_id))
-SELECT 'q' || lpad((row_number() OVER (ORDER BY src, item_id))::VARCHAR, 3, '0') AS id, text AS question, n > 0 AS answerable, n::INT AS n_evidence, CASE WHEN n = 0 THEN 'unanswerable' WHEN n >= 2 THEN 'multi' ELSE 'single' END AS kind, ['generated', 'handwritten', 'written'][src + 1] AS origin FROM r"""
+SELECT printf('q%03d', row_number() OVER (ORDER BY src, item_id)) AS id, text AS question, n > 0 AS answerable, n::INT AS n_evidence, CASE WHEN n = 0 THEN 'unanswerable' WHEN n >= 2 THEN 'multi' ELSE 'single' END AS kind, ['generated', 'handwritten', 'written'][src + 1] AS origin FROM r"""
 )
 def question_build(spark, sf_dir):
     return _built(spark, sf_dir).select("id", "question", "answerable", F.size("evidence").alias("n_evidence"), "kind", "origin")
@@ -459,7 +470,7 @@ def question_build(spark, sf_dir):
     """
 WITH e AS (SELECT item_id, count(*) AS n FROM benchmark b JOIN documents d ON strpos(d.text, b.text) > 0 GROUP BY item_id),
 r AS (SELECT b.item_id, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 2 ELSE b.item_id % 2 END AS src FROM benchmark b LEFT JOIN e USING (item_id)),
-q AS (SELECT 'q' || lpad((row_number() OVER (ORDER BY src, item_id))::VARCHAR, 3, '0') AS qid, n, (row_number() OVER (ORDER BY src, item_id)) AS k FROM r)
+q AS (SELECT printf('q%03d', row_number() OVER (ORDER BY src, item_id)) AS qid, n, (row_number() OVER (ORDER BY src, item_id)) AS k FROM r)
 SELECT qid, 'quote drift' AS rule FROM q WHERE n > 0 AND k % 5 = 0 UNION ALL SELECT qid, 'missing answer' FROM q WHERE n > 0 AND k % 7 = 0"""
 )
 def validate_set(spark, sf_dir):
@@ -475,40 +486,165 @@ def validate_set(spark, sf_dir):
 # ------------------------------------------------------------------ texts
 
 REFUSAL = "The documentation does not cover this."
-_CASES = """(VALUES (1, 'See [2], and [1, 3] but not items[0].'), (2, '**"The documentation does not cover this"**'), (3, 'The documentation does not cover this. But try [4][1] and `x[9]`.'), (4, 'Use app.run( port=80 ) or `code [1]` on v1.2 [7] .'), (5, ''), (6, 'THE DOCUMENTATION DOES NOT COVER THIS'), (7, 'i.e. snake_case --flag @deco BaseThing e.g 3.14'))"""
+_TURNS = "(SELECT conv_id, turn, text || ' See [' || (turn % 3 + 1) || '] and [' || (conv_id % 4 + 2) || ', 1] , not items[0] nor `x[9]`.' AS text, text AS plain, turn % 3 + 1 AS a, conv_id % 4 + 2 AS b FROM conversations)"
 
 
-def _cases(spark) -> DataFrame:
-    return spark.sql(f"SELECT id, text FROM {_CASES} AS t(id, text)")
+def _turns(spark, sf_dir) -> DataFrame:
+    """Every turn, whole, with citations and code after it."""
+    text = F.concat("text", F.lit(" See ["), F.col("turn") % 3 + 1, F.lit("] and ["), F.col("conv_id") % 4 + 2, F.lit(", 1] , not items[0] nor `x[9]`."))
+    return table(spark, sf_dir, "conversations").withColumn("text", text)
 
 
-@query("""SELECT * FROM (VALUES (1, '2,1,3', 'See, and but not items[0].'), (2, '', '**"The documentation does not cover this"**'), (3, '4,1', 'The documentation does not cover this. But try and `x[9]`.'), (4, '7', 'Use app.run( port=80) or `code [1]` on v1.2.'), (5, '', ''), (6, '', 'THE DOCUMENTATION DOES NOT COVER THIS'), (7, '', 'i.e. snake_case --flag @deco BaseThing e.g 3.14')) t(id, cited, stripped)""")
+@query(f"SELECT conv_id, turn, a || CASE WHEN b <> a THEN ',' || b ELSE '' END || CASE WHEN 1 NOT IN (a, b) THEN ',1' ELSE '' END AS cited, trim(plain, ' ' || chr(10) || chr(9) || chr(13)) || ' See and, not items[0] nor `x[9]`.' AS stripped FROM {_TURNS}")
 def citations_parse(spark, sf_dir):
-    return _cases(spark).select("id", F.array_join(tx.citations("text").cast("array<string>"), ",").alias("cited"), tx.strip_citations("text").alias("stripped"))
+    return _turns(spark, sf_dir).select("conv_id", "turn", F.array_join(tx.citations("text").cast("array<string>"), ",").alias("cited"), tx.strip_citations("text").alias("stripped"))
+
+
+_REPLY = "(SELECT conv_id, turn, role, CASE conv_id % 4 WHEN 0 THEN text WHEN 1 THEN '**\"The documentation does not cover this\"**' WHEN 2 THEN text || ' The documentation does not cover this. ' ELSE 'THE documentation DOES not cover this...' END AS text FROM conversations)"
+_WRAP = "chr(34) || chr(39) || '`* ' || chr(10) || chr(9)"
+_REFUSED = f"lower(trim(rtrim(trim(text, {_WRAP}), '.'), {_WRAP})) = 'the documentation does not cover this'"
+
+
+def _replies(spark, sf_dir) -> DataFrame:
+    k = F.col("conv_id") % 4
+    text = F.when(k == 0, F.col("text")).when(k == 1, F.lit('**"The documentation does not cover this"**')).when(k == 2, F.concat("text", F.lit(f" {REFUSAL} "))).otherwise(F.lit("THE documentation DOES not cover this..."))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", text.alias("text"))
 
 
-@query("""SELECT id, id IN (2, 6) AS refused, id = 3 AS partial FROM (SELECT unnest(range(1, 8))::INT AS id)""")
+@query(f"SELECT conv_id, turn, {_REFUSED} AS refused, contains(lower(text), 'the documentation does not cover this') AND NOT {_REFUSED} AS partial FROM {_REPLY}")
 def refusal_flags(spark, sf_dir):
-    return _cases(spark).select("id", tx.is_refusal("text", REFUSAL).alias("refused"), tx.mentions_refusal("text", REFUSAL).alias("partial"))
+    return _replies(spark, sf_dir).select("conv_id", "turn", tx.is_refusal("text", REFUSAL).alias("refused"), tx.mentions_refusal("text", REFUSAL).alias("partial"))
 
 
-@query("""SELECT * FROM (VALUES (1, '0|1|2|3'), (2, ''), (3, '1|4|`x[9]`'), (4, '7|80|`code [1]`|app.run|port=|v1.2'), (5, ''), (6, ''), (7, '--flag|3.14|@deco|BaseThing|snake_case')) t(id, tokens)""")
+@query(f"SELECT role, turn % 2 = 0 AS answerable, count(*) FILTER ({_REFUSED}) AS yes, count(*) FILTER (NOT {_REFUSED}) AS no FROM {_REPLY} GROUP BY ALL")
+def refusal_matrix(spark, sf_dir):
+    rows = _replies(spark, sf_dir).select("role", (F.col("turn") % 2 == 0).alias("answerable"), tx.is_refusal("text", REFUSAL).alias("refused"))
+    return report.matrix(rows, "refused", "role", "answerable")
+
+
+_IDENT = r"`[^`]+`|\b\w+(?:\.\w+)+\b|\b\w+\(|\b\w+=|\b[a-z0-9]+_\w+\b|--[\w-]+|@\w+|\b[A-Z][a-z0-9]+[A-Z]\w*\b|\b\d+(?:\.\d+)*\b"
+
+
+@query(f"SELECT item_id, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(text || ' Call app.run( port=' || item_id || ') by `code`, --flag, @deco, BaseThing, snake_case, e.g. v1.' || item_id, '{_IDENT}')), lambda x: lower(x) NOT IN ('e.g', 'i.e'))), '|') AS tokens FROM benchmark")
 def identifier_tokens(spark, sf_dir):
-    return _cases(spark).select("id", F.array_join(tx.identifiers("text"), "|").alias("tokens"))
+    text = F.concat("text", F.lit(" Call app.run( port="), "item_id", F.lit(") by `code`, --flag, @deco, BaseThing, snake_case, e.g. v1."), "item_id")
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(tx.identifiers(text), "|").alias("tokens"))
+
+
+_JUDGED = "(SELECT *, (props->>'k')::INT AS k FROM events)"
 
 
-@query("""SELECT * FROM (VALUES (1, 'correct', true, true), (2, 'invalid', false, false), (3, 'invalid', false, false), (4, 'invalid', true, false), (5, 'partial', false, false), (6, 'invalid', true, false)) t(id, verdict, valid, faithful)""")
+def _judged(spark, sf_dir) -> DataFrame:
+    """Judge replies of five kinds, made of every event's properties."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    raw = (
+        F.when(k % 5 == 0, F.concat(F.lit('{"verdict": " Correct ", "reason": "r'), k, F.lit('", "claims": [{"claim": "a", "supported": true}]}')))
+        .when(k % 5 == 1, F.concat(F.lit('{"verdict": "fine", "reason": "r'), k, F.lit('", "claims": [{"claim": "a", "supported": "yes"}]}')))
+        .when(k % 5 == 2, F.concat(F.lit("not json "), k))
+        .when(k % 5 == 3, F.lit('{"claims": []}'))
+        .otherwise(F.lit('{"verdict": "partial", "claims": [{"claim": "a", "supported": true}, {"claim": "b", "supported": false}]}'))
+    )
+    rows = table(spark, sf_dir, "events").select("event_id", raw.alias("raw"))
+    return rows.withColumn("c", tx.parse_correctness("raw")).withColumn("f", tx.parse_faithfulness("raw")).select("event_id", "c.verdict", "c.reason", "f.valid", "f.claims", tx.faithful(F.col("f")).alias("faithful"))
+
+
+@query(f"SELECT event_id, CASE k % 5 WHEN 0 THEN 'correct' WHEN 4 THEN 'partial' ELSE 'invalid' END AS verdict, CASE k % 5 WHEN 0 THEN 'r' || k WHEN 1 THEN 'r' || k WHEN 2 THEN 'not json ' || k ELSE '' END AS reason, k % 5 IN (0, 3, 4) AS valid, k % 5 = 0 AS faithful FROM {_JUDGED}")
 def judge_parse(spark, sf_dir):
-    replies = [
-        (1, '{"verdict": " Correct ", "reason": "same", "claims": [{"claim": "a", "supported": true}]}'),
-        (2, '{"verdict": "fine", "claims": [{"claim": "a", "supported": "yes"}]}'),
-        (3, "not json"),
-        (4, '{"claims": []}'),
-        (5, '{"verdict": "partial", "claims": [{"claim": "a"}]}'),
-        (6, '{"claims": [{"claim": "a", "supported": true}, {"claim": "b", "supported": false}]}'),
-    ]
-    rows = spark.createDataFrame(replies, "id int, text string").withColumn("c", tx.parse_correctness("text")).withColumn("f", tx.parse_faithfulness("text"))
-    return rows.select("id", F.col("c.verdict").alias("verdict"), F.col("f.valid").alias("valid"), tx.faithful(F.col("f")).alias("faithful"))
+    return _judged(spark, sf_dir).drop("claims")
+
+
+@query(f"SELECT count(*) FILTER (k % 5 IN (1, 2, 3)) AS verdicts, count(*) FILTER (k % 5 IN (1, 2)) AS claim_lists FROM {_JUDGED}")
+def unreadable_replies(spark, sf_dir):
+    return answers.unreadable(_judged(spark, sf_dir))
+
+
+@query(f"SELECT count(*) AS answers, sum(CASE k % 5 WHEN 0 THEN 1 WHEN 4 THEN 2 ELSE 0 END)::BIGINT AS claims, count(*) FILTER (k % 5 = 4) AS unsupported, count(*) FILTER (k % 5 = 0) AS all_supported FROM {_JUDGED} WHERE k % 5 IN (0, 3, 4)")
+def claim_totals(spark, sf_dir):
+    return report.claim_totals(_judged(spark, sf_dir).where("valid"))
+
+
+@query(
+    """
+WITH t AS (SELECT conv_id, turn, turn % 3 + 1 AS a, conv_id % 4 + 2 AS b FROM conversations),
+c AS (SELECT conv_id, turn, list_filter([a, b, CASE WHEN 1 IN (a, b) THEN NULL ELSE 1 END], lambda x: x IS NOT NULL) AS l, a = b AS same FROM t),
+d AS (SELECT conv_id, turn, CASE WHEN same THEN l[1:1] || l[3:] ELSE l END AS l FROM c)
+SELECT conv_id, turn, array_to_string(list_filter(l, lambda x: x <= 3), ',') AS citations, array_to_string(list_filter(l, lambda x: x > 3), ',') AS invalid, array_to_string(list_transform(list_filter(l, lambda x: x <= 3), lambda x: 'c' || x), ',') AS cited FROM d"""
+)
+def answer_facts(spark, sf_dir):
+    """Every turn as an answer from three excerpts."""
+    rows = _turns(spark, sf_dir).withColumn("chunk_ids", F.array(*(F.lit(f"c{k}") for k in (1, 2, 3))))
+    facts = answers.answer_facts(rows, REFUSAL)
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    return facts.select("conv_id", "turn", text("citations").alias("citations"), text("invalid_citations").alias("invalid"), text("cited_chunks").alias("cited"))
+
+
+@query("SELECT count(*) AS citing, count(*) FILTER (conv_id % 4 + 2 > 3) AS invalid, avg(length(text) + 1) AS context_tokens, 3.0::DOUBLE AS excerpts FROM conversations")
+def answer_means(spark, sf_dir):
+    rows = _turns(spark, sf_dir).withColumn("chunk_ids", F.array(*(F.lit(f"c{k}") for k in (1, 2, 3))))
+    plain = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.length("text") + 1).alias("context_tokens"))
+    return review.answer_means(answers.answer_facts(rows, REFUSAL).join(plain, ["conv_id", "turn"]))
+
+
+@query(f"SELECT conv_id, turn, turn % 2 = 0 AS answerable, CASE WHEN turn % 2 = 0 AND {_REFUSED} THEN 'incorrect' END AS verdict, CASE WHEN turn % 2 = 0 AND NOT {_REFUSED} THEN trim(text, ' ' || chr(10) || chr(9) || chr(13)) END AS judged_text FROM {_REPLY}")
+def to_judge(spark, sf_dir):
+    rows = _replies(spark, sf_dir).select("conv_id", "turn", (F.col("turn") % 2 == 0).alias("answerable"), tx.is_refusal("text", REFUSAL).alias("refused"), "text")
+    return answers.to_judge(rows).select("conv_id", "turn", "answerable", "verdict", "judged_text")
+
+
+_PROBES = "(SELECT event_id, user_id AS qid, CASE event_type WHEN 'click' THEN 'paraphrase' WHEN 'error' THEN 'substitution' WHEN 'purchase' THEN 'swap' WHEN 'signup' THEN 'supported' ELSE 'fabricated' END AS kind, CASE event_type WHEN 'click' THEN 'correct' WHEN 'error' THEN 'incorrect' WHEN 'purchase' THEN 'incorrect' WHEN 'signup' THEN 'faithful' ELSE 'unfaithful' END AS expected, ['correct', 'incorrect', 'faithful', 'unfaithful', 'invalid', 'partial'][event_id % 6 + 1] AS verdict FROM events)"
+
+
+def _graded(spark, sf_dir) -> DataFrame:
+    kinds = F.create_map(*(F.lit(x) for kv in {"click": "paraphrase", "error": "substitution", "purchase": "swap", "signup": "supported", "view": "fabricated"}.items() for x in kv))
+    verdicts = F.array(*(F.lit(v) for v in ("correct", "incorrect", "faithful", "unfaithful", "invalid", "partial")))
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("qid"), kinds[F.col("event_type")].alias("kind"), F.get(verdicts, (F.col("event_id") % 6).cast("int")).alias("verdict"))
+    return answers.grade(rows)
+
+
+@query(f"SELECT event_id, kind, expected, verdict, verdict = expected AS as_expected FROM {_PROBES}")
+def probe_grading(spark, sf_dir):
+    return _graded(spark, sf_dir).select("event_id", "kind", "expected", "verdict", "as_expected")
+
+
+@query(f"SELECT count(*) AS n, count(*) FILTER (verdict = expected) AS rejected FROM {_PROBES} WHERE kind IN ('substitution', 'swap', 'fabricated')")
+def planted_errors(spark, sf_dir):
+    return review.planted_errors(_graded(spark, sf_dir))
+
+
+@query(f"WITH p AS (SELECT *, verdict = expected AS good FROM {_PROBES}), s AS (SELECT qid FROM p WHERE kind = 'supported' AND good) SELECT count(*) AS n, count(*) FILTER (good) AS caught FROM p JOIN s USING (qid) WHERE kind = 'fabricated'")
+def paired_catch(spark, sf_dir):
+    return report.paired_catch(_graded(spark, sf_dir))
+
+
+@query(f"SELECT kind, verdict, count(*) AS n FROM {_PROBES} GROUP BY ALL")
+def probe_verdicts(spark, sf_dir):
+    return report.counts(_graded(spark, sf_dir), "kind", "verdict")
+
+
+_REWRITES = "(SELECT item_id AS qid, text AS reference, CASE item_id % 4 WHEN 0 THEN text || ' again' WHEN 1 THEN ' ' || text || '  ' WHEN 2 THEN 'other 9.9' END AS answer FROM benchmark)"
+
+
+@query(f"SELECT qid, 'paraphrase' AS kind, CASE qid % 4 WHEN 0 THEN answer END AS answer, CASE qid % 4 WHEN 1 THEN 'unchanged' WHEN 3 THEN 'no rewrite' WHEN 2 THEN 'lost: 7' END AS problem FROM {_REWRITES}".replace("WHEN 0 THEN answer END AS answer", "WHEN 0 THEN reference || ' 7 again' END AS answer"))
+def paraphrase_probes(spark, sf_dir):
+    """Rewrites of every item, which is given the number 7: with it, unchanged, without it, and none."""
+    reference = F.concat("text", F.lit(" 7"))
+    k = F.col("item_id") % 4
+    rewrite = F.when(k == 0, F.concat(reference, F.lit(" again"))).when(k == 1, F.concat(F.lit(" "), F.regexp_replace(reference, " ", "  "))).when(k == 2, F.lit("other 9.9"))
+    raw = F.when(k == 3, F.lit("no json")).otherwise(F.to_json(F.struct(rewrite.alias("answer"))))
+    return review.paraphrase_probes(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), reference.alias("reference"), raw.alias("raw")))
+
+
+@query("SELECT item_id AS qid, 'fabricated' AS kind, CASE item_id % 4 WHEN 0 THEN text || ' A made up thing.' END AS answer, CASE item_id % 4 WHEN 1 THEN CASE WHEN contains(text, chr(10)) THEN 'several lines' ELSE 'in context' END WHEN 2 THEN 'several lines' WHEN 3 THEN 'none' END AS problem FROM benchmark")
+def fabrication_probes(spark, sf_dir):
+    k = F.col("item_id") % 4
+    sentence = F.when(k == 0, F.lit("A made up thing.")).when(k == 1, F.upper(F.btrim("text"))).when(k == 2, F.lit("one\ntwo"))
+    raw = F.to_json(F.struct(sentence.alias("sentence")))
+    return review.fabrication_probes(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("reference"), F.concat(F.lit("Before. "), "text").alias("context"), raw.alias("raw")))
+
+
+@query("SELECT item_id, trim(regexp_replace(lower(regexp_replace(regexp_replace(strip_accents(replace(replace(replace(text, '`', ''), '*', ''), '_', '')), '[^\\x00-\\x7F]', '', 'g'), '[^A-Za-z0-9_\\s-]', '', 'g')), '^\\s+|\\s+$', '', 'g')) AS base FROM benchmark".replace("AS base FROM benchmark", "AS base FROM benchmark").replace("SELECT item_id, trim(", "SELECT item_id, regexp_replace(trim(").replace(") AS base", "), '[-\\s]+', '-', 'g') AS slug"))
+def slugs(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", tx.slugify("text").alias("slug"))
 
 
 @query("SELECT item_id, CASE WHEN n = 1 THEN NULL ELSE 'found ' || n END AS problem, CASE WHEN n = 1 THEN replace(text, w, 'ZZ') END AS answer FROM (SELECT item_id, text, string_split(text, ' ')[2] AS w, ((length(text) - length(replace(text, w, ''))) // length(w))::INT AS n FROM benchmark)")
@@ -527,11 +663,18 @@ def page_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", pages.html_text("html").alias("text"))
 
 
-@query("SELECT doc_id, 'https://docs.example/' || CASE doc_id WHEN 'index.md' THEN '' WHEN 'a/index.md' THEN 'a/' WHEN 'b/c.md' THEN 'b/c/' ELSE 'ref/x/' END AS url, CASE doc_id WHEN 'ref/x.md' THEN 'generated' END AS reason FROM (VALUES ('index.md'), ('a/index.md'), ('b/c.md'), ('ref/x.md')) t(doc_id)")
+_PATHS = "(SELECT CASE WHEN doc_id = 0 THEN 'index.md' WHEN doc_id % 7 = 0 THEN source || '/' || doc_id || '/index.md' ELSE source || '/' || doc_id || '.md' END AS path, doc_id, source FROM documents)"
+
+
+@query(f"SELECT path, CASE WHEN doc_id = 0 THEN 'https://docs.example/' ELSE 'https://docs.example/' || source || '/' || doc_id || '/' END AS url, CASE WHEN doc_id = 0 THEN 'home' WHEN source = 'src1' THEN 'generated' WHEN doc_id % 7 = 0 AND doc_id = 14 THEN 'one folder' END AS reason FROM {_PATHS}")
 def page_urls(spark, sf_dir):
-    rules = spark.createDataFrame([(0, "ref/", "generated"), (1, "ref/x.md", "later")], "rule_ix int, prefix string, reason string")
-    named = spark.createDataFrame([("index.md",), ("a/index.md",), ("b/c.md",), ("ref/x.md",)], "doc_id string")
-    return pages.exclude(named, rules).select("doc_id", tx.page_url("doc_id", "https://docs.example/").alias("url"), "reason")
+    """Every document as a page below its source; rules exclude a folder, a deeper folder and a page."""
+    docs = table(spark, sf_dir, "documents")
+    stem = F.concat("source", F.lit("/"), "doc_id")
+    paths = docs.select(F.when(F.col("doc_id") == 0, "index.md").when(F.col("doc_id") % 7 == 0, F.concat(stem, F.lit("/index.md"))).otherwise(F.concat(stem, F.lit(".md"))).alias("doc_id"))
+    folders = docs.where("doc_id = 14").select(F.lit(1).alias("rule_ix"), F.concat(stem, F.lit("/")).alias("prefix"), F.lit("one folder").alias("reason"))
+    rules = spark.createDataFrame([(0, "src1/", "generated"), (2, "src1/1.md", "later"), (3, "index.md", "home")], "rule_ix int, prefix string, reason string")
+    return pages.exclude(paths, rules.unionByName(folders)).select(F.col("doc_id").alias("path"), tx.page_url("doc_id", "https://docs.example/").alias("url"), "reason")
 
 
 @query()
@@ -542,21 +685,28 @@ def page_render(spark, sf_dir):
     return pages.render(docs, held, "https://docs.example/").select("doc_id", "title", "text", F.to_json("headings").alias("headings"), "includes", "included_chars", "url")
 
 
-@query("SELECT array_to_string(['# Code above omitted 👆', '', 'l2', 'l3', '', '# Code here omitted 👈', '', 'l6', '', '# Code below omitted 👇'], '\n') AS picked".replace("'\n'", "chr(10)"))
+@query(
+    """
+WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ln FROM documents), n AS (SELECT *, len(ln) AS n FROM l)
+SELECT doc_id, CASE WHEN n < 4 THEN text ELSE array_to_string(['# Code above omitted 👆', '', ln[2], ln[3], '', '# Code here omitted 👈', '', ln[n - 1]] || ['', '# Code below omitted 👇'], chr(10)) END AS picked FROM n"""
+)
 def line_ranges(spark, sf_dir):
-    lines = spark.sql("SELECT transform(sequence(1, 10), i -> concat('l', i)) AS lines")
-    return lines.select(F.array_join(tx.pick_lines(F.col("lines"), "2:3, 6"), "\n").alias("picked"))
+    """Of every document of four lines or more: the second and third line, and the last but one."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
+    n = F.size("lines")
+    return lines.select("doc_id", F.array_join(tx.pick_lines(F.col("lines"), F.when(n >= 4, F.concat(F.lit("2:3, "), n - 1))), "\n").alias("picked"))
 
 
 @query(
-    _BM25.format(text=_FIRST4) + "SELECT qid, string_agg('[' || rank || '] doc ' || chunk_ix || ' — u/' || chunk_ix || chr(10) || trim(substr(text, 1, 80), ' ' || chr(10) || chr(9) || chr(13)), chr(10) || chr(10) ORDER BY rank) AS context FROM bm JOIN documents ON doc_id = chunk_ix WHERE rank <= 3 GROUP BY qid"
+    _BM25.format(text="text") + "SELECT qid, string_agg('[' || rank || '] doc ' || chunk_ix || CASE chunk_ix % 3 WHEN 0 THEN '' WHEN 1 THEN '' ELSE ' > part' END || chr(10) || 'u/' || chunk_ix || chr(10) || trim(text, ' ' || chr(10) || chr(9) || chr(13)), chr(10) || chr(10) ORDER BY rank) AS context FROM bm JOIN documents ON doc_id = chunk_ix WHERE rank <= 3 GROUP BY qid"
 )
 def context_assembly(spark, sf_dir):
+    """Whole documents as excerpts; every third has a section below level 1."""
     docs = corpus(spark, sf_dir)
-    ranked = retrieval.bm25_search(docs, items(spark, sf_dir, 4), 3).join(docs, "chunk_ix")
-    title = F.concat(F.lit("doc "), "chunk_ix")
-    rows = ranked.select("qid", "rank", "chunk_ix", answers.excerpt_heading(title, F.lit(None).cast("string"), F.concat(F.lit("u/"), "chunk_ix")).alias("heading"), F.substring("text", 1, 80).alias("text"))
-    return answers.assemble(rows).select("qid", "context")
+    ranked = retrieval.bm25_search(docs, items(spark, sf_dir), 3).join(docs, "chunk_ix")
+    section, level = F.when(F.col("chunk_ix") % 3 != 0, F.lit("part")), F.when(F.col("chunk_ix") % 3 == 1, 1).otherwise(2)
+    heading = answers.excerpt_heading(F.concat(F.lit("doc "), "chunk_ix"), section, level, F.concat(F.lit("u/"), "chunk_ix"))
+    return answers.assemble(ranked.select("qid", "rank", "chunk_ix", heading.alias("heading"), "text")).select("qid", "context")
 
 
 @query("SELECT sha256(string_agg(path || ' ' || sha, chr(10) ORDER BY path)) AS digest, count(*) AS n FROM (SELECT lpad(doc_id::VARCHAR, 9, '0') AS path, sha256(text) AS sha FROM documents)")
@@ -625,3 +775,110 @@ def selection_spans(spark, sf_dir):
     rows = bench.withColumn("selected", F.substring("text", F.col("at") + 1, F.lit(10))).where(F.col("selected") == F.btrim("selected", F.lit(" \n")))
     off = F.col("at") + F.when(F.col("item_id") % 2 == 1, 1).otherwise(0)
     return rows.withColumn("s", review.selection_span("text", off, off + 10, "selected")).select("item_id", "s.start", "s.end")
+
+
+# ------------------------------------------------------------- paired runs
+
+_LF = "f AS (SELECT i, sum(ln(greatest(i, 1))) OVER (ORDER BY i) AS lf FROM range(0, 100001) r(i))"
+_P = "round(CASE WHEN fixed + broken = 0 THEN 1 ELSE least(1, 2 * sum(exp(a.lf - b.lf - e.lf - (fixed + broken) * 0.6931471805599453))) END, 8) AS p"
+_ON = "JOIN f a ON a.i = fixed + broken JOIN f b ON b.i <= least(fixed, broken) JOIN f e ON e.i = fixed + broken - b.i"
+
+
+def _runs(spark, sf_dir) -> DataFrame:
+    """Three runs over the labelled documents: by quality, by the lack of toxicity, and by both."""
+    rows = table(spark, sf_dir, "labels")
+    good, clean = F.col("quality") == 1, F.col("toxic") == 0
+    parts = [rows.select(F.lit(name).alias("run"), F.col("doc_id").alias("qid"), hit.alias("hit5"), (1 / (1 + F.col("doc_id") % k)).alias("rr")) for name, hit, k in (("q", good, 3), ("t", clean, 4), ("m", good & clean, 5))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(f"WITH c AS (SELECT count(*) FILTER (quality <> 1 AND toxic = 0) AS fixed, count(*) FILTER (quality = 1 AND toxic <> 0) AS broken FROM labels), {_LF} SELECT fixed, broken, {_P} FROM c {_ON} GROUP BY fixed, broken")
+def discordant_runs(spark, sf_dir):
+    runs = _runs(spark, sf_dir)
+    return scoring.discordant(runs.where("run = 'q'"), runs.where("run = 't'")).select("fixed", "broken", F.round("p", 8).alias("p"))
+
+
+@query(
+    f"""
+WITH r AS (SELECT 'q' AS run, doc_id, quality = 1 AS hit, 1.0::DOUBLE / (1 + doc_id % 3) AS rr FROM labels UNION ALL SELECT 't', doc_id, toxic = 0, 1.0::DOUBLE / (1 + doc_id % 4) FROM labels UNION ALL SELECT 'm', doc_id, quality = 1 AND toxic = 0, 1.0::DOUBLE / (1 + doc_id % 5) FROM labels),
+c AS (SELECT x.run AS run_a, y.run AS run_b, count(*) FILTER (NOT x.hit AND y.hit) AS fixed, count(*) FILTER (x.hit AND NOT y.hit) AS broken, avg(y.rr - x.rr) AS d FROM r x JOIN r y USING (doc_id) WHERE (x.run, y.run) IN (('q', 't'), ('m', 'q')) GROUP BY ALL), {_LF}
+SELECT run_a, run_b, fixed, broken, round(d, 8) AS mrr_delta, {_P} FROM c {_ON} GROUP BY run_a, run_b, fixed, broken, d"""
+)
+def comparison_grid(spark, sf_dir):
+    chosen = spark.createDataFrame([("q", "t"), ("m", "q")], "run_a string, run_b string")
+    return scoring.compare_grid(_runs(spark, sf_dir), chosen).select("run_a", "run_b", "fixed", "broken", F.round("mrr_delta", 8).alias("mrr_delta"), F.round("p", 8).alias("p"))
+
+
+@query()
+def paired_delta_exact(spark, sf_dir):
+    """The mean difference of two runs with its interval, by the generator of Python; tested on a small case."""
+    runs = _runs(spark, sf_dir)
+    pairs = runs.where("run = 'q'").select("qid", F.col("rr").alias("a")).join(runs.where("run = 't'").select("qid", F.col("rr").alias("b")), "qid")
+    return stats.paired_bootstrap_delta(pairs.withColumn("run", F.lit("q/t")), "run", "qid", "a", "b", draws=200)
+
+
+# ----------------------------------------------------------- chunks, decisions
+
+
+@query("SELECT c.chunk_id, md5(substr(d.text, c.\"start\" + 1, c.\"end\" - c.\"start\")) AS digest FROM (" + SQL["fixed_chunks"] + ") c JOIN documents d USING (doc_id)")
+def chunk_texts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return chunking.with_text(chunking.fixed_chunks(docs), docs).select("chunk_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("WITH " + _LINES + """, e AS (SELECT item_id AS qid, d.doc_id, strpos(d.text, b.text) - 1 AS pos, length(b.text) AS n, b.text AS quote FROM benchmark b JOIN documents d ON strpos(d.text, b.text) > 0)
+SELECT qid, e.doc_id, 'l' || max(ix) AS anchor, quote FROM e JOIN s ON s.doc_id = e.doc_id AND s."start" <= pos GROUP BY qid, e.doc_id, quote""")
+def evidence_rows(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    spans = evalset.locate_exact(docs, _quotes(spark, sf_dir))
+    return evalset.evidence_of(spans, pages.line_headings(docs)).select("qid", "doc_id", "anchor", "quote")
+
+
+@query(
+    """SELECT event_id AS candidate_id, CASE WHEN event_type = 'view' THEN 'unknown decision' WHEN event_type = 'click' AND user_id % 2 = 1 THEN 'unknown reason'
+WHEN event_type = 'purchase' AND (event_id % 3 = 0 OR event_id % 5 = 0) THEN 'no question or answer' WHEN event_type = 'purchase' AND event_id % 7 = 0 THEN 'no evidence' END AS problem FROM events
+WHERE event_type = 'view' OR event_type = 'click' AND user_id % 2 = 1 OR event_type = 'purchase' AND (event_id % 3 = 0 OR event_id % 5 = 0 OR event_id % 7 = 0)"""
+)
+def decision_checks(spark, sf_dir):
+    """Every event as a decision, some of which miss what they need."""
+    k, kind = F.col("event_id"), F.col("event_type")
+    rows = table(spark, sf_dir, "events").select(
+        k.alias("candidate_id"),
+        F.when(kind == "purchase", "keep").when(kind == "click", "drop").when(kind == "view", "what").otherwise("undo").alias("decision"),
+        F.when(F.col("user_id") % 2 == 0, "duplicate").otherwise("no reason").alias("reason"),
+        F.when(k % 3 != 0, "q").otherwise(" ").alias("question"),
+        F.when(k % 5 != 0, "a").alias("answer"),
+        F.when(k % 7 != 0, F.array(F.lit("e"))).otherwise(F.array().cast("array<string>")).alias("evidence"),
+    )
+    return review.decision_problems(rows, list(tx.DROP_REASONS))
+
+
+@query("WITH " + _LOG + " SELECT c_custkey AS candidate_id, CASE WHEN decision = 'keep' THEN 'q' || seq ELSE c_name END AS question FROM customer LEFT JOIN (SELECT * FROM lt WHERE decision = 'keep') k ON k.candidate_id = c_custkey")
+def review_drafts(spark, sf_dir):
+    log = _log(spark, sf_dir).withColumns({"question": F.concat(F.lit("q"), "seq"), "answer": F.lit("a")})
+    candidates = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("candidate_id"), F.col("c_name").alias("question"), F.lit("b").alias("answer"))
+    return review.drafts(candidates, log).select("candidate_id", "question")
+
+
+@query("WITH " + _LOG + ", o AS (SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT candidate_id FROM lt WHERE decision <> 'undo')) SELECT coalesce(min(k) FILTER (k > 40), min(k)) AS candidate_id FROM o")
+def next_candidate(spark, sf_dir):
+    candidates = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("candidate_id"), F.col("c_custkey").alias("ix"))
+    return review.next_undecided(candidates, _log(spark, sf_dir), 40).select("candidate_id")
+
+
+@query("WITH " + _LOG + """, c AS (SELECT count(*) FILTER (decision = 'keep') AS kept, count(*) FILTER (decision = 'drop') AS dropped FROM lt WHERE decision <> 'undo')
+SELECT 'kept' AS target, kept AS found, kept >= 10 AS met FROM c UNION ALL SELECT 'dropped', dropped, dropped >= 1000000 FROM c""")
+def review_targets(spark, sf_dir):
+    return review.targets(review.progress(_log(spark, sf_dir)), {"kept": 10, "dropped": 1_000_000})
+
+
+@query("WITH " + SQL["longest_shared_run"].replace("WITH ", "", 1).rsplit("SELECT item_id, doc_id, max(n) + 3", 1)[0].strip() + """, r AS (SELECT item_id, doc_id, max(n) + 3 AS overlap FROM (SELECT item_id, doc_id, dg, run, count(*) AS n FROM m GROUP BY ALL) GROUP BY ALL)
+SELECT count(*) AS offered_n, count(*) FILTER (overlap >= 5) AS offered_long, count(*) FILTER (doc_id % 2 = 0) AS final_n, count(*) FILTER (doc_id % 2 = 0 AND overlap >= 5) AS final_long FROM r""")
+def shared_phrase_shift(spark, sf_dir):
+    runs = longest_shared_run(spark, sf_dir).withColumnRenamed("run", "overlap")
+    return review.shared_phrase_shift(runs, runs.where("doc_id % 2 = 0"))
+
+
+@query("SELECT count(DISTINCT d.doc_id) AS pages FROM benchmark b JOIN documents d ON strpos(d.text, b.text) > 0")
+def evidence_pages(spark, sf_dir):
+    return report.distinct_pages(_built(spark, sf_dir))

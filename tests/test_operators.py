@@ -96,8 +96,79 @@ def test_merge_keeps_touching_spans_apart(spark):
 
 
 def test_shared_run(spark):
-    pairs = spark.createDataFrame([(1, "How do I Read the body", "we read THE body well"), (2, "a", "b")], "id int, a string, b string")
-    assert {r.id: r.run for r in evalset.longest_shared_run(pairs, ["id"], "a", "b").collect()} == {1: 3, 2: 0}
+    left = spark.createDataFrame([(1, "How do I Read the body"), (2, "a"), (3, None)], "a_id int, text string")
+    right = spark.createDataFrame([(7, "we read THE body well, do I read the body"), (8, "the body"), (9, "read the rest")], "b_id int, text string")
+    found = lambda n: {(r.a_id, r.b_id): r.run for r in evalset.longest_shared_run(left, right, n).collect()}
+    assert found(2) == {(1, 7): 5, (1, 8): 2, (1, 9): 2} and found(3) == {(1, 7): 5}
+
+
+def test_quotes_of_any_length_are_located(spark):
+    docs = spark.createDataFrame([(1, "xthe quick brown\nfox jumps overy and the quick"), (2, "quick brown"), (3, None), (4, "the “quick”  brown fox jumps")], "doc_id int, text string")
+    quotes = [(1, "the quick brown\nfox jumps over"), (2, "quick"), (3, "the quick brown fox jumps"), (4, "ick brown"), (5, "the quick")]
+    frame = spark.createDataFrame(quotes, "qid int, quote string")
+    texts = {r.doc_id: r.text for r in docs.collect() if r.text}
+    expected = {(q, d, t.find(s), t.find(s) + len(s)) for q, s in quotes for d, t in texts.items() if s in t}
+    assert {tuple(r) for r in evalset.locate_exact(docs, frame).collect()} == expected
+    assert {(r.qid, r.doc_id) for r in evalset.locate_loose(docs, frame).collect()} >= {(3, 1), (3, 4), (1, 4)} - {(1, 4)}
+
+
+def test_ids_past_999_stay_apart(spark):
+    rows = spark.range(1001).select(F.col("id").alias("pos"), F.lit("q").alias("question"), F.lit("a").alias("answer"), F.expr("cast(array() as array<struct<doc_id:string,anchor:string>>)").alias("evidence"), F.lit("o").alias("origin"), F.lit(None).cast("string").alias("candidate_id"))
+    ids = [r.id for r in evalset.build_questions(rows, rows.limit(0), rows.limit(0)).collect()]
+    assert len(set(ids)) == 1001 and {"q001", "q999", "q1000", "q1001"} <= set(ids)
+
+
+def test_retries_by_status_or_name():
+    from siftstone.operators.answers import retryable
+
+    class RateLimitError(Exception):
+        status_code = None
+
+    class Odd(Exception):
+        def __init__(self, status):
+            self.status_code = status
+
+    assert retryable(RateLimitError()) and retryable(Odd(425)) and not retryable(Odd(529)) and not retryable(Odd(400)) and not retryable(ValueError())
+
+
+def test_answers_and_judges_with_a_model(spark):
+    from siftstone.operators import answers
+
+    questions = spark.createDataFrame([(1, "why?"), (2, "how?")], "qid int, question string")
+    ranked = spark.createDataFrame([(1, 1, "c1", "P\nu", " one "), (1, 2, "c2", "Q\nv", "two"), (2, 1, "c3", "R\nw", "three")], "qid int, rank int, chunk_ix string, heading string, text string")
+    cache = spark.createDataFrame([], "key string, text string")
+    said = {r.qid: r for r in answers.grounded_answers(questions, ranked, "sys", "No idea.", cache, lambda s, p: "Two [2] and [5]." if "why?" in p else "no idea").collect()}
+    assert said[1].context == "[1] P\nu\none\n\n[2] Q\nv\ntwo" and said[1].cited_chunks == ["c2"] and said[1].invalid_citations == [5] and said[2].refused
+    closed = {r.qid: r for r in answers.closed_book(questions, "sys", "No idea.", cache, lambda s, p: f"{p} [1]").collect()}
+    assert closed[1].text == "Question: why? [1]" and closed[1].citations == [] and closed[1].invalid_citations == [1]
+    given = spark.createDataFrame([(1, "why?", "ref", "yes [1].", "ctx")], "qid int, question string, reference string, text string, context string")
+    reply = '{"verdict": "partial", "reason": "r", "claims": [{"claim": "c", "supported": true}]}'
+    seen = answers.judge_correctness(given, "sys", cache, lambda s, p: reply if p.endswith("yes.") else "[1] seen").first()
+    assert (seen.verdict, seen.reason) == ("partial", "r")
+    checked = answers.judge_faithfulness(given, "sys", cache, lambda s, p: reply).first()
+    assert checked.valid and checked.faithful
+
+
+def test_paired_bootstrap(spark):
+    import random
+
+    from siftstone.functions import stats
+
+    a, b = [0.0, 1.0, 0.5, 0.25, 1.0], [1.0, 1.0, 0.0, 0.5, 1.0]
+    rows = spark.createDataFrame([("g", i, x, y) for i, (x, y) in enumerate(zip(a, b))], "g string, i int, a double, b double")
+    r = stats.paired_bootstrap_delta(rows, "g", "i", "a", "b", 400, 3).first()
+    rng, diffs = random.Random(3), [y - x for x, y in zip(a, b)]
+    means = sorted(sum(diffs[rng.randrange(5)] for _ in range(5)) / 5 for _ in range(400))
+    assert (r.delta, r.lo, r.hi) == (pytest.approx(sum(diffs) / 5), means[10], means[389])
+
+
+def test_edited_decisions(spark):
+    from siftstone.operators import review
+
+    kind = "candidate_id int, question string, answer string, evidence array<struct<doc_id:string,start:int,end:int>>"
+    candidates = spark.createDataFrame([(i, "q", "a", [("d", 0, 1), ("d", 5, 6)]) for i in (1, 2, 3)], kind)
+    log = spark.createDataFrame([(1, 1, 1, "keep", " q ", "a", [("d", 5, 6), ("d", 0, 1)]), (2, 1, 2, "keep", "other", "a", [("d", 0, 1), ("d", 5, 6)]), (3, 1, 3, "keep", "q", "a", [("d", 0, 1)])], "candidate_id int, at int, seq int, decision string, question string, answer string, evidence array<struct<doc_id:string,start:int,end:int>>")
+    assert {r.candidate_id: r.edited for r in review.edited(candidates, log).collect()} == {1: False, 2: True, 3: True}
 
 
 def test_terms_begin_words(spark):

@@ -23,7 +23,7 @@ def log(spark):
 
 def test_decisions(spark, log):
     assert review.progress(log).first().asDict() == {"decided": 4, "kept": 2, "dropped": 2}
-    assert sorted(map(tuple, review.decision_problems(log, ["vague"]).collect())) == [(4, "answer and evidence don't agree"), (5, "unknown reason")]
+    assert sorted(map(tuple, review.decision_problems(log, ["vague"]).collect())) == [(4, "no question or answer"), (5, "unknown reason")]
     candidates = spark.createDataFrame([(i, i, "old", "old") for i in range(1, 8)], "candidate_id int, ix int, question string, answer string")
     assert {r.candidate_id: r.question for r in review.drafts(candidates, log).collect()}[3] == "edited"
     assert [review.next_undecided(candidates, log, after).first().candidate_id for after in (0, 1, 6, 7)] == [1, 6, 7, 1]
