@@ -75,9 +75,11 @@ def fit_ratio(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> Da
     """(bucket, ratio): ln of the trusted over the raw multinomial, add-one smoothed, for every bucket.
 
     The raw counts are over all documents. `trusted` is bounded, so it is broadcast.
+    The generator is an outer one: for the other kind Spark infers a filter that
+    would hash all words of a text again for each of them.
     """
     hashed = docs.select("doc_id", F.transform(words_of(clean_text()), lambda w: F.xxhash64(w)).alias("hashes"))
-    marked = hashed.join(F.broadcast(trusted), "doc_id", "left").select("trusted", F.explode(ngram_buckets(F.col("hashes"), buckets)).alias("bucket"))
+    marked = hashed.join(F.broadcast(trusted), "doc_id", "left").select("trusted", F.explode_outer(ngram_buckets(F.col("hashes"), buckets)).alias("bucket"))
     counts = marked.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("trusted").alias("good"))
     every = staged(docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").fillna(0), "ngrams")
     totals = every.agg(F.sum("raw").alias("raws"), F.sum("good").alias("goods"))
