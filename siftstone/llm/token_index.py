@@ -35,6 +35,8 @@ from siftstone.llm.pretokens import have_lone_spaces, head_and_tail
 SHARD_ROWS = 16_384
 #: Keys for each displacement of the hash, on average.
 BUCKET = 4
+#: Displacements that are tried together.
+TRIES = 64
 HEADER = 4096
 #: Bytes of text that are encoded together.
 GATHER = 16 << 20
@@ -77,12 +79,14 @@ def build_hash(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if len(own) <= 1:
             singles.extend((int(k), int(i)) for i in own)
             continue
-        d = 1
-        while True:
-            at = _place(b[own], d, n)
-            if free[at].all() and len(set(at.tolist())) == len(at):
-                break
-            d += 1
+        d = 1 - TRIES
+        found = np.zeros(0, np.int64)
+        while not len(found):
+            d += TRIES
+            tried = _place(b[own][:, None], np.arange(d, d + TRIES), n)
+            ordered = np.sort(tried, axis=0)
+            found = np.flatnonzero(free[tried].all(axis=0) & (ordered[1:] != ordered[:-1]).all(axis=0))
+        at, d = tried[:, found[0]], d + int(found[0])
         displaced[k], slots[own] = d, at
         free[at] = False
     for (k, i), slot in zip(singles, np.flatnonzero(free)):
