@@ -39,7 +39,7 @@ BUCKET = 4
 TRIES = 64
 HEADER = 4096
 #: Bytes of text that are encoded together.
-GATHER = 16 << 20
+GATHER = 4 << 20
 _NULL_KEY = np.iinfo(np.int64).min
 _MANIFEST = "shard int, path string, low long, high long, nulls long, n_docs long, n_ids long"
 
@@ -173,7 +173,7 @@ class Tokens:
     holds a special token's string, goes to the library whole.
     """
 
-    def __init__(self, path: str, end: int, remember: int = 1_500_000):
+    def __init__(self, path: str, end: int, remember: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
