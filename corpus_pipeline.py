@@ -61,7 +61,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no ids; null ids and repeated rows each return a
     row; other columns are left out; an empty table stays empty.
     """
-    return bpe.id_arrays(bpe.encode_texts(docs, *bpe.vocabulary()))
+    return bpe.encode_arrays(docs, *bpe.vocabulary())
 
 
 STAGES = [

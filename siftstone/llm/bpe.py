@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import Memo, clean_text, documents, session_of
+from siftstone.llm.common import Memo, clean_text, documents, in_turn, session_of
 from siftstone.llm.pretokens import head_and_tail, units
 
 #: Texts of more code points are cut into chunks that are pre-tokenised in parallel.
@@ -133,8 +133,27 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole, pa.binary())], names=["key", "ids"])
 
 
+def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, n_tokens, ids as a list) of (key, ids as bytes)."""
+    for batch in batches:
+        blobs = [x or b"" for x in batch.column(1).to_pylist()]
+        sizes = np.array([len(x) // 4 for x in blobs], np.int64)
+        ids = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), np.frombuffer(b"".join(blobs), "<i4"))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), ids], names=[batch.schema.names[0], "n_tokens", "ids"])
+
+
 def encode_texts(docs: DataFrame, path: str, pattern: str, long: int = LONG, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """(doc_id, ids): the token ids of every whole text as little-endian 32-bit bytes.
+    """(doc_id, ids): the token ids of every whole text as little-endian 32-bit bytes; see _encoded_as."""
+    return _encoded_as(docs, path, pattern, long, chunk, overlap, iter, "ids binary")
+
+
+def encode_arrays(docs: DataFrame, path: str, pattern: str, long: int = LONG, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """(doc_id, n_tokens, ids array<int>): id_arrays of encode_texts, made where texts are encoded; see _encoded_as."""
+    return _encoded_as(docs, path, pattern, long, chunk, overlap, _arrays, "n_tokens long, ids array<int>")
+
+
+def _encoded_as(docs: DataFrame, path: str, pattern: str, long: int, chunk: int, overlap: int, then, kind: str) -> DataFrame:
+    """doc_id and the columns `kind` that `then` makes of the token ids of every whole text.
 
     Texts of up to `long` code points are one chunk and are encoded in place,
     without a shuffle. Longer ones are cut into overlapping chunks that are
@@ -148,7 +167,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, long: int = LONG, chu
     """
     session_of(docs)
     rows = docs.select("doc_id", clean_text().alias("text"))
-    short = rows.where(F.length("text") <= long).mapInArrow(_encoded(path, pattern, 1), "doc_id long, ids binary")
+    short = rows.where(F.length("text") <= long).mapInArrow(in_turn(_encoded(path, pattern, 1), then), f"doc_id long, {kind}")
     keyed = rows.where(F.length("text") > long).select("doc_id", F.sha2("text", 256).alias("key"), "text")
     texts = keyed.select("key", "text").dropDuplicates(["key"])
     chunks = texts.mapInArrow(_chunked(chunk, overlap), "key string, ix int, at int, text string").repartition("key", "ix")
@@ -156,8 +175,8 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, long: int = LONG, chu
     marks = marks.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("ix", "at", "head", "tail"))).alias("marks"))
     pieces = texts.join(marks.hint("merge"), "key").select("key", "text", "marks").mapInArrow(_cut, "key string, ix int, text string").repartition("key", "ix")
     parts = pieces.mapInArrow(_encoded(path, pattern, 2), "key string, ix int, ids binary")
-    whole = parts.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("ix", "ids"))).alias("parts")).mapInArrow(_joined, "key string, ids binary")
-    return short.union(keyed.select("doc_id", "key").join(whole.hint("merge"), "key").select("doc_id", "ids"))
+    whole = parts.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("ix", "ids"))).alias("parts")).mapInArrow(in_turn(_joined, then), f"key string, {kind}")
+    return short.union(keyed.select("doc_id", "key").join(whole.hint("merge"), "key").drop("key"))
 
 
 def decode_ids(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -192,15 +211,7 @@ def digests(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def id_arrays(encoded: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, ids array<int>) of (doc_id, ids)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            blobs = [x or b"" for x in batch.column(1).to_pylist()]
-            sizes = np.array([len(x) // 4 for x in blobs], np.int64)
-            ids = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), np.frombuffer(b"".join(blobs), "<i4"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), ids], names=["doc_id", "n_tokens", "ids"])
-
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
+    return encoded.select("doc_id", "ids").mapInArrow(_arrays, "doc_id long, n_tokens long, ids array<int>")
 
 
 def vocabulary() -> tuple[str, str]:

@@ -28,6 +28,21 @@ def session_of(df: DataFrame) -> SparkSession:
     return spark
 
 
+def in_turn(*steps):
+    """Functions on batches, one after another in one Python worker.
+
+    Each of several mapInArrow in a row keeps a worker of its own for every
+    task, and its memory with it.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        for step in steps:
+            batches = step(batches)
+        return batches
+
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or, on one machine only, a folder of its own."""
     if found := spark.conf.get("spark.checkpoint.dir", None):

@@ -187,23 +187,24 @@ def text_classes(docs: DataFrame, words: int, percent: int, rows: int, bands: in
     tested = None
     for turn in range(rounds + 1):
         labelled = members.join(labels, "node")
-        split = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high").select("band", "size")
-        rest = staged(labelled.join(split, "band"), "open")
+        spans = [F.min("label").alias("low"), F.max("label").alias("high")]
         if turn < rounds:
             drawn = F.xxhash64("node", "band", F.lit(turn)) if turn else F.lit(0)
-            a = rest.groupBy("band").agg(F.min(F.struct(drawn.alias("drawn"), "node", "n", "label")).alias("pivot"), F.min("size").alias("size")).select("band", "size", "pivot.node", "pivot.n", "pivot.label")
-            b, test = rest, "labela <> labelb"
+            pivot = F.min(F.struct(drawn.alias("drawn"), "node", "n", "label")).alias("pivot")
+            a = labelled.groupBy("band").agg(*spans, pivot).where("low < high").select("band", *(F.col(f"pivot.{c}").alias(f"{c}a") for c in ("node", "n", "label")))
+            b = labelled.select("band", *(F.col(c).alias(f"{c}b") for c in ("node", "n", "label")))
+            on, test = ["band"], "labela <> labelb"
         else:
-            odd = rest.join(sets.select("node", "odd").hint("merge"), "node")
+            split = labelled.groupBy("band").agg(*spans, F.count("*").alias("size")).where("low < high").select("band", "size")
+            odd = staged(labelled.join(split, "band"), "open").join(sets.select("node", "odd").hint("merge"), "node")
             apart = " + ".join(f"bit_count(get(odda, {i}) ^ get(oddb, {i}))" for i in range(_ODD))
-            a = b = odd
-            test = f"nodea < nodeb and labela <> labelb and {100 + percent} * ({apart}) <= {100 - percent} * (na + nb)"
-        a, b = (_dealt(x, side == "a").select("band", "part", *(F.col(c).alias(c + side) for c in ("node", "n", "label", "odd") if c in x.columns)) for x, side in ((a, "a"), (b, "b")))
-        met = a.join(b.hint("merge"), ["band", "part"]).where(test).where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+            a, b = (_dealt(odd, side == "a").select("band", "part", *(F.col(c).alias(c + side) for c in ("node", "n", "label", "odd"))) for side in "ab")
+            on, test = ["band", "part"], f"nodea < nodeb and labela <> labelb and {100 + percent} * ({apart}) <= {100 - percent} * (na + nb)"
+        met = a.join(b.hint("merge"), on).where(test).where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
         pairs = met.select(F.least("nodea", "nodeb").alias("u"), F.greatest("nodea", "nodeb").alias("v")).distinct()
         pairs = staged(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.union(pairs)
-        labels = _merged(labels, staged(_verified(pairs, sets, percent), "links"))
+        labels = _merged(labels, _verified(pairs, sets, percent))
 
     placed = staged(sketches.select("doc_id", "text_key", "n_shingles", "set_key").join(nodes.select("set_key", "node"), "set_key", "left").drop("set_key"), "placed")
     every = nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
@@ -224,8 +225,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
       compared, without a cap, so no link between candidates is lost. Odd
       sketches, whose difference never exceeds that of the sets, keep the pairs
       that can't be similar from being made.
-    * Members of a large bucket are dealt out to parts; what they are compared
-      with is copied to each part.
+    * There, members of a large bucket are dealt out to parts; what they are
+      compared with is copied to each part. A star needs one row a member.
     * Every link is confirmed on the full sets of 64-bit shingle hashes.
 
     With 40 bands of 6 rows a pair at the 0.8 threshold shares no band with

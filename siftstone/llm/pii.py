@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import clean_text, documents, new_names, session_of, staged
+from siftstone.llm.common import clean_text, documents, in_turn, new_names, session_of, staged
 
 #: Kinds of entity, in the order that breaks ties.
 KINDS = ("email", "ip", "card", "phone")
@@ -237,18 +237,17 @@ def _found(shared, text: str, base: str, more: str):
     return run
 
 
-def mark(docs: DataFrame, terms: DataFrame, base: str, more: str, most: int = TERM_BLOCK) -> DataFrame:
+def mark(docs: DataFrame, terms: DataFrame, base: str, more: str, most: int = TERM_BLOCK, then=iter, schema=None) -> DataFrame:
     """The rows of a frame with two columns: the base spans of `text`, and the places of the revealing terms outside them.
 
     Texts pass through one table of at most about `most` terms after another,
-    without a shuffle.
+    without a shuffle; `then` turns the marked batches into ones of `schema`.
     """
     spark = session_of(docs)
     none = F.expr(f"cast(array() as {_SPAN})")
     out = docs.withColumns({base: none, more: none})
-    for block in _term_blocks(terms, most):
-        out = out.mapInArrow(_found(spark.sparkContext.broadcast(block), "text", base, more), out.schema)
-    return out
+    found = [_found(spark.sparkContext.broadcast(block), "text", base, more) for block in _term_blocks(terms, most)]
+    return out.mapInArrow(in_turn(*found, then), schema or out.schema)
 
 
 def detect(docs: DataFrame) -> DataFrame:
@@ -289,7 +288,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
             out = [_replaced(t, a + b) if a or b else t for t, a, b in found]
             yield batch.set_column(k, "text", pa.array(out, pa.string())).drop_columns([base, more])
 
-    return mark(docs, terms, base, more).mapInArrow(run, docs.schema)
+    return mark(docs, terms, base, more, then=run, schema=docs.schema)
 
 
 def _listed(spans: str) -> str:

@@ -205,6 +205,31 @@ def test_bpe_equals_the_library_and_round_trips(odd, long, chunk, overlap):
     assert sorted(bytes(r.raw) for r in bpe.decode_ids(encoded, path, pattern).collect()) == sorted((t or "").encode() for _, t in ODD)
 
 
+@pytest.mark.parametrize("long, chunk, overlap", [(32_768, 16_384, 512), (200, 100, 30)])
+def test_arrays_are_the_ids_of_the_texts(odd, long, chunk, overlap):
+    from siftstone.llm import bpe
+
+    args = odd, *bpe.vocabulary(), long, chunk, overlap
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(bpe.encode_arrays(*args)) == rows(bpe.id_arrays(bpe.encode_texts(*args)))
+
+
+def test_the_pipeline_takes_one_worker_a_task(spark, odd):
+    import corpus_pipeline
+    from siftstone.llm import bpe, pii
+
+    def chained(df):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        nodes = [n for n in re.findall(r"^[\s:+-]*(\w+)", plan, re.M) if n not in ("Project", "Filter", "Union")]
+        return ("MapInArrow", "MapInArrow") in zip(nodes, nodes[1:])
+
+    assert chained(bpe.id_arrays(bpe.encode_texts(odd, *bpe.vocabulary())))
+    assert not chained(corpus_pipeline.encode(spark, odd, ""))
+    assert not chained(corpus_pipeline.sanitise(spark, odd, ""))
+    terms = spark.createDataFrame([("alpha", "term"), ("beta", "term"), ("gamma", "removed")], "term string, action string")
+    assert not chained(pii.mark(odd, terms, "base", "more", most=1))
+
+
 def test_units_split_as_the_pattern_does():
     import public_tokenizers
     import regex
@@ -537,6 +562,15 @@ def test_a_large_group_of_chained_copies(spark, monkeypatch):
     assert got == brute_components(docs)
 
 
+def test_star_rounds_write_only_pairs_and_classes(spark, monkeypatch):
+    from siftstone.llm import minhash
+
+    names, staged = [], minhash.staged
+    monkeypatch.setattr(minhash, "staged", lambda df, name: names.append(name) or staged(df, name))
+    minhash.text_classes(spark.createDataFrame(ODD[:4], "doc_id long, text string"), 4, 80, 6, 40, 3)
+    assert names.count("pairs") == 4 and names.count("open") == 1 and "links" not in names
+
+
 def test_odd_sketches_never_reject():
     from siftstone.llm.minhash import odd_sketch
 
