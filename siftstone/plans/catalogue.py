@@ -78,8 +78,9 @@ def _by(key, *order):
 
 
 def _ranked(ranking: DataFrame, spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_ix"), F.lit(0).alias("start"), F.length("text").alias("end"), F.size(F.regexp_extract_all("text", F.lit(r"[^ \n\t\r]+"), F.lit(0))).alias("tokens"))
-    return ranking.join(docs, "chunk_ix").withColumn("doc_id", F.col("chunk_ix"))
+    found = corpus(spark, sf_dir).join(retrieval.small(ranking), "chunk_ix")
+    tokens = F.size(F.regexp_extract_all("text", F.lit(r"[^ \n\t\r]+"), F.lit(0)))
+    return found.select(*ranking.columns, F.col("chunk_ix").alias("doc_id"), F.lit(0).alias("start"), F.length("text").alias("end"), tokens.alias("tokens"))
 
 
 _RUN = """,
@@ -703,7 +704,7 @@ def line_ranges(spark, sf_dir):
 def context_assembly(spark, sf_dir):
     """Whole documents as excerpts; every third has a section below level 1."""
     docs = corpus(spark, sf_dir)
-    ranked = retrieval.bm25_search(docs, items(spark, sf_dir), 3).join(docs, "chunk_ix")
+    ranked = docs.join(retrieval.small(retrieval.bm25_search(docs, items(spark, sf_dir), 3)), "chunk_ix")
     section, level = F.when(F.col("chunk_ix") % 3 != 0, F.lit("part")), F.when(F.col("chunk_ix") % 3 == 1, 1).otherwise(2)
     heading = answers.excerpt_heading(F.concat(F.lit("doc "), "chunk_ix"), section, level, F.concat(F.lit("u/"), "chunk_ix"))
     return answers.assemble(ranked.select("qid", "rank", "chunk_ix", heading.alias("heading"), "text")).select("qid", "context")
