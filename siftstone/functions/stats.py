@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Words that the generator gives at a time.
+WORDS = 1 << 16
+
 
 def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -44,6 +48,41 @@ def nearest_rank(values: str | Column, share: float) -> Column:
     return F.element_at(ordered, F.least(F.size(ordered), F.floor(F.size(ordered) * F.lit(share)).cast("int") + 1))
 
 
+def _uniform(n: int, seed: int) -> Iterator[np.ndarray]:
+    """What random.Random(seed).randrange(n) gives, for n up to 2**32, some thousands at a time.
+
+    Python takes the upper bits of the generator's 32-bit words, as many as n
+    has, and passes over values that aren't below n.
+    """
+    words = random.Random(seed).getstate()[1]
+    source = np.random.MT19937()
+    source.state = {"bit_generator": "MT19937", "state": {"key": np.array(words[:-1], np.uint32), "pos": words[-1]}}
+    while True:
+        drawn = source.random_raw(WORDS) >> np.uint64(32 - n.bit_length())
+        yield drawn[drawn < n].astype(np.int64)
+
+
+def _sum(values: np.ndarray) -> float:
+    """As Python adds them up in this order; integers are exact in any."""
+    return int(values.sum(dtype=np.int64)) if values.dtype.kind in "bi" and values.dtype.itemsize <= 4 else sum(values.tolist())
+
+
+def resampled_means(values: pd.Series, draws: int, seed: int) -> list[float]:
+    """The means of `draws` samples of as many values, by the standard generator of Python; integers of 32 bits are added up as arrays."""
+    own, n, out = values.to_numpy(), len(values), []
+    source, ready = _uniform(n, seed), np.empty(0, np.int64)
+    for _ in range(draws):
+        parts, missing = [], n
+        while missing:
+            if not len(ready):
+                ready = next(source)
+            parts.append(own[ready[:missing]])
+            ready = ready[missing:]
+            missing -= len(parts[-1])
+        out.append(_sum(np.concatenate(parts)) / n)
+    return out
+
+
 def bootstrap_exact(rows: DataFrame, group: str, order: str, value: str, draws: int = 10_000, seed: int = 0) -> DataFrame:
     """(group, lo, hi): percentile interval of the mean, with the standard generator of Python seeded for each group.
 
@@ -51,9 +90,7 @@ def bootstrap_exact(rows: DataFrame, group: str, order: str, value: str, draws:
     """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        values = frame.sort_values(order)[value].tolist()
-        n, rng = len(values), random.Random(seed)
-        means = sorted(sum(values[rng.randrange(n)] for _ in range(n)) / n for _ in range(draws))
+        means = sorted(resampled_means(frame.sort_values(order)[value], draws, seed))
         return pd.DataFrame({group: [frame[group].iloc[0]], "lo": [means[int(0.025 * draws)]], "hi": [means[int(0.975 * draws) - 1]]})
 
     return rows.select(group, order, value).groupBy(group).applyInPandas(run, f"{group} string, lo double, hi double")

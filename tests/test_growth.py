@@ -1,12 +1,15 @@
 """Steps whose rows, tasks or memory must not grow faster than their input."""
 
 import math
+import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from siftstone.functions import stats
 from siftstone.operators import retrieval
 
 
@@ -145,3 +148,12 @@ def test_texts_are_not_shuffled_for_a_few_ranked_rows(spark):
         assert [r.chunk_ix for r in found.orderBy("rank").collect()] == [0, 1, 2]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 7, 8, 9, 1000, 70_000])
+def test_samples_are_those_of_the_standard_generator(n):
+    """Integers and floats, added up as Python does, from arrays of draws."""
+    values = [random.Random(n).random() for _ in range(n)]
+    for own in (pd.Series(values), pd.Series([int(x > 0.5) for x in values], dtype="int32")):
+        rng, plain = random.Random(4), own.tolist()
+        assert stats.resampled_means(own, 5, 4) == [sum(plain[rng.randrange(n)] for _ in range(n)) / n for _ in range(5)]
