@@ -10,8 +10,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Words that the generator gives at a time.
+from siftstone.sources.tables import written
+
+#: Words that the generator gives at a time; values of a block, blocks that every task may hold; places of a part, tasks that make draws.
 WORDS = 1 << 16
+PACK, HELD_BLOCKS = 1 << 16, 128
+PLACES, MOST_TASKS = 1024, 1024
 
 
 def _c(x: str | Column) -> Column:
@@ -129,12 +133,21 @@ def bootstrap_hashed(rows: DataFrame, group: str, value: str, order: str, draws:
     """(group, lo, hi): the same interval with draws made by md5, so any engine can repeat it.
 
     Positions are numbered within the group; draw d takes at place i the value
-    at md5(group|d|i) mod n. Only (draw, position) pairs are shuffled.
+    at md5(group|d|i) mod n. Places need only the size of a group, so they are
+    made in even parts by all tasks; values are packed in blocks and, unless
+    there are too many, held by every task. What is shuffled of the draws is
+    sums and counts.
     """
     numbered = rows.select(group, F.col(value).cast("double").alias("x"), (F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1).cast("long").alias("i"))
-    sizes = numbered.groupBy(group).agg(F.count("*").alias("n"))
-    picks = numbered.join(sizes, group).select(group, "n", "i", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("d"))
-    picks = picks.select(group, "d", F.pmod(_bits(F.concat_ws("|", group, "d", "i")), F.col("n")).alias("i"))
-    means = picks.join(numbered, [group, "i"]).groupBy(group, "d").agg(F.round(F.avg("x"), 9).alias("m"))
+    packed = numbered.groupBy(group, F.expr(f"i div {PACK}").alias("block")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.struct("x").alias("v")))), lambda r: r["v"]["x"]).alias("values"))
+    blocks = written(packed, "values")
+    sizes = rows.groupBy(group).agg(F.count("*").alias("n"))
+    parts = sizes.select(group, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(PLACES).cast("long"))).alias("at"))
+    even = parts.repartition(max(1, min(MOST_TASKS, parts.count())))
+    places = even.select(group, "n", F.explode(F.sequence("at", F.least(F.col("at") + PLACES, "n") - 1)).alias("i")).select(group, "n", "i", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("d"))
+    picks = places.select(group, "d", F.pmod(_bits(F.concat_ws("|", group, "d", "i")), F.col("n")).alias("j")).select(group, "d", F.expr(f"j div {PACK}").alias("block"), (F.col("j") % PACK).cast("int").alias("k"))
+    held = F.broadcast(blocks) if blocks.count() <= HELD_BLOCKS else blocks
+    drawn = picks.join(held, [group, "block"]).select(group, "d", F.get("values", F.col("k")).alias("x"))
+    means = drawn.groupBy(group, "d").agg(F.round(F.avg("x"), 9).alias("m"))
     ranked = means.select(group, "m", F.row_number().over(Window.partitionBy(group).orderBy("m", "d")).alias("r"))
     return ranked.groupBy(group).agg(F.max(F.when(F.col("r") == int(0.025 * draws) + 1, F.col("m"))).alias("lo"), F.max(F.when(F.col("r") == int(0.975 * draws), F.col("m"))).alias("hi"))

@@ -1,5 +1,6 @@
 """Steps whose rows, tasks or memory must not grow faster than their input."""
 
+import hashlib
 import math
 import random
 from collections import Counter
@@ -157,3 +158,21 @@ def test_samples_are_those_of_the_standard_generator(n):
     for own in (pd.Series(values), pd.Series([int(x > 0.5) for x in values], dtype="int32")):
         rng, plain = random.Random(4), own.tolist()
         assert stats.resampled_means(own, 5, 4) == [sum(plain[rng.randrange(n)] for _ in range(n)) / n for _ in range(5)]
+
+
+@pytest.mark.parametrize("held", [0, 128])
+def test_hashed_draws_are_made_by_all_tasks(spark, monkeypatch, held):
+    """Draws of one group are dealt out; values come from blocks, held by tasks or met by a shuffle."""
+    for k, v in (("PACK", 4), ("PLACES", 3), ("HELD_BLOCKS", held)):
+        monkeypatch.setattr(stats, k, v)
+    values = {"a": [float(x % 7) for x in range(31)], "b": [1.0, 0.0, 4.0]}
+    rows = spark.createDataFrame([(g, i, x) for g, xs in values.items() for i, x in enumerate(xs)], "g string, i int, x double")
+    found = stats.bootstrap_hashed(rows, "g", "x", "i", 80)
+
+    def interval(g, xs):
+        at = lambda d, i: int(hashlib.md5(f"{g}|{d}|{i}".encode()).hexdigest()[:12], 16) % len(xs)
+        means = sorted(round(sum(xs[at(d, i)] for i in range(len(xs))) / len(xs), 9) for d in range(80))
+        return means[2], means[77]
+
+    assert {r.g: (r.lo, r.hi) for r in found.collect()} == {g: interval(g, xs) for g, xs in values.items()}
+    assert "RoundRobinPartitioning(12)" in found._jdf.queryExecution().toString()
