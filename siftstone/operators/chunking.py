@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftstone.functions.arrow import parts
+
 SIZE, OVERLAP, MAX_TOKENS = 500, 50, 500
 Tokenize = Callable[[str], list[tuple[int, int]]]
 
@@ -26,6 +28,13 @@ def _chunks(docs: DataFrame) -> T.StructType:
     return T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.IntegerType()) for c in ("n", "start", "end", "n_tokens"))])
 
 
+def _rows(ids: pa.Array, chunks: Iterable[Iterable[tuple[int, int, int]]]) -> pa.RecordBatch:
+    """The chunks (start, end, tokens) of each document as rows, numbered within it."""
+    rows = [(i, n, *c) for i, own in enumerate(chunks) for n, c in enumerate(own)]
+    at, *columns = zip(*rows) if rows else [()] * 5
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), *(pa.array(c, pa.int32()) for c in columns)], ["doc_id", "n", "start", "end", "n_tokens"])
+
+
 def _named(chunks: DataFrame, scheme: str) -> DataFrame:
     return chunks.select(F.concat(F.lit(f"{scheme}:"), "doc_id", F.lit(":"), "n").alias("chunk_id"), "doc_id", "n", "start", "end", "n_tokens")
 
@@ -34,16 +43,15 @@ def fixed_chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, toke
     """(chunk_id, doc_id, n, start, end, n_tokens): windows of `size` tokens that never cross pages.
 
     Windows need the offsets of a page's tokens in order; as an Arrow function
-    that is one pass over the page, where a built-in form would shuffle a row
+    that is one pass over the page, some pages at a time, where a built-in form would shuffle a row
     for each token.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(doc_id, n, *w) for doc_id, text in zip(frame["doc_id"], frame["text"]) for n, w in enumerate(_windows(tokenize(text or ""), size, overlap))]
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "start", "end", "n_tokens"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts(batches, "text"):
+            yield _rows(part["doc_id"], (_windows(tokenize(text or ""), size, overlap) for text in part["text"].to_pylist()))
 
-    return _named(docs.select("doc_id", "text").mapInPandas(run, _chunks(docs)), "fixed")
+    return _named(docs.select("doc_id", "text").mapInArrow(run, _chunks(docs)), "fixed")
 
 
 def paragraphs(text: str, base: int = 0) -> list[tuple[int, int]]:
@@ -89,20 +97,20 @@ def pack_unit(text: str, start: int, end: int, tokenize: Tokenize, most: int, ov
     if (total := len(tokenize(text[start:end]))) <= most:
         yield start, end, total
         return
-    parts = paragraphs(text[start:end], start)
-    spans = [tokenize(text[a:b]) for a, b in parts]
+    held = paragraphs(text[start:end], start)
+    spans = [tokenize(text[a:b]) for a, b in held]
     for i, j in pack([len(x) for x in spans], most):
         n = sum(map(len, spans[i:j]))
         if n > most:
-            yield from ((parts[i][0] + a, parts[i][0] + b, k) for a, b, k in _windows(spans[i], most, overlap))
+            yield from ((held[i][0] + a, held[i][0] + b, k) for a, b, k in _windows(spans[i], most, overlap))
         else:
-            yield parts[i][0], parts[j - 1][1], n
+            yield held[i][0], held[j - 1][1], n
 
 
 def section_chunks(pages: DataFrame, tokenize: Tokenize = words, most: int = MAX_TOKENS, overlap: int = OVERLAP) -> DataFrame:
     """Chunks of pages (doc_id, text, headings array<struct<offset>>): one a section, headings without a body joined to the next.
 
-    A page is one unit of work in an Arrow batch; pages need no shuffle. A
+    A page is one unit of work in a part of an Arrow batch; pages need no shuffle. A
     heading without a body at the end of a page is a chunk of its own, of any
     size.
     """
@@ -114,13 +122,12 @@ def section_chunks(pages: DataFrame, tokenize: Tokenize = words, most: int = MAX
             else:
                 yield start, end, len(tokenize(text[start:end]))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(doc_id, n, *c) for doc_id, text, offsets in zip(frame["doc_id"], frame["text"], frame["offsets"]) for n, c in enumerate(chunks(text, offsets))]
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "start", "end", "n_tokens"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts(batches, "text"):
+            yield _rows(part["doc_id"], (chunks(text, offsets) for text, offsets in zip(part["text"].to_pylist(), part["offsets"].to_pylist())))
 
     source = pages.select("doc_id", "text", F.transform("headings", lambda h: h["offset"]).alias("offsets"))
-    return _named(source.mapInPandas(run, _chunks(pages)), "headings")
+    return _named(source.mapInArrow(run, _chunks(pages)), "headings")
 
 
 CHUNKERS = {"fixed": fixed_chunks, "headings": section_chunks}

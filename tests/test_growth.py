@@ -7,11 +7,12 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from siftstone.functions import stats
-from siftstone.operators import retrieval
+from siftstone.functions import arrow, stats
+from siftstone.operators import chunking, pages, retrieval
 
 
 def test_dense_search_by_blocks(spark):
@@ -176,3 +177,41 @@ def test_hashed_draws_are_made_by_all_tasks(spark, monkeypatch, held):
 
     assert {r.g: (r.lo, r.hi) for r in found.collect()} == {g: interval(g, xs) for g, xs in values.items()}
     assert "RoundRobinPartitioning(12)" in found._jdf.queryExecution().toString()
+
+
+def test_parts_of_batches_are_small():
+    """All rows once and in order, few at a time, and no more bytes than one text has where it is long."""
+    rng = np.random.default_rng(0)
+    texts = [None if x < 100 else "é" * int(x) for x in rng.integers(0, 60_000, 700)] + ["x" * 5_000_000, ""] + ["y"] * 1000
+    batches = pa.Table.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"]).to_batches(900)
+    found = list(arrow.parts(batches, "text"))
+    assert [x for p in found for x in p["doc_id"].to_pylist()] == list(range(len(texts)))
+    assert all(p.num_rows <= arrow.ROWS and (p.num_rows == 1 or sum(len((t or "").encode()) for t in p["text"].to_pylist()) <= arrow.BYTES) for p in found)
+    assert len(found) < 60 and not list(arrow.parts([], "text"))
+
+
+@pytest.mark.parametrize("step", ["fixed", "sections"])
+def test_pages_are_read_some_at_a_time(spark, monkeypatch, step):
+    """Rows are handed on before the next pages of a batch are read, and are the same by parts of any size."""
+    texts = [(f"d{i}", "# T\n" + "word " * (i % 5) + "\n\n## U\nx" * (i % 3)) for i in range(40)] + [("e", "")]
+    docs = spark.createDataFrame(texts, "doc_id string, text string").coalesce(1)
+    headed = docs.withColumn("headings", F.expr("array(named_struct('offset', 0))"))
+    run = {"fixed": lambda: chunking.fixed_chunks(docs, 3, 1), "sections": lambda: chunking.section_chunks(headed, most=4, overlap=1), "lines": lambda: pages.line_headings(docs), "render": lambda: pages.render(docs.withColumnRenamed("text", "markdown"))}[step]
+    seen = []
+
+    def counted(self, func, schema, *rest):
+        def small(batches):
+            arrow.ROWS = 3
+            sizes = [b["doc_id"].value_counts() for b in func(batches)]
+            yield pa.RecordBatch.from_arrays([pa.array([max((len(x) for x in sizes), default=0)]), pa.array([len(sizes)])], ["most", "n"])
+
+        seen.append(real(self, small, "most long, n long", *rest))
+        return real(self, func, schema, *rest)
+
+    kind = type(docs)
+    real = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", counted)
+    found = run()
+    assert found.count() >= 40
+    most, n = seen[-1].agg(F.max("most"), F.sum("n")).first()
+    assert most <= 3 and n >= 14
